@@ -40,6 +40,7 @@ def topk_join(
     listed: str | None = None,
     keep: tuple[str, ...] = (),
     carry: str | None = None,
+    broadcast_bytes: int | None = None,
 ) -> DataFrame:
     """The ``k`` nearest ``base`` rows of every query row, by (score, id).
 
@@ -74,7 +75,7 @@ def topk_join(
     schema = T.StructType(fields + [T.StructField("d", T.DoubleType())])
     task = _BlockTask(g, list(keep), carry, listed, k, metric, exclude_self, schema.names)
 
-    limit = setting(spark, BROADCAST_BYTES)
+    limit = setting(spark, BROADCAST_BYTES) if broadcast_bytes is None else broadcast_bytes
     _, base_bytes = _footprint(base)
     if base_bytes <= limit:
         small = spark.sparkContext.broadcast(base.toArrow())

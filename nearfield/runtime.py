@@ -144,3 +144,18 @@ def hot_key_join(many: DataFrame, one: DataFrame, keys: list[str], spread: str)
         .drop("_slices")
     )
     return left.join(right, keys + ["_slice"]).drop("_slice")
+
+
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """Write ``df`` as a table bucketed by ``key``: joins on the key do not shuffle it again."""
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"nearfield_{name}_{uuid.uuid4().hex}"
+    (
+        df.repartition(buckets, key)
+        .write.bucketBy(buckets, key)
+        .sortBy(key)
+        .option("path", table_path(spark, name))
+        .saveAsTable(table)
+    )
+    return spark.table(table)
