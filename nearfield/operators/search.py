@@ -1,19 +1,23 @@
 """Best-first beam search over a neighbour graph, all queries together.
 
-The state of a query is one row whose arrays hold at most about ``beam``
-entries. A round looks up the lists of each query's ``prefetch`` best frontier
-nodes, scores the points not seen before, and lets every query advance as far
-as its looked-up lists reach. Looking further ahead saves rounds and never
-changes the order of expansion.
+A graph counted to fit in ``broadcastBytes`` with its vectors is sent to all
+tasks, and each task runs its queries to the end. Beyond that size the search
+goes in rounds over tables: the state of a query is one row whose arrays hold
+at most about ``beam`` entries; a round looks up the lists of each query's
+``prefetch`` best frontier nodes, scores the points not seen before, and lets
+every query advance as far as its looked-up lists reach. Looking further ahead
+saves rounds and never changes the order of expansion.
 """
 
 from __future__ import annotations
 
 import heapq
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from nearfield.functions import blocks
 from nearfield.functions.vectors import metric_score
 from nearfield.params import SearchParams
 from nearfield.runtime import BROADCAST_BYTES, bucketed, materialize, setting
@@ -59,8 +63,14 @@ def search_graphs(
         return empty
     if points.filter(F.col("vec_id") == params.entry).isEmpty():
         raise ValueError(f"entry node {params.entry} is not among the points")
-    lists, vectors = _lookup_tables(edges, points)
     queries = queries.withColumn("graph_id", F.col("graph_id").cast("int"))
+    limit = setting(spark, BROADCAST_BYTES)
+    vector_bytes = points.agg(F.sum(F.size("v").cast("bigint") * 8).alias("n")).first()["n"]
+    if vector_bytes <= limit:
+        edges = materialize(edges, "graphs")
+        if edges.count() * 20 + vector_bytes <= limit:
+            return _search_broadcast(edges, points, queries, params)
+    lists, vectors = _lookup_tables(edges, points, vector_bytes <= limit)
     asked = queries.select(*KEYS, F.col("v").alias("_q"))
     state = _first_state(queries.filter("beam > 0"), vectors, params)
     finished = []
@@ -77,7 +87,7 @@ def search_graphs(
     return whole
 
 
-def _lookup_tables(edges, points):
+def _lookup_tables(edges, points, small):
     """Neighbour lists and vectors; large ones are bucketed once for all rounds."""
     per_graph = edges.groupBy("graph_id", "src").agg(
         F.transform(
@@ -85,13 +95,10 @@ def _lookup_tables(edges, points):
         ).alias("nbrs")
     )
     per_graph = per_graph.withColumn("graph_id", F.col("graph_id").cast("int"))
-    size = points.agg(F.sum(F.size("v").cast("bigint") * 8).alias("bytes")).first()["bytes"] or 0
-    if size <= setting(points.sparkSession, BROADCAST_BYTES):
-        return materialize(per_graph, "lists"), points.select("vec_id", "v")
-    return (
-        bucketed(per_graph, "src", "lists"),
-        bucketed(points.select("vec_id", "v"), "vec_id", "vectors"),
-    )
+    vectors = points.select("vec_id", "v")
+    if small:
+        return materialize(per_graph, "lists"), vectors
+    return bucketed(per_graph, "src", "lists"), bucketed(vectors, "vec_id", "vectors")
 
 
 def _first_state(queries, vectors, params):
@@ -198,6 +205,75 @@ def advance(row: dict) -> dict:
     }
 
 
+def _search_broadcast(edges, points, queries, params) -> DataFrame:
+    spark = points.sparkSession
+    graph = spark.sparkContext.broadcast(
+        (points.select("vec_id", "v").toArrow(), edges.select("graph_id", "src", "dst").toArrow())
+    )
+    topk, entry, metric = max(0, params.topk), params.entry, params.metric
+
+    def run(batches):
+        vectors, links = graph.value
+        ids = blocks.numbers(vectors, "vec_id")
+        order = np.argsort(ids)
+        ids, base = ids[order], blocks.matrix(vectors, "v")[order]
+        tag, src, dst = (blocks.numbers(links, n) for n in ("graph_id", "src", "dst"))
+        known = np.isin(src, ids) & np.isin(dst, ids)
+        tag, src, dst = tag[known], src[known], dst[known]
+        by = np.lexsort((src, tag))
+        tag, src = tag[by], np.searchsorted(ids, src[by])
+        dst = np.searchsorted(ids, dst[by])
+        graphs = {}
+        for number in np.unique(tag):
+            rows = tag == number
+            starts = np.searchsorted(src[rows], np.arange(len(ids) + 1))
+            graphs[int(number)] = (starts, dst[rows])
+        alone = (np.zeros(len(ids) + 1, dtype=np.int64), np.zeros(0, dtype=np.int64))
+        start = int(np.searchsorted(ids, entry))
+        for batch in batches:
+            out = []
+            wanted = blocks.matrix(batch, "v")
+            heads = zip(*(batch.column(n).to_pylist() for n in ("graph_id", "query_id", "beam")))
+            for (number, query, beam), q in zip(heads, wanted):
+                starts, near = graphs.get(number, alone)
+                hits = _expand(base, ids, starts, near, q, start, beam, metric)
+                best = sorted(hits)[:topk]
+                out += [(number, query, i + 1, v, d) for i, (d, v) in enumerate(best)]
+            columns = list(zip(*out)) if out else [[]] * 5
+            types = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.float64()]
+            names = ["graph_id", "query_id", "rank", "vec_id", "d"]
+            arrays = [pa.array(c, t) for c, t in zip(columns, types)]
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    asked = queries.filter("beam > 0").select("graph_id", "query_id", "beam", "v")
+    width = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return asked.repartition(width, "query_id").mapInArrow(run, _RESULT)
+
+
+def _expand(base, ids, starts, near, q, start, beam, metric):
+    """Expanded nodes (score, id) of one query on a graph held in arrays."""
+    left = q[None, :]
+
+    def score(at):
+        zeros = np.zeros(len(at), dtype=np.int64)
+        return blocks.pair_scores(base, left, at, zeros, metric).tolist()
+
+    found = np.zeros(len(ids), dtype=bool)
+    found[start] = True
+    frontier = [(score(np.array([start]))[0], int(ids[start]), start)]
+    expanded = []
+    while frontier and len(expanded) < beam:
+        d, node, at = heapq.heappop(frontier)
+        expanded.append((d, node))
+        fresh = near[starts[at] : starts[at + 1]]
+        fresh = fresh[~found[fresh]]
+        if len(fresh):
+            found[fresh] = True
+            for entry in zip(score(fresh), ids[fresh].tolist(), fresh.tolist()):
+                heapq.heappush(frontier, entry)
+    return expanded
+
+
 def _answers(rows: DataFrame, topk: int) -> DataFrame:
     best = F.slice(F.array_sort("expanded"), 1, max(0, topk))
     return rows.select(*KEYS, F.posexplode(best).alias("_p", "hit")).select(

@@ -93,7 +93,7 @@ class SearchParams:
     topk: int = 10
     entry: int = 0
     metric: str = "l2"
-    prefetch: int = 32
+    prefetch: int = 16
 
     def __post_init__(self):
         check_metric(self.metric)
