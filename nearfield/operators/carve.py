@@ -127,7 +127,10 @@ def chunk_split(members: DataFrame, cmax: int) -> DataFrame:
 
 @dataclass
 class Forest:
-    """Home leaves ``path, vec_id`` and the tree nodes of all replicas."""
+    """Home leaves ``path, vec_id`` and the tree nodes of all replicas.
+
+    Both read materialized tables of the levels, so they are cheap to reuse.
+    """
 
     leaves: DataFrame
     nodes: DataFrame
@@ -170,7 +173,9 @@ def carve(points: DataFrame, params: CarveParams, replicas: int = 1) -> Forest:
             assign_to_leaders(with_vectors, leaders, params.metric).drop("d"), "assigned"
         )
         sizes = materialize(bucket_sizes(assigned, groups, params), "buckets")
-        fates = {r["fate"] for r in sizes.select("fate").distinct().collect()}
+        again, swallowed = sizes.agg(
+            F.count_if(F.col("fate") == "split"), F.count_if(F.col("fate") == "chunk")
+        ).first()
         rows = assigned.join(sizes.select("parent", "child", "path", "fate"), ["parent", "child"])
         nodes.append(
             sizes.filter(F.col("fate") != "chunk").select(
@@ -179,17 +184,15 @@ def carve(points: DataFrame, params: CarveParams, replicas: int = 1) -> Forest:
             )
         )
         leaves.append(rows.filter(F.col("fate") == "leaf").select("path", "vec_id"))
-        if "chunk" in fates:
+        if swallowed:
             runs = materialize(
                 chunk_split(rows.filter(F.col("fate") == "chunk"), params.cmax), "chunks"
             )
             leaves.append(runs.select("path", "vec_id"))
-            nodes.append(
-                runs.groupBy("path", "parent")
-                .agg(F.min("vec_id").alias("representative"))
-                .select("*", F.lit(True).alias("is_leaf"), F.lit(True).alias("chunked"))
-            )
-        if "split" not in fates:
+            heads = runs.groupBy("path", "parent").agg(F.min("vec_id").alias("representative"))
+            chunked = heads.select("*", F.lit(True).alias("is_leaf"), F.lit(True).alias("chunked"))
+            nodes.append(materialize(chunked, "chunk_nodes"))
+        if not again:
             break
         groups = sizes.filter(F.col("fate") == "split").select("path", "n")
         members = rows.filter(F.col("fate") == "split").select("path", "vec_id")
@@ -261,7 +264,7 @@ def overlap(points: DataFrame, forest: Forest, params: CarveParams) -> DataFrame
     """
     if params.fanout <= 1 or forest.depth == 0:
         return forest.leaves
-    nodes = materialize(forest.nodes, "nodes")
+    nodes = forest.nodes
     top = nodes.filter(F.length("path") == 2 * DIGITS)
     reps = top.join(points.withColumnRenamed("vec_id", "representative"), "representative")
     roots = top.select("parent").distinct()
@@ -299,8 +302,6 @@ class Partition:
 def build_partition(points: DataFrame, params: CarveParams, replicas: int = 1) -> Partition:
     """Carve, overlap and number the leaves. Empty input gives empty tables."""
     forest = carve(points, params, max(1, replicas))
-    forest.nodes = materialize(forest.nodes, "nodes")
-    forest.leaves = materialize(forest.leaves, "homes")
     rows = overlap(points, forest, params)
     leaves = rows.join(number_leaves(forest.nodes), "path")
     return Partition(
