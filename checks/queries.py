@@ -373,7 +373,7 @@ def p2_sample_leaders(spark, sf_dir):
 def p3_assign_to_leaders(spark, sf_dir):
     rows, groups = _label_groups(spark, sf_dir)
     params = R.CarveParams(leader_frac=0.1, seed=17)
-    leaders = R.leaders_of_level(rows.select("path", "vec_id"), points(spark, sf_dir), groups, params)
+    leaders, _ = R.leaders_of_level(rows.select("path", "vec_id"), points(spark, sf_dir), groups, params)
     return R.assign_to_leaders(rows, leaders).select("vec_id", "leader", "child", *six("d"))
 
 
@@ -381,7 +381,7 @@ def p3_assign_to_leaders(spark, sf_dir):
 def p4_bucket_split(spark, sf_dir):
     rows, groups = _label_groups(spark, sf_dir)
     params = R.CarveParams(leader_frac=0.1, seed=17, cmax=16)
-    leaders = R.leaders_of_level(rows.select("path", "vec_id"), points(spark, sf_dir), groups, params)
+    leaders, _ = R.leaders_of_level(rows.select("path", "vec_id"), points(spark, sf_dir), groups, params)
     sizes = R.bucket_sizes(R.assign_to_leaders(rows, leaders), groups, params)
     return sizes.select(
         F.conv(F.substring("parent", 9, 8), 16, 10).cast("int").alias("label"),

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from nearfield.operators.knn import top_per, topk_join
+from nearfield.operators.knn import footprint, top_per, topk_join
 from nearfield.params import CarveParams
 from nearfield.runtime import materialize, positions
 
@@ -74,24 +74,29 @@ def sample_leaders(
     )
 
 
-def leaders_of_level(members, points, groups, params: CarveParams) -> DataFrame:
-    """Materialized leaders ``path, vec_id, child, v`` of all groups."""
+def leaders_of_level(members, points, groups, params: CarveParams) -> tuple[DataFrame, int]:
+    """Materialized leaders ``path, vec_id, child, v`` of all groups, and their bytes."""
     expected = groups.agg(F.sum(leader_count("n", params))).first()[0]
     for prefilter in (True, False):
         chosen = sample_leaders(members, groups, params, prefilter)
         leaders = materialize(chosen.join(points, "vec_id"), "leaders")
-        if leaders.count() == expected:
+        count, size = footprint(leaders)
+        if count == expected:
             break
-    return leaders
+    return leaders, size
 
 
-def assign_to_leaders(members: DataFrame, leaders: DataFrame, metric: str = "l2") -> DataFrame:
+def assign_to_leaders(
+    members: DataFrame, leaders: DataFrame, metric: str = "l2", leader_bytes: int | None = None
+) -> DataFrame:
     """The nearest leader of every member in its group, ties to the smaller leader id.
 
     ``members`` has ``path, vec_id, v``; ``leaders`` has ``path, vec_id, v, child``.
     """
     queries = members.select("path", F.col("vec_id").alias("query_id"), "v")
-    found = topk_join(queries, leaders, 1, metric, group="path", carry="child")
+    found = topk_join(
+        queries, leaders, 1, metric, group="path", carry="child", base_bytes=leader_bytes
+    )
     return found.select(
         F.col("path").alias("parent"),
         F.col("query_id").alias("vec_id"),
@@ -135,6 +140,7 @@ class Forest:
     leaves: DataFrame
     nodes: DataFrame
     depth: int
+    replicas: int
 
 
 def carve(points: DataFrame, params: CarveParams, replicas: int = 1) -> Forest:
@@ -150,7 +156,7 @@ def carve(points: DataFrame, params: CarveParams, replicas: int = 1) -> Forest:
     ids = points.select("vec_id")
     if total == 0:
         return Forest(
-            spark.createDataFrame([], LEAF_SCHEMA), spark.createDataFrame([], NODE_SCHEMA), 0
+            spark.createDataFrame([], LEAF_SCHEMA), spark.createDataFrame([], NODE_SCHEMA), 0, replicas
         )
 
     every = ids.withColumn("path", F.explode(F.expr(_root_paths(replicas)))).select("path", "vec_id")
@@ -160,7 +166,7 @@ def carve(points: DataFrame, params: CarveParams, replicas: int = 1) -> Forest:
             "path", F.lit("").alias("parent"), "representative",
             F.lit(True).alias("is_leaf"), F.lit(False).alias("chunked"),
         )
-        return Forest(every, nodes, 0)
+        return Forest(every, nodes, 0, replicas)
 
     groups = roots.withColumn("n", F.lit(total).cast("bigint"))
     members = every
@@ -168,10 +174,9 @@ def carve(points: DataFrame, params: CarveParams, replicas: int = 1) -> Forest:
     leaves, nodes, depth = [], [], 0
     while True:
         depth += 1
-        leaders = leaders_of_level(members, points, groups, params)
-        assigned = materialize(
-            assign_to_leaders(with_vectors, leaders, params.metric).drop("d"), "assigned"
-        )
+        leaders, size = leaders_of_level(members, points, groups, params)
+        nearest = assign_to_leaders(with_vectors, leaders, params.metric, size)
+        assigned = materialize(nearest.drop("d"), "assigned")
         sizes = materialize(bucket_sizes(assigned, groups, params), "buckets")
         again, swallowed = sizes.agg(
             F.count_if(F.col("fate") == "split"), F.count_if(F.col("fate") == "chunk")
@@ -197,7 +202,7 @@ def carve(points: DataFrame, params: CarveParams, replicas: int = 1) -> Forest:
         groups = sizes.filter(F.col("fate") == "split").select("path", "n")
         members = rows.filter(F.col("fate") == "split").select("path", "vec_id")
         with_vectors = members.join(points, "vec_id")
-    return Forest(_union(leaves), _union(nodes), depth)
+    return Forest(_union(leaves), _union(nodes), depth, replicas)
 
 
 def _root_paths(replicas: int) -> str:
@@ -267,8 +272,7 @@ def overlap(points: DataFrame, forest: Forest, params: CarveParams) -> DataFrame
     nodes = forest.nodes
     top = nodes.filter(F.length("path") == 2 * DIGITS)
     reps = top.join(points.withColumnRenamed("vec_id", "representative"), "representative")
-    roots = top.select("parent").distinct()
-    start = points.join(F.broadcast(roots), F.lit(True))
+    start = points.withColumn("parent", F.explode(F.expr(_root_paths(forest.replicas))))
     picks = nearest_children(start, reps, params.fanout, params.metric)
     if forest.depth > 1:
         picks = materialize(picks, "picks")

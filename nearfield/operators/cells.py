@@ -30,13 +30,14 @@ def approx_baseline(
     root = digits(F.lit(0))
     groups = spark.range(1).select(root.alias("path"), F.lit(base.count()).alias("n"))
     members = base.withColumn("path", root)
-    centres = leaders_of_level(members.select("path", "vec_id"), base, groups, params)
-    owned = materialize(assign_to_leaders(members, centres, metric), "cells").select(
+    centres, size = leaders_of_level(members.select("path", "vec_id"), base, groups, params)
+    owned = materialize(assign_to_leaders(members, centres, metric, size), "cells").select(
         "vec_id", F.col("leader").alias("cell")
     )
-    probed = topk_join(queries, centres.select("vec_id", "v"), probes, metric).select(
-        "query_id", F.col("vec_id").alias("cell")
+    nearest = topk_join(
+        queries, centres.select("vec_id", "v"), probes, metric, base_bytes=size
     )
+    probed = nearest.select("query_id", F.col("vec_id").alias("cell"))
     found = topk_join(
         probed.join(queries, "query_id"), owned.join(base, "vec_id"), k, metric, group="cell"
     )

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from nearfield.functions import blocks
 from nearfield.params import check_metric
-from nearfield.runtime import BLOCK_ROWS, BROADCAST_BYTES, setting
+from nearfield.runtime import BLOCK_ROWS, BROADCAST_BYTES, materialize, setting
 
 GROUP = "_group"
 
@@ -24,7 +24,7 @@ def top_per(df: DataFrame, keys: list[str], order: list[str], k: int) -> DataFra
     return df.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
 
 
-def _footprint(df: DataFrame) -> tuple[int, int]:
+def footprint(df: DataFrame) -> tuple[int, int]:
     """Rows and bytes of the vectors of a table."""
     row = df.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dim")).first()
     return row["n"], row["n"] * (row["dim"] or 0) * 8
@@ -41,6 +41,7 @@ def topk_join(
     keep: tuple[str, ...] = (),
     carry: str | None = None,
     broadcast_bytes: int | None = None,
+    base_bytes: int | None = None,
 ) -> DataFrame:
     """The ``k`` nearest ``base`` rows of every query row, by (score, id).
 
@@ -56,6 +57,7 @@ def topk_join(
     all tasks and the other side is streamed with no shuffle. Otherwise both
     sides are cut into blocks of about ``blockRows`` rows per group, so that a
     hot group becomes many block pairs, and the blocks' top-k are merged.
+    ``base_bytes`` passes on a size that the caller has already counted.
     """
     check_metric(metric)
     spark = queries.sparkSession
@@ -76,12 +78,13 @@ def topk_join(
     task = _BlockTask(g, list(keep), carry, listed, k, metric, exclude_self, schema.names)
 
     limit = setting(spark, BROADCAST_BYTES) if broadcast_bytes is None else broadcast_bytes
-    _, base_bytes = _footprint(base)
+    if base_bytes is None:
+        _, base_bytes = footprint(base)
     if base_bytes <= limit:
         small = spark.sparkContext.broadcast(base.toArrow())
         scored = queries.mapInArrow(task.stream_queries(small), schema)
     else:
-        query_bytes = _footprint(queries)[1] if listed is None and not keep else limit + 1
+        query_bytes = footprint(queries)[1] if listed is None and not keep else limit + 1
         if query_bytes <= limit:
             small = spark.sparkContext.broadcast(queries.toArrow())
             scored = base.mapInArrow(task.stream_base(small), schema)
@@ -92,27 +95,37 @@ def topk_join(
 
 
 def _blocked(queries, base, g, task, schema) -> DataFrame:
-    """Both sides cut into bounded blocks per group; every block pair is one task group."""
+    """Both sides cut into bounded blocks per group; every block pair is one task group.
+
+    Only groups above ``blockRows`` are cut, so the table of cuts has at most
+    one row per ``blockRows`` input rows and is usually empty.
+    """
     rows = setting(queries.sparkSession, BLOCK_ROWS)
 
     def cuts(df, name):
-        return df.groupBy(g).agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(name))
+        count = df.groupBy(g).agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(name))
+        return count.filter(F.col(name) > 1)
 
-    grid = cuts(queries, "_qcuts").join(cuts(base, "_bcuts"), g)
-    q = (
-        queries.join(grid, g)
-        .withColumn("_qcut", F.pmod(F.xxhash64("query_id"), F.col("_qcuts")).cast("int"))
-        .withColumn("_bcut", F.explode(F.sequence(F.lit(0), F.col("_bcuts") - 1)))
-        .drop("_qcuts", "_bcuts")
+    big = materialize(
+        cuts(queries, "_qcuts").join(cuts(base, "_bcuts"), g, "full_outer"), "cuts"
     )
-    b = (
-        base.join(grid, g)
-        .withColumn("_bcut", F.pmod(F.xxhash64("vec_id"), F.col("_bcuts")).cast("int"))
-        .withColumn("_qcut", F.explode(F.sequence(F.lit(0), F.col("_qcuts") - 1)))
+    cells = [g]
+    if not big.isEmpty():
+        cells = [g, "_qcut", "_bcut"]
+        queries = _cut(queries, big, g, "query_id", "_qcut", "_bcut")
+        base = _cut(base, big, g, "vec_id", "_bcut", "_qcut")
+    return queries.groupBy(*cells).cogroup(base.groupBy(*cells)).applyInArrow(task.cell(), schema)
+
+
+def _cut(df, big, g, spread, own, other) -> DataFrame:
+    """Give each row its block number and a copy for every block of the other side."""
+    one = F.lit(1)
+    return (
+        df.join(big, g, "left")
+        .withColumn(own, F.pmod(F.xxhash64(spread), F.coalesce(own + "s", one)).cast("int"))
+        .withColumn(other, F.explode(F.sequence(F.lit(0), F.coalesce(other + "s", one) - 1)))
         .drop("_qcuts", "_bcuts")
     )
-    cells = [g, "_qcut", "_bcut"]
-    return q.groupBy(*cells).cogroup(b.groupBy(*cells)).applyInArrow(task.cell(), schema)
 
 
 class _BlockTask:

@@ -128,7 +128,8 @@ def prune_counters(
         .agg(F.min("piece").alias("first"), F.max("piece").alias("last"))
         .filter("first < last")
     )
-    inside = pieces.filter("src <> dst").join(spans, "src", "left_semi")
+    # At most one source crosses each boundary of two pieces, which bounds ``spans``.
+    inside = pieces.filter("src <> dst").join(F.broadcast(spans), "src", "left_semi")
     summaries = _piece_summaries(inside, params.max_degree)
     openings = _opening_tables(summaries, params.max_degree)
     stream = pieces.withColumn("opening", F.lit(False)).unionByName(

@@ -98,7 +98,7 @@ def _lookup_tables(edges, points, small):
     vectors = points.select("vec_id", "v")
     if small:
         return materialize(per_graph, "lists"), vectors
-    return bucketed(per_graph, "src", "lists"), bucketed(vectors, "vec_id", "vectors")
+    return bucketed(per_graph, ["graph_id", "src"], "lists"), bucketed(vectors, ["vec_id"], "vectors")
 
 
 def _first_state(queries, vectors, params):
@@ -131,8 +131,11 @@ def _round(active, lists, vectors, asked, params):
         F.slice("frontier", 1, params.prefetch), lambda x: ~F.array_contains(held, x["id"])
     )
     wanted = active.select(*KEYS, F.explode(F.transform(ahead, lambda x: x["id"])).alias("src"))
+    # Many queries want the same nodes near the entry: each is looked up once.
+    nodes = ["graph_id", "src"]
+    at = wanted.select(*nodes).distinct().join(lists, nodes, "left")
     looked_up = (
-        wanted.join(lists, ["graph_id", "src"], "left")
+        wanted.join(at, nodes)
         .groupBy(*KEYS)
         .agg(
             F.collect_list(
@@ -147,8 +150,9 @@ def _round(active, lists, vectors, asked, params):
     known = F.concat(*(F.transform(c, lambda x: x["id"]) for c in ("expanded", "frontier", "scores")))
     met = F.array_distinct(F.flatten(F.transform("new_lists", lambda x: x["nbrs"])))
     fresh = ready.select(*KEYS, F.explode(F.array_except(met, known)).alias("vec_id"))
+    met_vectors = fresh.select("vec_id").distinct().join(vectors, "vec_id")
     scored = (
-        fresh.join(vectors, "vec_id")
+        fresh.join(met_vectors, "vec_id")
         .join(asked, KEYS)
         .select(*KEYS, "vec_id", metric_score("v", "_q", params.metric).alias("d"))
         .groupBy(*KEYS)

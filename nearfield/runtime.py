@@ -130,6 +130,8 @@ def hot_key_join(many: DataFrame, one: DataFrame, keys: list[str], spread: str)
         .filter(F.col("_n") > rows)
         .select(*keys, F.ceil(F.col("_n") / rows).cast("int").alias("_slices"))
     )
+    if hot.isEmpty():
+        return many.join(one, keys)
     left = (
         many.join(hot, keys, "left")
         .withColumn("_slices", F.coalesce("_slices", F.lit(1)))
@@ -146,15 +148,15 @@ def hot_key_join(many: DataFrame, one: DataFrame, keys: list[str], spread: str)
     return left.join(right, keys + ["_slice"]).drop("_slice")
 
 
-def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
-    """Write ``df`` as a table bucketed by ``key``: joins on the key do not shuffle it again."""
+def bucketed(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Write ``df`` as a table bucketed by ``keys``: joins on them do not shuffle it again."""
     spark = df.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = f"nearfield_{name}_{uuid.uuid4().hex}"
     (
-        df.repartition(buckets, key)
-        .write.bucketBy(buckets, key)
-        .sortBy(key)
+        df.repartition(buckets, *keys)
+        .write.bucketBy(buckets, *keys)
+        .sortBy(*keys)
         .option("path", table_path(spark, name))
         .saveAsTable(table)
     )

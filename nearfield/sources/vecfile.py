@@ -12,6 +12,7 @@ is the row position over all of them.
 from __future__ import annotations
 
 import os
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -137,24 +138,38 @@ class VecFileReader(DataSourceReader):
         last = self.max_rows if self.max_rows > 0 else None
         if self.stop is not None:
             last = self.stop if last is None else min(last, self.stop)
-        for system, name, size in _files(self.path):
-            if last is not None and at >= last:
-                break
-            with system.open_input_file(name) as file:
-                head = file.read(8)
-            layout = layout_of(self.kind or kind_of(name), head, size)
+        for name, layout in self._layouts(last):
             rows = layout.rows if last is None else min(layout.rows, last - at)
             step = max(1, PARTITION_BYTES // max(1, layout.record))
             for first in range(0, rows, step):
                 count = min(step, rows - first)
+                path = name if "://" not in self.path else _qualified(self.path, name)
                 parts.append(
-                    RowRange(self.path, layout.kind, layout.dim, layout.header, layout.prefix,
+                    RowRange(path, layout.kind, layout.dim, layout.header, layout.prefix,
                              first, count, at + first)
                 )
-                parts[-1].path = name if "://" not in self.path else _qualified(self.path, name)
             at += layout.rows
         return parts or [RowRange(self.path, self.kind or "", 0, 0, 0, 0, 0, 0)]
 
+    def _layouts(self, last):
+        """Files and their layouts in order, until ``last`` rows are covered."""
+
+        def look(entry):
+            system, name, size = entry
+            with system.open_input_file(name) as file:
+                return name, layout_of(self.kind or kind_of(name), file.read(8), size)
+
+        files, rows = _files(self.path), 0
+        with ThreadPoolExecutor(32) as pool:
+            for start in range(0, len(files), 256):
+                if last is not None and rows >= last:
+                    return
+                for name, layout in pool.map(look, files[start : start + 256]):
+                    if last is not None and rows >= last:
+                        return
+                    rows += layout.rows
+                    yield name, layout
+
     def read(self, part: RowRange):
         if part.count == 0:
             return

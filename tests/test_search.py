@@ -29,8 +29,8 @@ def table(spark, rows):
 @pytest.fixture
 def branch(spark):
     """A bad branch that looks near at first; node 50 holds the answer."""
-    position = {0: 10.0, 40: 9.9, 50: 0.01}
-    vectors = [[position.get(i, 5.0 + i * 0.1)] for i in range(60)]
+    position = {0: 10.0, 40: 9.45, 50: 0.01}
+    vectors = [[position.get(i, 9.0 + i * 0.1)] for i in range(60)]
     nbrs = {0: [1, 40], **{i: [i + 1] for i in range(1, 30)}, 40: [50], 50: [40, 40]}
     return frame(spark, vectors), graph_table(spark, nbrs), dict(enumerate(vectors)), nbrs
 
