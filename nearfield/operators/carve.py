@@ -14,11 +14,17 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from nearfield.operators.knn import footprint, top_per, topk_join
 from nearfield.params import CarveParams
-from nearfield.runtime import materialize, positions
+from nearfield.runtime import materialize, positions, write_table
 
 DIGITS = 8
 NODE_SCHEMA = "path string, parent string, representative bigint, is_leaf boolean, chunked boolean"
 LEAF_SCHEMA = "path string, vec_id bigint"
+ROW_SCHEMA = "path string, vec_id bigint, parent string, fate string"
+BUCKET_SCHEMA = (
+    "parent string, child bigint, n bigint, representative bigint, parent_n bigint, "
+    "fate string, path string"
+)
+RUN_SCHEMA = "path string, parent string, vec_id bigint"
 
 
 def digits(number) -> Column:
@@ -168,54 +174,53 @@ def carve(points: DataFrame, params: CarveParams, replicas: int = 1) -> Forest:
         )
         return Forest(every, nodes, 0, replicas)
 
+    read = lambda schema, paths: spark.read.schema(schema).parquet(*paths)
     groups = roots.withColumn("n", F.lit(total).cast("bigint"))
     members = every
     with_vectors = points.withColumn("path", F.explode(F.expr(_root_paths(replicas))))
-    leaves, nodes, depth = [], [], 0
+    # One table per level and kind, read together at the end: the plan stays
+    # the same size however deep the recursion goes.
+    rows, buckets, runs, depth = [], [], [], 0
     while True:
         depth += 1
         leaders, size = leaders_of_level(members, points, groups, params)
         nearest = assign_to_leaders(with_vectors, leaders, params.metric, size)
         assigned = materialize(nearest.drop("d"), "assigned")
-        sizes = materialize(bucket_sizes(assigned, groups, params), "buckets")
+        buckets.append(write_table(bucket_sizes(assigned, groups, params), "buckets"))
+        sizes = read(BUCKET_SCHEMA, buckets[-1:])
         again, swallowed = sizes.agg(
             F.count_if(F.col("fate") == "split"), F.count_if(F.col("fate") == "chunk")
         ).first()
-        rows = assigned.join(sizes.select("parent", "child", "path", "fate"), ["parent", "child"])
-        nodes.append(
-            sizes.filter(F.col("fate") != "chunk").select(
-                "path", "parent", "representative",
-                (F.col("fate") == "leaf").alias("is_leaf"), F.lit(False).alias("chunked"),
-            )
-        )
-        leaves.append(rows.filter(F.col("fate") == "leaf").select("path", "vec_id"))
+        placed = assigned.join(sizes.select("parent", "child", "path", "fate"), ["parent", "child"])
+        rows.append(write_table(placed.select("path", "vec_id", "parent", "fate"), "rows"))
+        here = read(ROW_SCHEMA, rows[-1:])
         if swallowed:
-            runs = materialize(
-                chunk_split(rows.filter(F.col("fate") == "chunk"), params.cmax), "chunks"
-            )
-            leaves.append(runs.select("path", "vec_id"))
-            heads = runs.groupBy("path", "parent").agg(F.min("vec_id").alias("representative"))
-            chunked = heads.select("*", F.lit(True).alias("is_leaf"), F.lit(True).alias("chunked"))
-            nodes.append(materialize(chunked, "chunk_nodes"))
+            cut = chunk_split(here.filter(F.col("fate") == "chunk"), params.cmax)
+            runs.append(write_table(cut, "runs"))
         if not again:
             break
         groups = sizes.filter(F.col("fate") == "split").select("path", "n")
-        members = rows.filter(F.col("fate") == "split").select("path", "vec_id")
+        members = here.filter(F.col("fate") == "split").select("path", "vec_id")
         with_vectors = members.join(points, "vec_id")
-    return Forest(_union(leaves), _union(nodes), depth, replicas)
+
+    leaves = read(ROW_SCHEMA, rows).filter(F.col("fate") == "leaf").select("path", "vec_id")
+    nodes = read(BUCKET_SCHEMA, buckets).filter(F.col("fate") != "chunk").select(
+        "path", "parent", "representative",
+        (F.col("fate") == "leaf").alias("is_leaf"), F.lit(False).alias("chunked"),
+    )
+    if runs:
+        cut = read(RUN_SCHEMA, runs)
+        heads = cut.groupBy("path", "parent").agg(F.min("vec_id").alias("representative"))
+        chunked = heads.select("*", F.lit(True).alias("is_leaf"), F.lit(True).alias("chunked"))
+        leaves = leaves.unionByName(cut.select("path", "vec_id"))
+        nodes = nodes.unionByName(materialize(chunked, "chunk_nodes"))
+    return Forest(leaves, nodes, depth, replicas)
 
 
 def _root_paths(replicas: int) -> str:
     return f"transform(sequence(0, {replicas - 1}), r -> lpad(lower(hex(r)), {DIGITS}, '0'))"
 
 
-def _union(tables: list[DataFrame]) -> DataFrame:
-    whole = tables[0]
-    for table in tables[1:]:
-        whole = whole.unionByName(table)
-    return whole
-
-
 def nearest_children(
     points: DataFrame, children: DataFrame, count: int, metric: str = "l2"
 ) -> DataFrame:
@@ -247,18 +252,23 @@ def route_to_leaf(
     ``at`` has ``path, vec_id`` and any columns; at most one row per point may
     be inside any subtree. Only rows still at an inner node move on.
     """
+    if depth <= 1:
+        return at
     kinds = nodes.select("path", "is_leaf")
     children = nodes.join(points.withColumnRenamed("vec_id", "representative"), "representative")
     tagged = at.join(kinds, "path")
-    done = [tagged.filter("is_leaf").drop("is_leaf")]
-    for _ in range(1, depth):
-        inner = materialize(tagged.filter(~F.col("is_leaf")).drop("is_leaf"), "routing")
-        here = inner.withColumnRenamed("path", "parent")
+    schema, steps = tagged.schema, []
+    while True:
+        steps.append(write_table(tagged.select(*schema.names), "routing"))
+        inner = at.sparkSession.read.schema(schema).parquet(steps[-1]).filter(~F.col("is_leaf"))
+        if inner.isEmpty():
+            break
+        here = inner.drop("is_leaf").withColumnRenamed("path", "parent")
         step = nearest_children(here.join(points, "vec_id"), children, 1, metric).drop("rank")
         step = step.withColumn("parent", F.expr(f"left(path, length(path) - {DIGITS})"))
         tagged = here.join(step, ["parent", "vec_id"]).drop("parent").join(kinds, "path")
-        done.append(tagged.filter("is_leaf").drop("is_leaf"))
-    return _union(done)
+    every = at.sparkSession.read.schema(schema).parquet(*steps)
+    return every.filter("is_leaf").drop("is_leaf")
 
 
 def overlap(points: DataFrame, forest: Forest, params: CarveParams) -> DataFrame:
@@ -274,8 +284,6 @@ def overlap(points: DataFrame, forest: Forest, params: CarveParams) -> DataFrame
     reps = top.join(points.withColumnRenamed("vec_id", "representative"), "representative")
     start = points.withColumn("parent", F.explode(F.expr(_root_paths(forest.replicas))))
     picks = nearest_children(start, reps, params.fanout, params.metric)
-    if forest.depth > 1:
-        picks = materialize(picks, "picks")
     routed = route_to_leaf(picks, points, nodes, forest.depth, params.metric)
     elsewhere = routed.join(forest.leaves, ["path", "vec_id"], "left_anti").withColumn(
         "replica", replica_of()

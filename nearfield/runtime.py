@@ -21,7 +21,7 @@ def setting(spark: SparkSession, entry: tuple[str, int]) -> int:
 
 
 def session(app: str = "nearfield", master: str | None = None, **conf) -> SparkSession:
-    """A session with the adaptive settings the plans count on."""
+    """A session with the adaptive settings the plans count on, and this package on its executors."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
@@ -35,7 +35,9 @@ def session(app: str = "nearfield", master: str | None = None, **conf) -> SparkS
     }
     for name, value in settings.items():
         builder = builder.config(name, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -79,16 +81,20 @@ def table_path(spark: SparkSession, name: str) -> str:
     )
 
 
+def write_table(df: DataFrame, name: str) -> str:
+    """Write ``df`` to the shared folder; returns its path."""
+    path = table_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage, survives lost executors, and gives Catalyst the true
     size of the table for its later join choices.
     """
-    spark = df.sparkSession
-    path = table_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(write_table(df, name))
 
 
 def positions(df: DataFrame, group: list[str], order: list[str], name: str = "pos") -> DataFrame:
