@@ -73,7 +73,7 @@ def test_hub_matches_sequential_scan(spark, parts):
         got = {r["src"]: r for r in H.prune_counters(edges, points, params).collect()}
         graph = H.hash_prune(edges, points, params).collect()
     finally:
-        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     lists = {}
     for r in sorted(graph, key=lambda r: r["rank"]):
