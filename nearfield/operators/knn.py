@@ -51,7 +51,7 @@ def topk_join(
     query columns and ``carry`` a bigint base column to pass through.
 
     Result: ``[group], query_id, [keep], vec_id, [carry], d, rank``. A query id
-    may occur in several groups; each (group, query_id) is ranked on its own.
+    may occur in several groups, once in each, and is ranked in each on its own.
 
     A side whose vectors were counted to fit in ``broadcastBytes`` is sent to
     all tasks and the other side is streamed with no shuffle. Otherwise both
@@ -74,7 +74,8 @@ def topk_join(
     fields = [queries.schema[g], queries.schema["query_id"]]
     fields += [queries.schema[c] for c in keep]
     fields += [base.schema["vec_id"]] + ([base.schema[carry]] if carry else [])
-    schema = T.StructType(fields + [T.StructField("d", T.DoubleType())])
+    fields += [T.StructField("d", T.DoubleType()), T.StructField("rank", T.IntegerType())]
+    schema = T.StructType(fields)
     task = _BlockTask(g, list(keep), carry, listed, k, metric, exclude_self, schema.names)
 
     limit = setting(spark, BROADCAST_BYTES) if broadcast_bytes is None else broadcast_bytes
@@ -82,18 +83,22 @@ def topk_join(
         _, base_bytes = footprint(base)
     if base_bytes <= limit:
         small = spark.sparkContext.broadcast(base.toArrow())
-        scored = queries.mapInArrow(task.stream_queries(small), schema)
+        ranked = queries.mapInArrow(task.stream_queries(small), schema)
     else:
         query_bytes = footprint(queries)[1] if listed is None and not keep else limit + 1
         if query_bytes <= limit:
             small = spark.sparkContext.broadcast(queries.toArrow())
-            scored = base.mapInArrow(task.stream_base(small), schema)
+            ranked = _merged(base.mapInArrow(task.stream_base(small), schema), g, k)
         else:
-            scored = _blocked(queries, base, g, task, schema)
-    ranked = top_per(scored, [g, "query_id"], ["d", "vec_id"], k)
+            ranked = _blocked(queries, base, g, task, schema)
     return ranked if group else ranked.drop(GROUP)
 
 
+def _merged(parts: DataFrame, g: str, k: int) -> DataFrame:
+    """One ranking per query from the rankings against parts of the base."""
+    return top_per(parts, [g, "query_id"], ["d", "vec_id"], k)
+
+
 def _blocked(queries, base, g, task, schema) -> DataFrame:
     """Both sides cut into bounded blocks per group; every block pair is one task group.
 
@@ -109,12 +114,12 @@ def _blocked(queries, base, g, task, schema) -> DataFrame:
     big = materialize(
         cuts(queries, "_qcuts").join(cuts(base, "_bcuts"), g, "full_outer"), "cuts"
     )
-    cells = [g]
-    if not big.isEmpty():
-        cells = [g, "_qcut", "_bcut"]
-        queries = _cut(queries, big, g, "query_id", "_qcut", "_bcut")
-        base = _cut(base, big, g, "vec_id", "_bcut", "_qcut")
-    return queries.groupBy(*cells).cogroup(base.groupBy(*cells)).applyInArrow(task.cell(), schema)
+    if big.isEmpty():
+        return queries.groupBy(g).cogroup(base.groupBy(g)).applyInArrow(task.cell(), schema)
+    cells = [g, "_qcut", "_bcut"]
+    queries = _cut(queries, big, g, "query_id", "_qcut", "_bcut").groupBy(*cells)
+    base = _cut(base, big, g, "vec_id", "_bcut", "_qcut").groupBy(*cells)
+    return _merged(queries.cogroup(base).applyInArrow(task.cell(), schema), g, task.k)
 
 
 def _cut(df, big, g, spread, own, other) -> DataFrame:
@@ -158,7 +163,8 @@ class _BlockTask:
             blocks.column(right, n).take(pa.array(c))
             for n in ["vec_id"] + ([self.carry] if self.carry else [])
         ]
-        return pa.table(out + [pa.array(d)], names=self.names)
+        rank = np.arange(len(r)) - np.searchsorted(r, r) + 1
+        return pa.table(out + [pa.array(d), pa.array(rank, pa.int32())], names=self.names)
 
     def cell(self):
         task = self
