@@ -343,8 +343,8 @@ def k2_exact_knn_graph(spark, sf_dir):
 
 @query
 def k3_ground_truth(spark, sf_dir):
-    subset = T.first_rows(points(spark, sf_dir), P.ROW_LIMIT)
-    return N.ground_truth(subset, queries_of(spark, sf_dir), P.K)
+    base = points(spark, sf_dir)
+    return N.ground_truth(base, T.as_queries(base), P.K, "ip")
 
 
 # --- partitioning ------------------------------------------------------------
