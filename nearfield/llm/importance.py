@@ -25,10 +25,14 @@ _TOKEN = re.compile(rb"[A-Za-z0-9_\x80-\xff]+|[^A-Za-z0-9_\x80-\xff\s]+")
 
 @dataclass(frozen=True)
 class ResampleParams:
-    """``buckets`` n-gram features; at most ``label_limit`` labelled rows name the target."""
+    """``buckets`` n-gram features; at most ``label_limit`` labelled rows name the target.
+
+    ``prior`` is the number of raw features per bucket that the target model
+    starts from, so that rare features weigh little until they are seen.
+    """
 
     buckets: int = 1 << 14
-    smoothing: float = 1.0
+    prior: float = 16.0
     label_limit: int = 20_000
     seed: int = 17
 
@@ -99,11 +103,10 @@ def fit_ratio(docs: DataFrame, labels: DataFrame, params: ResampleParams = Resam
     raw, target = np.zeros(size), np.zeros(size)
     for bucket, n, m in sums.collect():
         raw[bucket], target[bucket] = n, m
-    a = params.smoothing
     if not target.sum():
         return np.zeros(size), 1.0
-    ratio = np.log((target + a) / (target.sum() + a * size))
-    ratio -= np.log((raw + a) / (raw.sum() + a * size))
+    share, prior = (raw + 1) / (raw.sum() + size), params.prior * size
+    ratio = np.log((target + prior * share) / (target.sum() + prior)) - np.log(share)
     stats = target_sample(labels, params.label_limit).agg(F.avg(F.col("_good").cast("double")))
     return ratio, float(stats.first()[0])
 

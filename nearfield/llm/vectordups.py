@@ -257,20 +257,23 @@ def _greedy_range(sims: np.ndarray, adjacency: np.ndarray, cosine: float, beam:
         fresh[active] = np.take_along_axis(all_fresh, top, 1)
     inside = sims >= cosine
     found = seen & inside
-    frontier = found.copy()
     links = np.zeros((m, m), np.float32)
     r, c = np.nonzero(adjacency >= 0)
     links[r, adjacency[r, c]] = 1
+    # Range expansion may walk an edge either way, since the cosine is the same.
+    links = np.maximum(links, links.T)
+    frontier = found | found.T
+    found = frontier.copy()
     while True:
         some = np.flatnonzero(frontier.any(axis=1))
         if not len(some):
             break
         reached = (frontier[some].astype(np.float32) @ links) > 0
-        new = reached & inside[some] & ~found[some]
-        frontier[:] = False
-        frontier[some] = new
-        found[some] |= new
-    found |= found.T
+        new = np.zeros_like(found)
+        new[some] = reached & inside[some]
+        new = (new | new.T) & ~found
+        found |= new
+        frontier = new
     np.fill_diagonal(found, False)
     return found & inside
 
