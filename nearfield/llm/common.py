@@ -30,8 +30,8 @@ def blobs(batch: pa.RecordBatch, name: str = "_text") -> list[bytes]:
 class WordTable(dict):
     """Numbers for words, with one computed record for each; emptied above ``limit`` words.
 
-    ``learn(words)`` returns one record per new word. Numbers stay valid until
-    the next call of ``trim``, which tasks make between texts.
+    ``learn(words)`` returns one record per new word. Tasks call ``prepare``
+    before each bounded set of texts; numbers stay valid until its next call.
     """
 
     def __init__(self, learn, limit: int = 300_000):
@@ -44,19 +44,19 @@ class WordTable(dict):
         self.columns = None
         self.used = 0
 
-    def trim(self) -> None:
+    def prepare(self, texts: list[list[bytes]]) -> list[list[bytes]]:
+        """Learn the new words of some split texts together; returns the texts."""
         if len(self) > self.limit:
             self.clear_all()
-
-    def numbers(self, words: list[bytes]) -> np.ndarray:
-        """The number of every word, learning those that are new."""
-        try:
-            return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        except KeyError:
-            fresh = list(set(words).difference(self.keys()))
+        fresh = [w for w in set().union(*texts) if w not in self]
+        if fresh:
             self._append(self.learn(fresh), len(fresh))
             self.update(zip(fresh, range(self.used - len(fresh), self.used)))
-            return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return texts
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        """The number of every word, all of them prepared."""
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
     def _append(self, columns: tuple, count: int) -> None:
         need = self.used + count

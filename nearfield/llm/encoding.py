@@ -6,7 +6,7 @@ import numpy as np
 
 _CODERS: dict[str, "WordCoder"] = {}
 _WORD_END = "</w>"
-_MARKS = b".,;:!?"
+_MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def coder(path: str) -> "WordCoder":
@@ -25,7 +25,7 @@ class WordCoder:
     text by text.
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -42,17 +42,14 @@ class WordCoder:
         found = self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False)
         return np.array(found.ids, "<u4").tobytes()
 
-    def encode(self, text: bytes) -> bytes:
+    def encode_all(self, texts: list[bytes]) -> list[bytes]:
         if not self.by_word:
-            return self.encode_text(text)
+            return [self.encode_text(text) for text in texts]
         if len(self.words) > self.limit:
             self.words.clear()
-        words = (text.lower() if text.isascii() else text).split()
-        try:
-            return b"".join(map(self.words.__getitem__, words))
-        except KeyError:
-            self._learn(set(words).difference(self.words.keys()))
-            return b"".join(map(self.words.__getitem__, words))
+        split = [(text.lower() if text.isascii() else text).split() for text in texts]
+        self._learn(set().union(*split).difference(self.words))
+        return [b"".join(map(self.words.__getitem__, words)) for words in split]
 
     def _learn(self, words: set[bytes]) -> None:
         known, parts, plain = self.words, {}, set()
@@ -78,7 +75,8 @@ class WordCoder:
             ids = np.frombuffer(self.encode_text(b" ".join(part)), "<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(part):
-                pieces = np.split(ids, cuts[:-1])
-                self.words.update((w, p.tobytes()) for w, p in zip(part, pieces))
+                raw, ends = ids.tobytes(), (cuts * 4).tolist()
+                starts = [0, *ends[:-1]]
+                self.words.update((w, raw[a:b]) for w, a, b in zip(part, starts, ends))
             else:
                 self.words.update((w, self.encode_text(w)) for w in part)

@@ -5,6 +5,8 @@ General over ``doc_id, text, lang``: the library's own records hold no texts.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -33,27 +35,38 @@ ENTROPY_TOKENS = 256
 
 
 class _Pieces:
-    """Per word of a SentencePiece vocabulary: its pieces, byte pieces and characters."""
+    """Per word of a SentencePiece vocabulary: its pieces, byte pieces, characters and symbols."""
 
     def __init__(self, path: str):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.is_byte = np.array([self.model.is_byte(i) for i in range(len(self.model))])
-        self.ids: list[np.ndarray] = []
+        self.size = len(self.model)
+        self.is_byte = np.array([self.model.is_byte(i) for i in range(self.size)])
+        self.ids = np.zeros(0, np.int64)
+        self.used = 0
         self.table = WordTable(self.learn)
 
     def learn(self, words: list[bytes]):
         texts = [w.decode("utf-8", "replace") for w in words]
-        ids = [np.array(i, np.int32) for i in self.model.encode(texts, num_threads=1)]
+        found = self.model.encode(texts, num_threads=1)
+        lengths = np.array(list(map(len, found)), np.int64)
+        flat = np.fromiter(chain.from_iterable(found), np.int64, int(lengths.sum()))
+        offsets = offsets_of(lengths)
         if not self.table:
-            self.ids = []
-        self.ids += ids
+            self.used = 0
+        need = self.used + len(flat)
+        if need > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(need, np.int64)])
+        self.ids[self.used : need] = flat
+        first, self.used = self.used + offsets[:-1], need
+        symbols = [len(w) - len(w.translate(None, _SYMBOLS)) for w in words]
         return (
-            np.array([len(i) for i in ids], np.int64),
-            np.array([self.is_byte[i].sum() for i in ids], np.int64),
-            np.array([len(t) for t in texts], np.int64),
-            np.array([sum(map(w.count, map(bytes, zip(_SYMBOLS)))) for w in words], np.int64),
+            lengths,
+            segment_sums(self.is_byte[flat], offsets).astype(np.int64),
+            np.array(list(map(len, texts)), np.int64),
+            np.array(symbols, np.int64),
+            first,
         )
 
 
@@ -66,23 +79,22 @@ def _loaded(path: str) -> _Pieces:
     return _LOADED[path]
 
 
-def _repeated(codes: np.ndarray) -> int:
-    """Words that lie in a 3-word window found twice or more."""
-    if len(codes) < 4:
-        return 0
-    _, small = np.unique(codes, return_inverse=True)
-    base = np.int64(small.max() + 1)
-    first = small[:-2] * base + small[1:-1]
-    if base < 2_000_000:
-        key = first * base + small[2:]
-    else:
-        key = np.unique(first, return_inverse=True)[1] * base + small[2:]
-    _, which, times = np.unique(key, return_inverse=True, return_counts=True)
-    hit = times[which] > 1
-    covered = np.zeros(len(codes), bool)
-    for shift in range(3):
-        covered[shift : shift + len(hit)] |= hit
-    return int(covered.sum())
+def _repeated(words: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Per text, the words that lie in a 3-word window found twice or more in it."""
+    covered = np.zeros(len(words), bool)
+    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    start = np.flatnonzero(owner[:-2] == owner[2:]) if len(words) > 2 else np.zeros(0, np.int64)
+    if len(start):
+        _, code = np.unique(words, return_inverse=True)
+        key = owner[start]
+        for shift in range(3):
+            # Re-coded at each step, so that the key never outgrows 64 bits.
+            key = np.unique(key, return_inverse=True)[1] * (code.max() + 1) + code[start + shift]
+        _, which, times = np.unique(key, return_inverse=True, return_counts=True)
+        hit = start[times[which] > 1]
+        for shift in range(3):
+            covered[hit + shift] = True
+    return segment_sums(covered, offsets).astype(np.int64)
 
 
 def _dup_lines(text: bytes) -> int:
@@ -111,15 +123,14 @@ def fertility(docs: DataFrame, pieces: str, *keep: str) -> DataFrame:
         table = vocabulary.table
         for batch in batches:
             for part in slices(batch):
-                table.trim()
                 texts = blobs(part)
-                codes = [table.numbers(t.split()) for t in texts]
-                offsets = offsets_of([len(c) for c in codes])
-                flat = np.concatenate(codes) if codes else np.zeros(0, np.int64)
-                columns = table.columns or [np.zeros(1, np.int64)] * 4
-                sums = [segment_sums(c[flat], offsets).astype(np.int64) for c in columns]
+                split = table.prepare([t.split() for t in texts])
+                offsets = offsets_of([len(w) for w in split])
+                flat = table.numbers(list(chain.from_iterable(split)))
+                columns = table.columns or [np.zeros(1, np.int64)] * 5
+                sums = [segment_sums(c[flat], offsets).astype(np.int64) for c in columns[:4]]
                 tokens, bytes_, chars, symbols = sums
-                entropy = np.array([_entropy(c, vocabulary.ids) for c in codes])
+                entropy = _entropy(vocabulary, columns[4][flat], columns[0][flat], offsets)
                 full = tokens > 0
                 one = np.maximum(tokens, 1)
                 measures = [
@@ -127,7 +138,7 @@ def fertility(docs: DataFrame, pieces: str, *keep: str) -> DataFrame:
                     chars,
                     symbols,
                     np.array([_dup_lines(t) for t in texts], np.int64),
-                    np.array([_repeated(c) for c in codes], np.int64),
+                    _repeated(flat, offsets),
                     tokens,
                 ]
                 ratios = [chars / one, bytes_ / one, entropy]
@@ -141,21 +152,21 @@ def fertility(docs: DataFrame, pieces: str, *keep: str) -> DataFrame:
     return rows.mapInArrow(measure, schema)
 
 
-def _entropy(codes: np.ndarray, ids: list[np.ndarray]) -> float:
-    """Entropy of a text's pieces as a share of the largest it could have."""
-    if not len(codes):
-        return 0.0
-    words, times = np.unique(codes, return_counts=True)
-    parts = [ids[w] for w in words]
-    counts = np.bincount(
-        np.concatenate(parts), weights=np.repeat(times, [len(p) for p in parts]).astype(float)
-    )
-    counts = counts[counts > 0]
-    total = counts.sum()
-    if total < 2:
-        return 1.0
-    share = counts / total
-    return float(-(share * np.log2(share)).sum() / np.log2(min(total, ENTROPY_TOKENS)))
+def _entropy(vocabulary: _Pieces, first, lengths, offsets) -> np.ndarray:
+    """Per text, the entropy of its pieces as a share of the largest it could have.
+
+    ``first`` and ``lengths`` say where the pieces of each word of the texts are.
+    """
+    at = np.repeat(first - offsets_of(lengths)[:-1], lengths) + np.arange(int(lengths.sum()))
+    words = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    key = np.repeat(words, lengths) * vocabulary.size + vocabulary.ids[at]
+    pair, n = np.unique(key, return_counts=True)
+    text = pair // vocabulary.size
+    count = len(offsets) - 1
+    total = np.bincount(text, n, count)
+    many = np.maximum(total, 2)
+    bits = np.log2(many) - np.bincount(text, n * np.log2(n), count) / many
+    return np.where(total < 2, (total == 1).astype(float), bits / np.log2(np.minimum(many, ENTROPY_TOKENS)))
 
 
 def base_failed():

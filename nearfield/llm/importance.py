@@ -46,10 +46,9 @@ def _features(table: WordTable, texts: list[bytes], buckets: int):
 
     A word that follows itself counts as one feature whatever the word is.
     """
-    table.trim()
     out = []
-    for text in texts:
-        numbers = table.numbers(_TOKEN.findall(text))
+    for tokens in table.prepare([_TOKEN.findall(text) for text in texts]):
+        numbers = table.numbers(tokens)
         if not len(numbers):
             out.append(np.zeros(0, np.int64))
             continue

@@ -12,7 +12,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from nearfield.llm.common import WordTable, slices, text_rows
+from nearfield.llm.common import WordTable, blobs, slices, text_rows
 from nearfield.llm.components import connected_components
 from nearfield.runtime import hot_key_join, materialize, positions
 
@@ -60,9 +60,12 @@ class Shingler:
             lambda new: (np.array([xxhash.xxh3_64_intdigest(w) for w in new], np.uint64),)
         )
 
-    def __call__(self, text: bytes) -> np.ndarray:
-        self.table.trim()
-        numbers = self.table.numbers(text.lower().split())
+    def __call__(self, texts: list[bytes]):
+        """The sets of some texts, one after the other."""
+        for words in self.table.prepare([t.lower().split() for t in texts]):
+            yield self.windows(self.table.numbers(words))
+
+    def windows(self, numbers: np.ndarray) -> np.ndarray:
         if not len(numbers):
             return np.zeros(0, np.uint64)
         hashes = self.table.columns[0][numbers]
@@ -97,7 +100,7 @@ def shingle_counts(docs: DataFrame, params: JaccardParams) -> np.ndarray:
     def count(batches):
         shingler, sums = Shingler(words), np.zeros(size, np.int64)
         for part in _each(batches):
-            found = [shingler(text.as_py()) for text in part.column("_text")]
+            found = list(shingler(blobs(part)))
             slots = (np.concatenate(found) >> shift).astype(np.int64)
             sums += np.bincount(slots, minlength=size)
         seen = np.flatnonzero(sums)
@@ -125,8 +128,7 @@ def text_profiles(docs: DataFrame, counts: np.ndarray, params: JaccardParams) ->
         shingler = Shingler(words)
         for part in _each(batches):
             sizes, nodes, prefixes = [], [], []
-            for text in part.column("_text"):
-                found = shingler(text.as_py())
+            for found in shingler(blobs(part)):
                 n = len(found)
                 sizes.append(n)
                 nodes.append(_node(found))
@@ -192,8 +194,7 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, params: JaccardParams) -> Da
         shingler, done = Shingler(words), set()
         for part in _each(batches):
             nodes, sets = [], []
-            for text in part.column("_text"):
-                found = shingler(text.as_py())
+            for found in shingler(blobs(part)):
                 node = int(_node(found))
                 at = node % bits
                 if len(found) and int(shared.value[at >> 6]) >> (at & 63) & 1 and node not in done:

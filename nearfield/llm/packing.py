@@ -172,8 +172,8 @@ def pack(
         for batch in batches:
             for part in slices(batch):
                 columns = [part.column(n).to_pylist() for n in ("doc_id", "_prompt")]
-                for doc_id, prompt, text in zip(*columns, blobs(part)):
-                    packer.add(doc_id, encoder.encode(text) + tail, prompt)
+                for doc_id, prompt, ids in zip(*columns, encoder.encode_all(blobs(part))):
+                    packer.add(doc_id, ids + tail, prompt)
                 if len(packer.docs) > packer.pool:
                     packer.pack(packer.pool // 2)
                 if packer.out:

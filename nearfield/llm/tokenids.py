@@ -37,7 +37,7 @@ def encode_ids(docs: DataFrame, vocabulary: str, end_id: int = 1) -> DataFrame:
         encoder = coder(vocabulary)
         for batch in batches:
             for rows in slices(batch):
-                coded = [encoder.encode(text) + tail for text in blobs(rows)]
+                coded = [ids + tail for ids in encoder.encode_all(blobs(rows))]
                 lengths = np.array([len(c) // 4 for c in coded], np.int64)
                 offsets = offsets_of(lengths)
                 values = np.frombuffer(b"".join(coded), "<i4")

@@ -64,13 +64,14 @@ class Hasher:
         found = np.array([self.word(w) for w in words], np.int64).reshape(-1, 3)
         return tuple(found.T)
 
-    def text(self, text: bytes) -> np.ndarray:
-        """Distinct features of a lower-cased text."""
-        self.table.trim()
-        numbers = np.unique(self.table.numbers(text.split()))
-        if not len(numbers):
-            return np.zeros(0, np.int64)
-        return np.unique(np.concatenate([c[numbers] for c in self.table.columns]))
+    def texts(self, texts: list[bytes]):
+        """Distinct features of each lower-cased text."""
+        for words in self.table.prepare([t.split() for t in texts]):
+            numbers = np.unique(self.table.numbers(words))
+            if len(numbers):
+                yield np.unique(np.concatenate([c[numbers] for c in self.table.columns]))
+            else:
+                yield np.zeros(0, np.int64)
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
@@ -116,8 +117,8 @@ def fit_toxicity(
         hasher, sums = Hasher(params.bits), np.zeros((2, size), np.int64)
         for batch in batches:
             for part in slices(batch):
-                for text, toxic in zip(blobs(part), part.column("toxic").to_pylist()):
-                    sums[int(toxic == 1)][hasher.text(text)] += 1
+                for found, toxic in zip(hasher.texts(blobs(part)), part.column("toxic").to_pylist()):
+                    sums[int(toxic == 1)][found] += 1
         seen = np.flatnonzero(sums.sum(axis=0))
         yield pa.record_batch(
             [pa.array(seen), pa.array(sums[0][seen]), pa.array(sums[1][seen])],
@@ -153,8 +154,8 @@ def fit_toxicity(
         for batch in batches:
             for part in slices(batch):
                 lists, named = [], []
-                for text in blobs(part):
-                    lists.append(np.flatnonzero(np.isin(features, own.text(text))).tolist())
+                for text, found in zip(blobs(part), own.texts(blobs(part))):
+                    lists.append(np.flatnonzero(np.isin(features, found)).tolist())
                     words = {w.strip(_MARKS) for w in text.split()}
                     named.append([i for t, i in spark_terms.items() if t in words])
                 yield pa.record_batch(
@@ -231,7 +232,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, cut: float = 0.3) -> D
         hasher = Hasher(bits)
         for batch in batches:
             for part in slices(batch):
-                z = np.array([weights[hasher.text(t)].sum(dtype=float) for t in blobs(part)])
+                z = np.array([weights[f].sum(dtype=float) for f in hasher.texts(blobs(part))])
                 p = np.round(1 / (1 + np.exp(-np.clip(z + bias, -500, 500))), 9)
                 yield pa.record_batch(
                     [part.column("doc_id"), pa.array(p), pa.array((p >= cut).astype(np.int32))],
