@@ -29,7 +29,7 @@ class JaccardParams:
 
     words: int = 5
     percent: int = 80
-    sketch_bits: int = 16
+    sketch_bits: int = 18
     filter_bits: int = 23
     region_rows: int = 2048
     region_bytes: int = 32 << 20
@@ -151,22 +151,63 @@ def text_profiles(docs: DataFrame, counts: np.ndarray, params: JaccardParams) ->
     return text_rows(docs).mapInArrow(profile, schema)
 
 
-def voronoi_regions(profiles: DataFrame) -> DataFrame:
+def _marks(df: DataFrame, column: str, bits: int) -> DataFrame:
+    """``_slot, _mark``: a filter of ``bits`` bits for a bigint column, at most ``bits / 64`` rows."""
+    place = F.pmod(column, F.lit(bits))
+    marks = df.select(F.shiftright(place, 6).alias("_slot"), place.alias("_at")).select(
+        "_slot", F.expr("shiftleft(1L, cast(_at & 63 as int))").alias("_mark")
+    )
+    return marks.groupBy("_slot").agg(F.bit_or("_mark").alias("_mark"))
+
+
+def voronoi_regions(profiles: DataFrame, params: JaccardParams) -> DataFrame:
     """``pivot, node``: every set beside the pivot of each rare shingle it shares with another set.
 
     The pivot of a shingle is the least node that has it in its prefix; two
     linked texts share such a shingle and so its region. A set takes part once
-    per different pivot. Least and largest node per shingle are summed before
-    the shuffle, so exact copies and common shingles cost nothing there.
+    per different pivot, and only where another member has a size that a link
+    allows. Least and largest node per shingle are summed before the shuffle;
+    two rows of a shingle name both its nodes, and only shingles with more are
+    looked up again, behind a filter of fixed size.
     """
     tokens = profiles.select("node", F.explode("prefix").alias("token"))
-    pivots = (
-        tokens.groupBy("token")
-        .agg(F.min("node").alias("pivot"), F.max("node").alias("_last"))
-        .filter("pivot < _last")
-        .drop("_last")
+    shared = tokens.groupBy("token").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("node").alias("pivot"), F.max("node").alias("node")
+    )
+    shared = materialize(shared.filter("pivot < node"), "shared-shingles")
+    many = shared.filter("_n > 2").select("token", "pivot")
+    bits = 1 << params.filter_bits
+    place = F.pmod("token", F.lit(bits))
+    # At most 2 ** filter_bits / 64 rows of two numbers.
+    likely = tokens.withColumn("_slot", F.shiftright(place, 6)).join(
+        F.broadcast(_marks(many, "token", bits)), "_slot"
+    )
+    likely = likely.withColumn("_at", place).filter("shiftright(_mark, cast(_at & 63 as int)) & 1L = 1L")
+    looked = likely.select("token", "node").join(many, "token").filter("node != pivot")
+    regions = shared.filter("_n = 2").select("pivot", "node")
+    regions = regions.unionByName(looked.select("pivot", "node")).distinct()
+    own = regions.select("pivot", F.col("pivot").alias("node")).distinct()
+    return _of_fitting_size(materialize(regions.unionByName(own), "regions"), profiles, params)
+
+
+def _of_fitting_size(regions: DataFrame, profiles: DataFrame, params: JaccardParams) -> DataFrame:
+    """Members of regions that share them with a set of fitting size, and their pivots.
+
+    Sizes fall into bands, so that the sizes of linked sets are at most one band apart.
+    """
+    sizes = profiles.groupBy("node").agg(F.min("n_shingles").alias("_size"))
+    width = np.log(100 / params.percent) * 1.000001 if params.percent < 100 else 1.0
+    band = F.floor(F.log("_size") / F.lit(float(width)))
+    members = materialize(
+        regions.join(sizes, "node").select("pivot", "node", band.alias("band")), "region-bands"
     )
-    return tokens.join(pivots, "token").filter("node != pivot").select("pivot", "node").distinct()
+    counts = members.groupBy("pivot", "band").agg(F.count(F.lit(1)).alias("_n"))
+    around = counts.select(
+        "pivot", F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)])).alias("band"), "_n"
+    )
+    fitting = around.groupBy("pivot", "band").agg(F.sum("_n").alias("_n")).filter("_n > 1").drop("_n")
+    kept = hot_key_join(members, fitting, ["pivot", "band"], "node").select("pivot", "node")
+    return kept.unionByName(kept.select("pivot", F.col("pivot").alias("node"))).distinct()
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame, params: JaccardParams) -> DataFrame:
@@ -177,16 +218,9 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, params: JaccardParams) -> Da
     drops the rest.
     """
     bits = 1 << params.filter_bits
-    place = F.pmod("node", F.lit(bits))
-    marks = (
-        nodes.select(F.shiftright(place, 6).alias("slot"), place.alias("_at"))
-        .select("slot", F.expr("shiftleft(1L, cast(_at & 63 as int))").alias("mark"))
-        .groupBy("slot")
-        .agg(F.bit_or("mark").alias("mark"))
-        .toArrow()
-    )
+    marks = _marks(nodes, "node", bits).toArrow()
     table = np.zeros(bits >> 6, np.int64)
-    table[marks["slot"].to_numpy()] = marks["mark"].to_numpy()
+    table[marks["_slot"].to_numpy()] = marks["_mark"].to_numpy()
     shared = docs.sparkSession.sparkContext.broadcast(table)
     words = params.words
 
@@ -399,9 +433,7 @@ def near_duplicates(docs: DataFrame, params: JaccardParams = JaccardParams()) ->
     counts = shingle_counts(docs, params)
     profiles = materialize(text_profiles(docs, counts, params), "profiles")
     full = profiles.filter("n_shingles > 0")
-    regions = voronoi_regions(full)
-    own = regions.select("pivot", F.col("pivot").alias("node")).distinct()
-    regions = materialize(regions.unionByName(own), "regions")
+    regions = materialize(voronoi_regions(full, params), "fitting-regions")
     sets = materialize(shingle_sets(docs, regions.select("node").distinct(), params), "shingle-sets")
     links = region_links(regions, sets, params)
     components = connected_components(links)
