@@ -191,7 +191,7 @@ def voronoi_regions(profiles: DataFrame, params: JaccardParams) -> DataFrame:
 
 
 def _of_fitting_size(regions: DataFrame, profiles: DataFrame, params: JaccardParams) -> DataFrame:
-    """Members of regions that share them with a set of fitting size, and their pivots.
+    """``pivot, node, n_shingles``: members that share a region with a set of fitting size, and pivots.
 
     Sizes fall into bands, so that the sizes of linked sets are at most one band apart.
     """
@@ -199,15 +199,17 @@ def _of_fitting_size(regions: DataFrame, profiles: DataFrame, params: JaccardPar
     width = np.log(100 / params.percent) * 1.000001 if params.percent < 100 else 1.0
     band = F.floor(F.log("_size") / F.lit(float(width)))
     members = materialize(
-        regions.join(sizes, "node").select("pivot", "node", band.alias("band")), "region-bands"
+        regions.join(sizes, "node").select("pivot", "node", "_size", band.alias("band")), "region-bands"
     )
     counts = members.groupBy("pivot", "band").agg(F.count(F.lit(1)).alias("_n"))
     around = counts.select(
         "pivot", F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)])).alias("band"), "_n"
     )
     fitting = around.groupBy("pivot", "band").agg(F.sum("_n").alias("_n")).filter("_n > 1").drop("_n")
-    kept = hot_key_join(members, fitting, ["pivot", "band"], "node").select("pivot", "node")
-    return kept.unionByName(kept.select("pivot", F.col("pivot").alias("node"))).distinct()
+    kept = hot_key_join(members, fitting, ["pivot", "band"], "node").select("pivot", "node", "_size")
+    pivots = members.filter("node = pivot").join(kept.select("pivot").distinct(), "pivot")
+    kept = kept.unionByName(pivots.select("pivot", "node", "_size")).distinct()
+    return kept.withColumnRenamed("_size", "n_shingles")
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame, params: JaccardParams) -> DataFrame:
@@ -396,11 +398,11 @@ def _join_large(members: DataFrame, sets: DataFrame, params: JaccardParams) -> D
 
 def region_links(regions: DataFrame, sets: DataFrame, params: JaccardParams) -> DataFrame:
     """``src, dst``: links enough to join all linked sets of every region."""
-    sized = sets.withColumn("_bytes", F.octet_length("shingles").cast("bigint"))
-    sizes = sized.select("node", "_bytes")
-    weights = regions.join(sizes, "node").groupBy("pivot").agg(
-        F.count(F.lit(1)).alias("_n"), F.sum("_bytes").alias("_sum"), F.max("_bytes").alias("_most")
+    size = 8 * F.col("n_shingles")
+    weights = regions.groupBy("pivot").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum(size).alias("_sum"), F.max(size).alias("_most")
     )
+    regions = regions.select("pivot", "node")
     large = (F.col("_n") > params.region_rows) | (F.col("_sum") > params.region_bytes)
     rows = F.least(
         F.lit(params.region_rows), F.greatest(F.lit(1), F.floor(F.lit(params.region_bytes) / F.col("_most")))
@@ -408,9 +410,10 @@ def region_links(regions: DataFrame, sets: DataFrame, params: JaccardParams) ->
     hot = materialize(
         weights.filter(large).select("pivot", rows.cast("bigint").alias("_rows")), "hot-regions"
     )
-    members = regions.join(sets, "node")
     if hot.isEmpty():
-        return _join_small(members, params)
+        return materialize(_join_small(regions.join(sets, "node"), params), "region-links")
+    sets = materialize(sets, "shingle-sets")
+    members = regions.join(sets, "node")
     small = _join_small(members.join(hot, "pivot", "left_anti"), params)
     spread = hot_key_join(regions, hot, ["pivot"], "node").join(sets, "node")
     return small.unionByName(_join_large(spread, sets, params))
@@ -434,7 +437,7 @@ def near_duplicates(docs: DataFrame, params: JaccardParams = JaccardParams()) ->
     profiles = materialize(text_profiles(docs, counts, params), "profiles")
     full = profiles.filter("n_shingles > 0")
     regions = materialize(voronoi_regions(full, params), "fitting-regions")
-    sets = materialize(shingle_sets(docs, regions.select("node").distinct(), params), "shingle-sets")
+    sets = shingle_sets(docs, regions.select("node").distinct(), params)
     links = region_links(regions, sets, params)
     components = connected_components(links)
     firsts = full.groupBy("node").agg(F.min("doc_id").alias("_first"))

@@ -55,11 +55,11 @@ WITH d AS (
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), share AS (
   SELECT arg_min((total - coalesce(caps_before, 0))::DOUBLE / weights_left::DOUBLE,
-                 struct_pack(a := source_size / weight, b := source)) AS lambda
+                 struct_pack(a := source_size / weight, b := source)) AS per_weight
   FROM r
   WHERE (total - coalesce(caps_before, 0))::DOUBLE / weights_left::DOUBLE * weight < 3 * source_size
 ), t AS (
-  SELECT source, source_size, least(3.0::DOUBLE * source_size, coalesce(lambda, 0) * weight) AS target
+  SELECT source, source_size, least(3.0::DOUBLE * source_size, coalesce(per_weight, 0) * weight) AS target
   FROM s, share
 ), m AS (
   SELECT doc_id, size, source_size, target,
