@@ -28,8 +28,10 @@ def matrix(data, name) -> np.ndarray:
     lengths = vectors.value_lengths().to_numpy(zero_copy_only=False)
     if vectors.null_count or lengths.min() != lengths.max():
         raise ValueError(f"column {name}: vectors are missing or differ in dimension")
-    flat = vectors.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(rows, -1).astype(np.float64)
+    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    if not np.isfinite(flat).all():
+        raise ValueError(f"column {name}: a vector has null or non-finite components")
+    return flat.reshape(rows, -1)
 
 
 def pair_scores(left, right, rows, cols, metric):
@@ -61,6 +63,8 @@ def nearest(left, left_ids, right, right_ids, k, metric, exclude_self=False, lis
     if left.shape[1] != right.shape[1]:
         raise ValueError(f"dimension mismatch: {left.shape[1]} and {right.shape[1]}")
     right_norm = (right * right).sum(axis=1)
+    if not (np.isfinite(right_norm).all() and np.isfinite((left * left).sum(axis=1)).all()):
+        raise ValueError("a vector is too long for a finite score")
     order = np.argsort(right_ids, kind="stable")
     sorted_ids = right_ids[order]
     found = []

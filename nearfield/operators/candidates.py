@@ -11,8 +11,6 @@ from nearfield.operators.knn import topk_join
 from nearfield.params import CandidateParams
 from nearfield.runtime import hot_key_join, materialize
 
-LISTED_LEAF_LIMIT = 4096
-
 
 def leaf_key() -> Column:
     """One bigint per (replica, leaf)."""
@@ -40,18 +38,9 @@ def shortlist(leaves: DataFrame, cap: int = 0) -> DataFrame:
     one bounded array, however many points it holds, and no pair of members
     is ever emitted as a row.
 
-    Without a cap the list is quadratic in the leaf size by definition. It is
-    given while no leaf exceeds ``LISTED_LEAF_LIMIT``; ``score_shortlist`` with
-    ``cap=0`` finds the best of all co-members for leaves of any size.
+    Without a cap the list is quadratic in the leaf size by definition;
+    ``score_shortlist`` with ``cap=0`` finds the best of all co-members without it.
     """
-    if cap <= 0:
-        largest = (
-            leaves.groupBy("replica", "leaf_id").count().agg(F.max("count").alias("n")).first()["n"]
-        )
-        if (largest or 0) > LISTED_LEAF_LIMIT:
-            raise ValueError(
-                f"a leaf has {largest} points; use score_shortlist(cap=0) instead of listing pairs"
-            )
     heads = (
         leaf_heads(leaves, cap + 1 if cap > 0 else 0)
         .groupBy("replica", "leaf_id")

@@ -88,8 +88,8 @@ def leaders_of_level(members, points, groups, params: CarveParams) -> tuple[Data
         leaders = materialize(chosen.join(points, "vec_id"), "leaders")
         count, size = footprint(leaders)
         if count == expected:
-            break
-    return leaders, size
+            return leaders, size
+    raise RuntimeError(f"{count} leaders were drawn where {expected} are wanted; are ids unique?")
 
 
 def assign_to_leaders(
@@ -276,6 +276,8 @@ def overlap(points: DataFrame, forest: Forest, params: CarveParams) -> DataFrame
 
     The further leaves are where the point is routed from its ``fanout``
     nearest children of the root, nearest child first, the home leaf excepted.
+    A root with fewer children than ``fanout`` adds at most one leaf less than
+    it has children.
     """
     if params.fanout <= 1 or forest.depth == 0:
         return forest.leaves
@@ -289,8 +291,12 @@ def overlap(points: DataFrame, forest: Forest, params: CarveParams) -> DataFrame
         "replica", replica_of()
     )
     order = W.partitionBy("replica", "vec_id").orderBy("rank")
-    extra = elsewhere.withColumn("_pick", F.row_number().over(order)).filter(
-        F.col("_pick") <= params.fanout - 1
+    # One row per replica.
+    children = top.groupBy(replica_of().alias("replica")).agg(F.count(F.lit(1)).alias("_children"))
+    extra = (
+        elsewhere.withColumn("_pick", F.row_number().over(order))
+        .join(F.broadcast(children), "replica")
+        .filter(F.col("_pick") <= F.least(F.lit(params.fanout), F.col("_children")) - 1)
     )
     return forest.leaves.unionByName(extra.select("path", "vec_id"))
 

@@ -35,8 +35,15 @@ def project(points: DataFrame, planes: list[list[float]]) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            products = blocks.matrix(batch, "v") @ normals.T if len(normals) and len(batch) else None
-            flat = products.ravel() if products is not None else np.zeros(0)
+            flat = np.zeros(0)
+            if len(normals) and len(batch):
+                # Summed in one order for every row, so that equal vectors have equal
+                # products whatever batch they are in.
+                vectors = blocks.matrix(batch, "v")
+                products = np.zeros((len(vectors), len(normals)))
+                for axis in range(vectors.shape[1]):
+                    products += vectors[:, axis, None] * normals[None, :, axis]
+                flat = products.ravel()
             offsets = np.arange(len(batch) + 1, dtype=np.int32) * len(normals)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), lists], names=["vec_id", "p"])

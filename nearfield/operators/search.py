@@ -269,7 +269,7 @@ def _expand(base, ids, starts, near, q, start, beam, metric):
     while frontier and len(expanded) < beam:
         d, node, at = heapq.heappop(frontier)
         expanded.append((d, node))
-        fresh = near[starts[at] : starts[at + 1]]
+        fresh = np.unique(near[starts[at] : starts[at + 1]])
         fresh = fresh[~found[fresh]]
         if len(fresh):
             found[fresh] = True

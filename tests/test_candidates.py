@@ -37,11 +37,9 @@ def test_hot_leaf_lists_match_model(spark, paths):
     assert got == {i: shortlist(leaves, i, 7) for i in {j for leaf in leaves for j in leaf}}
 
 
-def test_listing_all_pairs_of_a_huge_leaf_is_refused(spark, monkeypatch):
-    monkeypatch.setattr(C, "LISTED_LEAF_LIMIT", 3)
-    leaves = leaf_table(spark, [[0, 1, 2, 3]])
-    with pytest.raises(ValueError, match="score_shortlist"):
-        C.shortlist(leaves)
+def test_listing_all_pairs_of_a_leaf(spark):
+    leaves = leaf_table(spark, [list(range(30))])
+    assert listed(C.shortlist(leaves))[3] == [i for i in range(30) if i != 3]
     assert listed(C.shortlist(leaves, 2))[3] == [0, 1]
 
 

@@ -117,3 +117,10 @@ def test_sampling_falls_back_when_the_hash_cut_is_short(spark, monkeypatch):
 def test_parameters_are_checked(bad):
     with pytest.raises(ValueError):
         CarveParams(**bad)
+
+
+def test_fanout_is_clamped_to_the_children_of_the_root(spark):
+    points = frame(spark, [[0.0]] * 20 + [[10.0]] * 4)
+    part = R.build_partition(points, CarveParams(cmax=4, fanout=3, seed=3), 1)
+    row = R.partition_stats(part).first()
+    assert (row["max_membership"], row["assignment_total"]) == (2, 48)

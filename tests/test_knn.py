@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from nearfield.operators.knn import exact_knn_graph, exact_topk, ground_truth, topk_join
+from nearfield.sources.tables import as_queries
 from tests.model import frame, topk
 
 
@@ -68,3 +69,10 @@ def test_dimension_mismatch_raises(spark, paths):
     base = frame(spark, [[1.0, 2.0], [2.0, 3.0]])
     with pytest.raises(Exception, match="dimension"):
         exact_topk(base, frame(spark, [[1.0]], name="query_id"), 1).collect()
+
+
+@pytest.mark.parametrize("odd", [float("nan"), float("inf"), 1e200])
+def test_vectors_without_finite_scores_raise(spark, paths, odd):
+    base = frame(spark, [[0.0], [odd], [1.0]])
+    with pytest.raises(Exception, match="non-finite|finite score"):
+        exact_topk(base, as_queries(base), 2).collect()

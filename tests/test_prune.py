@@ -109,3 +109,14 @@ def test_adjacency_keeps_lonely_nodes(spark):
 def test_too_many_bits():
     with pytest.raises(ValueError):
         PruneParams(hash_bits=64)
+
+
+def test_equal_vectors_have_equal_projections_in_any_batch(spark):
+    rng = np.random.default_rng(8)
+    vector = rng.normal(size=96).tolist()
+    rows = [(i, vector if i % 7 == 0 else rng.normal(size=96).tolist()) for i in range(200)]
+    points = spark.createDataFrame(rows, "vec_id bigint, v array<double>").repartition(5)
+    params = PruneParams(hash_bits=12)
+    edges = edges_of(spark, 0, [i for i in range(7, 200, 7)])
+    codes = H.hash_edges(edges, points, params, H.plane_set(points, params)).collect()
+    assert len(codes) == 28 and {r["hash"] for r in codes} == {2**12 - 1}

@@ -133,3 +133,11 @@ def test_cells_with_all_probes_are_exact(spark, cloud):
     assert recall_at_k(truth, every, 5).first()["recall"] == 1.0
     few = approx_baseline(cloud, queries, 5, cells=8, probes=1)
     assert 0 < recall_at_k(truth, few, 5).first()["recall"] <= 1.0
+
+
+def test_an_edge_listed_twice_is_followed_once(spark, paths):
+    points = frame(spark, [[3.0], [2.0], [1.0], [0.0]])
+    graph = graph_table(spark, {0: [1, 1], 1: [2, 2], 2: [3]})
+    asked = spark.createDataFrame([(7, [1.0])], "query_id bigint, v array<double>")
+    found = beam_search(graph, points, asked, SearchParams(beam=3, topk=10))
+    assert lists(found)[7] == [2, 1, 0]
