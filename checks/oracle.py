@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 
 from checks import settings as P
+from checks.queries import SHUFFLED
 from nearfield.functions.vectors import hyperplanes
 
 CARVE, PRUNE, BEAM, K = P.CARVE, P.PRUNE, P.SEARCH.beam, P.K
@@ -209,6 +210,7 @@ def _search(name: str, graph: str, degree: int, beam: int) -> None:
 
 
 _search("hash", "hash_k12", 16, BEAM)
+_search("short", "hash_k12", 16, P.SHORT_SEARCH.beam)
 _search("refined", "refined_k12", 16, BEAM)
 _search("s0", "refined_k6_deg8", 8, 24)
 _search("s1", "refined_k12", 16, 32)
@@ -314,6 +316,8 @@ ORACLE = {
         sum(CASE WHEN t.x - s.x >= 0 THEN 1 << s.bit ELSE 0 END)::BIGINT AS hash
         FROM anchored a JOIN proj s ON s.vec_id = a.anchor
         JOIN proj t ON t.vec_id = a.vec_id AND t.bit = s.bit GROUP BY a.anchor, a.vec_id""",
+    "v7_residual_hash_equal": f"""SELECT vec_id AS src, -vec_id - 1 AS dst,
+        {(1 << PRUNE.hash_bits) - 1}::BIGINT AS hash FROM emb""",
     "v8_hyperplanes": "SELECT vec_id, bit::INT AS bit, round(x, 6) AS x FROM proj",
     "v9_qps": """SELECT event_type, day, round(n / greatest(1e-6, sec), 6) AS qps FROM (
         SELECT event_type, ts::DATE::VARCHAR AS day, count(*) AS n,
@@ -364,10 +368,10 @@ ORACLE = {
         UNION ALL SELECT dst, src, round(d, 6) FROM scored WHERE replica = 0 AND rank <= 4""",
     "c5_union_replicas": "SELECT src, dst, round(d, 6) AS d FROM cand_r2",
     "c6_candidate_stats": """SELECT sum(leaf_count)::BIGINT AS num_leaves,
-        sum(assignment_total)::BIGINT AS rbc_assignment_total,
-        sum(points_with_overlap)::BIGINT AS rbc_points_with_overlap,
-        max(max_membership) AS rbc_max_membership, min(min_leaf_size) AS rbc_min_leaf_size,
-        max(max_leaf_size) AS rbc_max_leaf_size, 0::BIGINT AS rbc_fallback_chunk_splits,
+        sum(assignment_total)::BIGINT AS partition_assignment_total,
+        sum(points_with_overlap)::BIGINT AS partition_points_with_overlap,
+        max(max_membership) AS partition_max_membership, min(min_leaf_size) AS partition_min_leaf_size,
+        max(max_leaf_size) AS partition_max_leaf_size, 0::BIGINT AS partition_fallback_chunk_splits,
         (SELECT 2 * count(*) FROM scored WHERE rank <= 12) AS candidate_edges FROM stats""",
     "c7_leaf_knn_exact": """SELECT leaf_id, src, dst, round(d, 6) AS d FROM (
         SELECT leaf_id, src, dst, d FROM leafnn WHERE rk <= 6
@@ -416,10 +420,10 @@ ORACLE = {
     "e3_run_benchmark": """SELECT 'hash' AS mode, round(recall, 6) AS recall_at_10,
         (SELECT count(*) FROM hash_graph) AS edges FROM recall_hash""",
     "e4_build_profile": """SELECT * FROM (
-        SELECT leaf_count AS num_leaves, assignment_total AS rbc_assignment_total,
-          points_with_overlap AS rbc_points_with_overlap, max_membership AS rbc_max_membership,
-          min_leaf_size AS rbc_min_leaf_size, max_leaf_size AS rbc_max_leaf_size,
-          fallback_chunk_splits AS rbc_fallback_chunk_splits,
+        SELECT leaf_count AS num_leaves, assignment_total AS partition_assignment_total,
+          points_with_overlap AS partition_points_with_overlap, max_membership AS partition_max_membership,
+          min_leaf_size AS partition_min_leaf_size, max_leaf_size AS partition_max_leaf_size,
+          fallback_chunk_splits AS partition_fallback_chunk_splits,
           (SELECT 2 * count(*) FROM scored WHERE replica = 0 AND rank <= 12) AS candidate_edges
         FROM stats WHERE replica = 0) CROSS JOIN totals""",
     "e5_parameter_sweep": " UNION ALL ".join(
@@ -471,6 +475,9 @@ CTES["wide"] = """
 ORACLE["s3_read_fbin"] = ORACLE["s1_read_fvecs"]
 ORACLE["s4_read_ibin"] = ORACLE["s2_read_ivecs"]
 ORACLE["k1_exact_topk_blocked"] = ORACLE["k1_exact_topk_l2"]
+ORACLE["q1_beam_search_repeated"] = ORACLE["q1_beam_search"]
+ORACLE["q1_beam_search_short"] = ORACLE["q1_beam_search"].replace("found_hash", "found_short")
+ORACLE |= {f"{name}_shuffled": ORACLE[name] for name in SHUFFLED}
 
 
 def oracle() -> dict[str, str]:

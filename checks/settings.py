@@ -15,6 +15,7 @@ PRUNE = PruneParams(hash_bits=6, max_degree=16, seed=7)
 BUILD = BuildParams(carve=CARVE, prune=PRUNE, replicas=1, leaf_k=12)
 REPLICATED = BuildParams(carve=CARVE, prune=PRUNE, replicas=2, leaf_k=12)
 SEARCH = SearchParams(beam=48, topk=K, entry=0)
+SHORT_SEARCH = SearchParams(beam=6, topk=K, entry=0)
 SCAN_CAP = 20
 CELLS, PROBES = 16, 4
 ROW_LIMIT = 100

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from nearfield.operators.carve import Partition, build_partition, partition_stats
-from nearfield.operators.knn import topk_join
+from nearfield.operators.knn import top_per, topk_join
 from nearfield.params import CandidateParams
 from nearfield.runtime import hot_key_join, materialize
 
@@ -21,12 +21,7 @@ def leaf_heads(leaves: DataFrame, limit: int) -> DataFrame:
     """The first ``limit`` members of every leaf by id, or all of them for 0."""
     if limit <= 0:
         return leaves
-    order = W.partitionBy("replica", "leaf_id").orderBy("vec_id")
-    return (
-        leaves.withColumn("_pos", F.row_number().over(order))
-        .filter(F.col("_pos") <= limit)
-        .drop("_pos")
-    )
+    return top_per(leaves, ["replica", "leaf_id"], ["vec_id"], limit).drop("rank")
 
 
 def shortlist(leaves: DataFrame, cap: int = 0) -> DataFrame:
@@ -139,12 +134,12 @@ def candidate_stats(candidates: Candidates) -> DataFrame:
     """Partition counters over all replicas and the edge count before removing repeats."""
     partition = partition_stats(candidates.partition).agg(
         F.sum("leaf_count").alias("num_leaves"),
-        F.sum("assignment_total").alias("rbc_assignment_total"),
-        F.sum("points_with_overlap").alias("rbc_points_with_overlap"),
-        F.max("max_membership").alias("rbc_max_membership"),
-        F.min("min_leaf_size").alias("rbc_min_leaf_size"),
-        F.max("max_leaf_size").alias("rbc_max_leaf_size"),
-        F.sum("fallback_chunk_splits").alias("rbc_fallback_chunk_splits"),
+        F.sum("assignment_total").alias("partition_assignment_total"),
+        F.sum("points_with_overlap").alias("partition_points_with_overlap"),
+        F.max("max_membership").alias("partition_max_membership"),
+        F.min("min_leaf_size").alias("partition_min_leaf_size"),
+        F.max("max_leaf_size").alias("partition_max_leaf_size"),
+        F.sum("fallback_chunk_splits").alias("partition_fallback_chunk_splits"),
     )
     factor = 2 if candidates.bidirected else 1
     count = candidates.scored.agg((F.count(F.lit(1)) * factor).alias("candidate_edges"))

@@ -16,10 +16,27 @@ from nearfield.params import check_metric
 from nearfield.runtime import BLOCK_ROWS, BROADCAST_BYTES, materialize, setting
 
 GROUP = "_group"
+SLICES = 64
+
+
+def prelimited(df: DataFrame, keys: list[str], order: list[str], k: int) -> DataFrame:
+    """Without most rows that cannot be among the first ``k`` of their key.
+
+    Spark itself limits a ranked group before the shuffle, but only up to a
+    limit of its own. Above that, every key is ranked in slices first, so that
+    the task of a hot key sorts at most ``SLICES * k`` rows of it.
+    """
+    if k <= int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
+        return df
+    sliced = df.withColumn("_slice", F.pmod(F.xxhash64(*order), F.lit(SLICES)))
+    window = W.partitionBy(*keys, "_slice").orderBy(*order)
+    ranked = sliced.withColumn("_pos", F.row_number().over(window)).filter(F.col("_pos") <= k)
+    return ranked.drop("_slice", "_pos")
 
 
 def top_per(df: DataFrame, keys: list[str], order: list[str], k: int) -> DataFrame:
     """Keep the first ``k`` rows of every key, numbered in column ``rank``."""
+    df = prelimited(df, keys, order, k)
     window = W.partitionBy(*keys).orderBy(*order)
     return df.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
 

@@ -83,20 +83,20 @@ def layout_of(kind: str, head: bytes, size: int) -> Layout:
     """Read a file's layout from its first bytes and check it against its length."""
     if kind in ("fbin", "ibin"):
         if len(head) < 8:
-            raise ValueError("failed to read bin header")
+            raise ValueError(f"a {kind} file needs 8 bytes of header, found {len(head)}")
         rows, dim = (int(x) for x in np.frombuffer(head[:8], "<u4"))
         if dim == 0:
-            raise ValueError("non-positive dim")
+            raise ValueError(f"a {kind} file states a dimension below 1")
         if size < 8 + rows * 4 * dim:
-            raise ValueError(f"truncated {kind} payload")
+            raise ValueError(f"a {kind} file of {size} bytes is too short for {rows} rows of {dim} values")
         return Layout(kind, dim, rows, 8, 0)
     if size == 0:
         return Layout(kind, 0, 0, 0, 4)
     if len(head) < 4:
-        raise ValueError("failed to read dim header")
+        raise ValueError(f"a {kind} file needs 4 bytes of dimension, found {len(head)}")
     dim = int(np.frombuffer(head[:4], "<i4")[0])
     if dim <= 0:
-        raise ValueError("non-positive dim")
+        raise ValueError(f"a {kind} file states a dimension below 1")
     rows, rest = divmod(size, 4 + 4 * dim)
     return Layout(kind, dim, rows + (1 if rest else 0), 0, 4)
 
@@ -182,11 +182,11 @@ class VecFileReader(DataSourceReader):
                 rows = min(step, part.count - start)
                 data = file.read_at(rows * record, part.header + (part.first + start) * record)
                 if len(data) < rows * record:
-                    raise ValueError(f"truncated {part.kind} record")
+                    raise ValueError(f"{part.path} ends inside row {part.first + start + len(data) // record}")
                 words = np.frombuffer(data, "<i4").reshape(rows, record // 4)
                 if part.prefix:
                     if (words[:, 0] != part.dim).any():
-                        raise ValueError(f"inconsistent {part.kind[:-1]} dim")
+                        raise ValueError(f"{part.path} has rows that are not of dimension {part.dim}")
                     words = words[:, 1:]
                 flat = np.ascontiguousarray(words).ravel()
                 if is_float:
@@ -235,7 +235,7 @@ class VecFileWriter(DataSourceArrowWriter):
                 lengths = vectors.value_lengths().to_numpy(zero_copy_only=False)
                 dim = dim or int(lengths[0])
                 if (lengths != dim).any():
-                    raise ValueError(f"inconsistent {self.kind} dim")
+                    raise ValueError(f"vectors of {name} are not all of dimension {dim}")
                 values = vectors.flatten().to_numpy(zero_copy_only=False).astype(dtype)
                 values = values.reshape(len(vectors), dim)
                 rows += len(vectors)

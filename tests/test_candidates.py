@@ -77,13 +77,13 @@ def test_candidates_of_replicas(spark):
     built = C.build_candidates(points, settings)
     expected, raw = set(), 0
     lookup = dict(enumerate(vectors))
-    stats = {"num_leaves": 0, "rbc_assignment_total": 0, "rbc_min_leaf_size": 99, "rbc_max_leaf_size": 0}
+    stats = {"num_leaves": 0, "partition_assignment_total": 0, "partition_min_leaf_size": 99, "partition_max_leaf_size": 0}
     for replica in range(2):
         leaves = partition(lookup, params, replica)
         stats["num_leaves"] += len(leaves)
-        stats["rbc_assignment_total"] += sum(map(len, leaves))
-        stats["rbc_min_leaf_size"] = min(stats["rbc_min_leaf_size"], *map(len, leaves))
-        stats["rbc_max_leaf_size"] = max(stats["rbc_max_leaf_size"], *map(len, leaves))
+        stats["partition_assignment_total"] += sum(map(len, leaves))
+        stats["partition_min_leaf_size"] = min(stats["partition_min_leaf_size"], *map(len, leaves))
+        stats["partition_max_leaf_size"] = max(stats["partition_max_leaf_size"], *map(len, leaves))
         for i in range(120):
             near = sorted((score(vectors[i], vectors[j]), j) for j in shortlist(leaves, i, 30))[:5]
             raw += 2 * len(near)

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from nearfield.operators.knn import exact_knn_graph, exact_topk, ground_truth, topk_join
+from nearfield.operators.knn import exact_knn_graph, exact_topk, ground_truth, top_per, topk_join
 from nearfield.sources.tables import as_queries
 from tests.model import frame, topk
 
@@ -76,3 +76,9 @@ def test_vectors_without_finite_scores_raise(spark, paths, odd):
     base = frame(spark, [[0.0], [odd], [1.0]])
     with pytest.raises(Exception, match="non-finite|finite score"):
         exact_topk(base, as_queries(base), 2).collect()
+
+
+def test_limits_above_sparks_own_keep_the_first_rows(spark):
+    rows = spark.range(3000).selectExpr("0 as g", "id", "cast(2999 - id as double) as d")
+    kept = top_per(rows, ["g"], ["d", "id"], 1100).collect()
+    assert sorted((r["rank"], r["id"]) for r in kept) == [(i + 1, 2999 - i) for i in range(1100)]
