@@ -12,7 +12,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from nearfield.llm.common import WordTable, blobs, slices, text_rows
+from nearfield.llm.common import SLICE, WordTable, blobs, slices, text_rows
 from nearfield.llm.components import connected_components
 from nearfield.runtime import hot_key_join, materialize, positions
 
@@ -89,6 +89,18 @@ def _each(batches):
         yield from slices(batch)
 
 
+_SHINGLERS: dict[int, Shingler] = {}
+
+
+def _sets(texts: list[bytes], words: int) -> list[np.ndarray]:
+    """The sets of some texts; the words met are kept for later groups of this Python worker."""
+    shingler = _SHINGLERS.setdefault(words, Shingler(words))
+    found: list[np.ndarray] = []
+    for at in range(0, len(texts), SLICE):
+        found.extend(shingler(texts[at : at + SLICE]))
+    return found
+
+
 def shingle_counts(docs: DataFrame, params: JaccardParams) -> np.ndarray:
     """Approximate document frequency by shingle: counts per hash slot over all texts.
 
@@ -114,12 +126,13 @@ def shingle_counts(docs: DataFrame, params: JaccardParams) -> np.ndarray:
 
 
 def text_profiles(docs: DataFrame, counts: np.ndarray, params: JaccardParams) -> DataFrame:
-    """``doc_id, n_shingles, node, prefix`` of every text.
+    """``doc_id, n_shingles, node, text_id, bytes, prefix`` of every text.
 
     ``node`` stands for the set of shingles; equal sets have equal nodes, and
     different ones do not, up to the chance of equal 64-bit hashes. ``prefix``
     has the rarest shingles of the set, as many as two linked texts must share
-    one of: all but the ceil(percent * n / 100) - 1 most frequent.
+    one of: all but the ceil(percent * n / 100) - 1 most frequent. ``text_id``
+    is the hash of the text, ``bytes`` what text and set take inside a task.
     """
     shared = docs.sparkSession.sparkContext.broadcast(counts)
     shift, words, percent = np.uint64(64 - params.sketch_bits), params.words, params.percent
@@ -127,9 +140,11 @@ def text_profiles(docs: DataFrame, counts: np.ndarray, params: JaccardParams) ->
     def profile(batches):
         shingler = Shingler(words)
         for part in _each(batches):
-            sizes, nodes, prefixes = [], [], []
-            for found in shingler(blobs(part)):
+            sizes, nodes, prefixes, room = [], [], [], []
+            texts = blobs(part)
+            for text, found in zip(texts, shingler(texts)):
                 n = len(found)
+                room.append(8 * n + len(text))
                 sizes.append(n)
                 nodes.append(_node(found))
                 order = np.argsort(shared.value[(found >> shift).astype(np.int64)], kind="stable")
@@ -142,13 +157,15 @@ def text_profiles(docs: DataFrame, counts: np.ndarray, params: JaccardParams) ->
                     part.column("doc_id"),
                     pa.array(sizes, pa.int64()),
                     pa.array(nodes, pa.int64()),
+                    part.column("text_id"),
+                    pa.array(room, pa.int64()),
                     pa.ListArray.from_arrays(offsets, np.concatenate(prefixes)),
                 ],
-                names=["doc_id", "n_shingles", "node", "prefix"],
+                names=["doc_id", "n_shingles", "node", "text_id", "bytes", "prefix"],
             )
 
-    schema = "doc_id bigint, n_shingles bigint, node bigint, prefix array<bigint>"
-    return text_rows(docs).mapInArrow(profile, schema)
+    schema = "doc_id bigint, n_shingles bigint, node bigint, text_id bigint, bytes bigint, prefix array<bigint>"
+    return text_rows(docs).withColumn("text_id", F.xxhash64("_text")).mapInArrow(profile, schema)
 
 
 def _marks(df: DataFrame, column: str, bits: int) -> DataFrame:
@@ -160,6 +177,19 @@ def _marks(df: DataFrame, column: str, bits: int) -> DataFrame:
     return marks.groupBy("_slot").agg(F.bit_or("_mark").alias("_mark"))
 
 
+def _marked(df: DataFrame, wanted: DataFrame, column: str, bits: int) -> DataFrame:
+    """Rows of ``df`` whose ``column`` passes the filter of ``wanted``, all its own and few others.
+
+    At most ``bits / 64`` rows of two numbers are broadcast.
+    """
+    place = F.pmod(column, F.lit(bits))
+    likely = df.withColumn("_slot", F.shiftright(place, 6)).join(
+        F.broadcast(_marks(wanted, column, bits)), "_slot"
+    )
+    likely = likely.withColumn("_at", place).filter("shiftright(_mark, cast(_at & 63 as int)) & 1L = 1L")
+    return likely.select(df.columns)
+
+
 def voronoi_regions(profiles: DataFrame, params: JaccardParams) -> DataFrame:
     """``pivot, node``: every set beside the pivot of each rare shingle it shares with another set.
 
@@ -177,13 +207,7 @@ def voronoi_regions(profiles: DataFrame, params: JaccardParams) -> DataFrame:
     shared = materialize(shared.filter("pivot < node"), "shared-shingles")
     many = shared.filter("_n > 2").select("token", "pivot")
     bits = 1 << params.filter_bits
-    place = F.pmod("token", F.lit(bits))
-    # At most 2 ** filter_bits / 64 rows of two numbers.
-    likely = tokens.withColumn("_slot", F.shiftright(place, 6)).join(
-        F.broadcast(_marks(many, "token", bits)), "_slot"
-    )
-    likely = likely.withColumn("_at", place).filter("shiftright(_mark, cast(_at & 63 as int)) & 1L = 1L")
-    looked = likely.select("token", "node").join(many, "token").filter("node != pivot")
+    looked = _marked(tokens, many, "token", bits).join(many, "token").filter("node != pivot")
     regions = shared.filter("_n = 2").select("pivot", "node")
     regions = regions.unionByName(looked.select("pivot", "node")).distinct()
     own = regions.select("pivot", F.col("pivot").alias("node")).distinct()
@@ -191,70 +215,48 @@ def voronoi_regions(profiles: DataFrame, params: JaccardParams) -> DataFrame:
 
 
 def _of_fitting_size(regions: DataFrame, profiles: DataFrame, params: JaccardParams) -> DataFrame:
-    """``pivot, node, n_shingles``: members that share a region with a set of fitting size, and pivots.
+    """``pivot, node, bytes``: members that share a region with a set of fitting size, and pivots.
 
     Sizes fall into bands, so that the sizes of linked sets are at most one band apart.
     """
-    sizes = profiles.groupBy("node").agg(F.min("n_shingles").alias("_size"))
+    sizes = profiles.groupBy("node").agg(
+        F.min("n_shingles").alias("_size"), F.max("bytes").alias("bytes")
+    )
     width = np.log(100 / params.percent) * 1.000001 if params.percent < 100 else 1.0
     band = F.floor(F.log("_size") / F.lit(float(width)))
     members = materialize(
-        regions.join(sizes, "node").select("pivot", "node", "_size", band.alias("band")), "region-bands"
+        regions.join(sizes, "node").select("pivot", "node", "bytes", band.alias("band")), "region-bands"
     )
     counts = members.groupBy("pivot", "band").agg(F.count(F.lit(1)).alias("_n"))
     around = counts.select(
         "pivot", F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)])).alias("band"), "_n"
     )
     fitting = around.groupBy("pivot", "band").agg(F.sum("_n").alias("_n")).filter("_n > 1").drop("_n")
-    kept = hot_key_join(members, fitting, ["pivot", "band"], "node").select("pivot", "node", "_size")
+    kept = hot_key_join(members, fitting, ["pivot", "band"], "node").select("pivot", "node", "bytes")
     pivots = members.filter("node = pivot").join(kept.select("pivot").distinct(), "pivot")
-    kept = kept.unionByName(pivots.select("pivot", "node", "_size")).distinct()
-    return kept.withColumnRenamed("_size", "n_shingles")
+    return kept.unionByName(pivots.select("pivot", "node", "bytes")).distinct()
 
 
-def shingle_sets(docs: DataFrame, nodes: DataFrame, params: JaccardParams) -> DataFrame:
-    """``node, shingles`` (sorted 64-bit hashes, binary) of the sets named in ``nodes``.
+def region_texts(docs: DataFrame, profiles: DataFrame, nodes: DataFrame, params: JaccardParams) -> DataFrame:
+    """``node, text``: one text for each of the sets named in ``nodes``.
 
-    Texts are read again where they lie. A filter of ``2 ** filter_bits`` bits,
-    whatever the number of nodes, drops most others inside the tasks; a join
-    drops the rest.
+    A text takes less room than its set of hashes, so texts move and tasks take
+    their sets anew. A filter of ``2 ** filter_bits`` bits, whatever the number
+    of nodes, drops most other texts where they lie; a join drops the rest.
     """
-    bits = 1 << params.filter_bits
-    marks = _marks(nodes, "node", bits).toArrow()
-    table = np.zeros(bits >> 6, np.int64)
-    table[marks["_slot"].to_numpy()] = marks["_mark"].to_numpy()
-    shared = docs.sparkSession.sparkContext.broadcast(table)
-    words = params.words
-
-    def gather(batches):
-        shingler, done = Shingler(words), set()
-        for part in _each(batches):
-            nodes, sets = [], []
-            for found in shingler(blobs(part)):
-                node = int(_node(found))
-                at = node % bits
-                if len(found) and int(shared.value[at >> 6]) >> (at & 63) & 1 and node not in done:
-                    if len(done) < 1_000_000:
-                        done.add(node)
-                    nodes.append(node)
-                    sets.append(found.tobytes())
-            if nodes:
-                yield pa.record_batch(
-                    [pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())],
-                    names=["node", "shingles"],
-                )
-
-    found = text_rows(docs).select("_text").mapInArrow(gather, "node bigint, shingles binary")
-    return found.join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    one = profiles.groupBy("node").agg(F.min("text_id").alias("text_id")).join(nodes, "node", "left_semi")
+    one = materialize(one, "text-ids")
+    texts = text_rows(docs).select(F.xxhash64("_text").alias("text_id"), F.col("_text").alias("text"))
+    texts = _marked(texts, one, "text_id", 1 << params.filter_bits).dropDuplicates(["text_id"])
+    return texts.join(one, "text_id").select("node", "text")
 
 
 class _Cell:
     """Sets of one region inside a task, with postings from shingles to sets."""
 
-    def __init__(self, nodes: np.ndarray, blobs: list[bytes], percent: int):
-        self.nodes, self.percent = nodes, percent
-        self.radius = 1 - percent / 100 + 1e-9
-        sets = [np.frombuffer(b, np.uint64) for b in blobs]
+    def __init__(self, nodes: np.ndarray, texts: list[bytes], params: JaccardParams):
+        self.nodes, self.percent, self.radius = nodes, params.percent, params.radius
+        sets = _sets(texts, params.words)
         self.size = np.array([len(s) for s in sets], np.int64)
         at = np.concatenate([[0], np.cumsum(self.size)])
         owner = np.repeat(np.arange(len(sets)), self.size)
@@ -314,11 +316,10 @@ LINKS = "src bigint, dst bigint"
 
 def _join_small(members: DataFrame, params: JaccardParams) -> DataFrame:
     """Links inside regions that fit one task."""
-    percent = params.percent
 
     def run(region: pa.Table) -> pa.Table:
         region = region.sort_by("node")
-        cell = _Cell(region["node"].to_numpy(), region["shingles"].to_pylist(), percent)
+        cell = _Cell(region["node"].to_numpy(), region["text"].to_pylist(), params)
         everyone = np.arange(len(cell.nodes))
         cell.join(everyone, everyone)
         return _links_of(cell)
@@ -326,7 +327,7 @@ def _join_small(members: DataFrame, params: JaccardParams) -> DataFrame:
     return members.groupBy("pivot").applyInArrow(run, LINKS)
 
 
-def _join_large(members: DataFrame, sets: DataFrame, params: JaccardParams) -> DataFrame:
+def _join_large(members: DataFrame, texts: DataFrame, params: JaccardParams) -> DataFrame:
     """Links inside regions above the limit, cut into rings around their pivot.
 
     Sets in reach of the pivot are linked to it and so to each other. The rest
@@ -337,10 +338,12 @@ def _join_large(members: DataFrame, sets: DataFrame, params: JaccardParams) -> D
     percent, radius = params.percent, params.radius
 
     def measure(batches):
-        for batch in batches:
+        for batch in _each(batches):
             close, far = [], []
-            for a, b in zip(batch.column("shingles").to_pylist(), batch.column("_pivot").to_pylist()):
-                a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+            pivots = list(set(blobs(batch, "_pivot")))
+            pivot_sets = dict(zip(pivots, _sets(pivots, params.words)))
+            for a, b in zip(_sets(blobs(batch, "text"), params.words), blobs(batch, "_pivot")):
+                b = pivot_sets[b]
                 inside = len(np.intersect1d(a, b, assume_unique=True))
                 union = len(a) + len(b) - inside
                 close.append(100 * inside >= percent * union)
@@ -351,9 +354,9 @@ def _join_large(members: DataFrame, sets: DataFrame, params: JaccardParams) -> D
                 names=["pivot", "node", "_rows", "d", "linked"],
             )
 
-    pivots = sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("_pivot"))
+    pivots = texts.select(F.col("node").alias("pivot"), F.col("text").alias("_pivot"))
     placed = hot_key_join(members, pivots, ["pivot"], "node").select(
-        "pivot", "node", "_rows", "shingles", "_pivot"
+        "pivot", "node", "_rows", "text", "_pivot"
     )
     placed = materialize(
         placed.mapInArrow(measure, "pivot bigint, node bigint, _rows bigint, d double, linked boolean"),
@@ -383,24 +386,23 @@ def _join_large(members: DataFrame, sets: DataFrame, params: JaccardParams) -> D
     )
     hosts = hosts.select("pivot", "ring", "slice", "node", F.lit(True).alias("host"))
     rows = hosts.unionByName(guests).groupBy("pivot", "ring", "slice", "node")
-    rows = rows.agg(F.max("host").alias("host")).join(sets, "node")
+    rows = rows.agg(F.max("host").alias("host")).join(texts, "node")
 
     def run(cell_rows: pa.Table) -> pa.Table:
         cell_rows = cell_rows.sort_by("node")
-        cell = _Cell(cell_rows["node"].to_numpy(), cell_rows["shingles"].to_pylist(), percent)
+        cell = _Cell(cell_rows["node"].to_numpy(), cell_rows["text"].to_pylist(), params)
         host = cell_rows["host"].to_numpy(zero_copy_only=False).astype(bool)
         cell.join(np.flatnonzero(host), np.arange(len(host)))
         return _links_of(cell)
 
-    cells = rows.select("pivot", "ring", "slice", "node", "host", "shingles")
+    cells = rows.select("pivot", "ring", "slice", "node", "host", "text")
     return direct.unionByName(cells.groupBy("pivot", "ring", "slice").applyInArrow(run, LINKS))
 
 
-def region_links(regions: DataFrame, sets: DataFrame, params: JaccardParams) -> DataFrame:
+def region_links(regions: DataFrame, texts: DataFrame, params: JaccardParams) -> DataFrame:
     """``src, dst``: links enough to join all linked sets of every region."""
-    size = 8 * F.col("n_shingles")
     weights = regions.groupBy("pivot").agg(
-        F.count(F.lit(1)).alias("_n"), F.sum(size).alias("_sum"), F.max(size).alias("_most")
+        F.count(F.lit(1)).alias("_n"), F.sum("bytes").alias("_sum"), F.max("bytes").alias("_most")
     )
     regions = regions.select("pivot", "node")
     large = (F.col("_n") > params.region_rows) | (F.col("_sum") > params.region_bytes)
@@ -411,12 +413,12 @@ def region_links(regions: DataFrame, sets: DataFrame, params: JaccardParams) ->
         weights.filter(large).select("pivot", rows.cast("bigint").alias("_rows")), "hot-regions"
     )
     if hot.isEmpty():
-        return materialize(_join_small(regions.join(sets, "node"), params), "region-links")
-    sets = materialize(sets, "shingle-sets")
-    members = regions.join(sets, "node")
+        return materialize(_join_small(regions.join(texts, "node"), params), "region-links")
+    texts = materialize(texts, "region-texts")
+    members = regions.join(texts, "node")
     small = _join_small(members.join(hot, "pivot", "left_anti"), params)
-    spread = hot_key_join(regions, hot, ["pivot"], "node").join(sets, "node")
-    return small.unionByName(_join_large(spread, sets, params))
+    spread = hot_key_join(regions, hot, ["pivot"], "node").join(texts, "node")
+    return small.unionByName(_join_large(spread, texts, params))
 
 
 def near_duplicates(docs: DataFrame, params: JaccardParams = JaccardParams()) -> DataFrame:
@@ -437,8 +439,8 @@ def near_duplicates(docs: DataFrame, params: JaccardParams = JaccardParams()) ->
     profiles = materialize(text_profiles(docs, counts, params), "profiles")
     full = profiles.filter("n_shingles > 0")
     regions = materialize(voronoi_regions(full, params), "fitting-regions")
-    sets = shingle_sets(docs, regions.select("node").distinct(), params)
-    links = region_links(regions, sets, params)
+    texts = region_texts(docs, full, regions.select("node").distinct(), params)
+    links = region_links(regions, texts, params)
     components = connected_components(links)
     firsts = full.groupBy("node").agg(F.min("doc_id").alias("_first"))
     labelled = firsts.join(components, "node", "left").select(
