@@ -18,12 +18,13 @@ from nearfield.runtime import hot_key_join, materialize
 
 @dataclass(frozen=True)
 class RangeGraphParams:
-    """``shard_rows`` is the largest shard that is not cut, ``fanout`` the shards of a point.
+    """``shard_rows`` is the largest shard that is not cut, ``fanout`` the shards of a point at a split.
 
     ``max_degree`` and ``alpha`` prune the adjacency lists, ``beam`` bounds the
-    greedy phase of the search. The audit compares ``audit_rows`` points with
-    all points; below ``recall`` the search is repeated with a larger fanout, up
-    to ``max_fanout``.
+    greedy phase of the search. The audit compares points with all points until
+    ``audit_rows`` of them have a link, or ``audit_limit`` were compared; below
+    ``recall`` the search is repeated with a larger fanout, up to
+    ``max_fanout``, and then without graph and bound on the fanout.
     """
 
     cosine: float = 0.95
@@ -35,6 +36,7 @@ class RangeGraphParams:
     alpha: float = 1.2
     beam: int = 8
     audit_rows: int = 256
+    audit_limit: int = 65_536
     recall: float = 0.97
 
 
@@ -72,15 +74,35 @@ def _matrix(table: pa.Table) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
 
 
-def overlapping_shards(classes: DataFrame, params: RangeGraphParams, fanout: int) -> DataFrame:
-    """``shard, node``: each point in the shards of its ``fanout`` nearest leaders.
+def _near_leaders(score: np.ndarray, fanout: int | None, cosine: float) -> np.ndarray:
+    """Which leaders every row goes to: of its ``fanout`` nearest (None: of all) those within the margin.
+
+    Of two linked points take the one nearer to its nearest leader: that leader
+    is at most the link's angle farther from the other point than the other's
+    own nearest. Leaders beyond this margin are never needed, and without a
+    bound on the fanout every linked pair shares a leader.
+    """
+    angle = np.arccos(np.clip(score, -1, 1))
+    margin = np.arccos(np.clip(cosine, -1, 1)) + 1e-6
+    inside = angle <= angle.min(axis=1, keepdims=True) + margin
+    if fanout is None or fanout >= score.shape[1]:
+        return inside
+    first = np.argpartition(-score, fanout - 1, axis=1)[:, :fanout]
+    near = np.zeros_like(inside)
+    np.put_along_axis(near, first, True, axis=1)
+    return near & inside
+
+
+def overlapping_shards(classes: DataFrame, params: RangeGraphParams, fanout: int | None) -> DataFrame:
+    """``shard, node``: each point in the shards of its nearest leaders, at every split.
 
     Points of one dimension form the first shard. A shard above ``shard_rows``
     is split at leaders drawn by hash, at most about ``max_leaders``, of which
     those near an earlier one are dropped: a dense group has one leader and
-    stays together. A shard with a single leader is left as it is, and the
-    search cuts it into blocks. Leaders and slices of a shard meet in tasks of
-    bounded size.
+    stays together. A shard with a single leader, or whose parts would overlap
+    so much that nothing is saved, is left as it is, and the search cuts it
+    into blocks and compares all of them. Leaders and slices of a shard meet in
+    tasks of bounded size.
     """
     rows = materialize(
         classes.select(F.size("v").cast("bigint").alias("shard"), "node", "v"), "shard-rows"
@@ -97,15 +119,20 @@ def overlapping_shards(classes: DataFrame, params: RangeGraphParams, fanout: int
         done = whole if done is None else done.unionByName(whole)
         if sizes.isEmpty():
             return done
-        rows = materialize(_split(rows, sizes, leaders, fanout), "shard-rows")
-        # The first level overlaps; each further one would multiply the copies again.
-        fanout, level = 1, level + 1
+        rows = materialize(_split(rows, sizes, leaders, fanout, params.cosine), "shard-rows")
+        level += 1
 
 
 def _leaders(rows, sizes, level, fanout, params) -> DataFrame:
-    """``shard, leader, v``: leaders of the large shards, none near another of its shard."""
+    """``shard, leader, v``: leaders of the large shards, none near another of its shard.
+
+    A single one where the drawn rows show that a split would not halve the
+    pairs to compare, or would make more than ``max_fanout`` copies of a row.
+    """
+    cosine, most = params.cosine, params.max_fanout
     large = hot_key_join(rows, sizes, ["shard"], "node")
-    wanted = F.least(F.lit(params.max_leaders), F.ceil(F.col("_n") * 3 * fanout / params.shard_rows))
+    parts = F.ceil(F.col("_n") * 3 * (fanout or most) / params.shard_rows)
+    wanted = F.least(F.lit(params.max_leaders), parts)
     draw = F.pmod(F.xxhash64(F.lit(level), "node"), F.lit(1 << 30)) / F.lit(1 << 30)
     drawn = large.filter(draw < F.greatest(wanted, F.lit(8)) / F.col("_n"))
 
@@ -115,13 +142,20 @@ def _leaders(rows, sizes, level, fanout, params) -> DataFrame:
         for i in range(len(v)):
             if not kept or (v[kept] @ v[i]).max() < 0.8:
                 kept.append(i)
+        if len(kept) > 1:
+            score = v @ v[kept].T
+            score[kept, np.arange(len(kept))] = -1  # a leader stands for rows that are none
+            near = _near_leaders(score, fanout, cosine)
+            share = near.mean(axis=0)
+            if (share * share).sum() > 0.5 or share.sum() > most:
+                kept = kept[:1]
         return drawn.take(pa.array(kept)).rename_columns(["shard", "leader", "v"])
 
     fields = "shard bigint, leader bigint, v array<double>"
     return drawn.select("shard", "node", "v").groupBy("shard").applyInArrow(thin, fields)
 
 
-def _split(rows, sizes, leaders, fanout) -> DataFrame:
+def _split(rows, sizes, leaders, fanout, cosine) -> DataFrame:
     """Rows of the large shards, each in the new shards of its nearest leaders."""
     cut = F.ceil(F.col("_n") / F.lit(20_000)).cast("int")
     members = hot_key_join(rows, sizes, ["shard"], "node").withColumn(
@@ -135,13 +169,12 @@ def _split(rows, sizes, leaders, fanout) -> DataFrame:
             return left.select(["shard", "node", "v"])
         right = right.sort_by("leader")
         score = _matrix(left) @ _matrix(right).T
-        take = min(fanout, score.shape[1])
-        near = np.argpartition(-score, take - 1, axis=1)[:, :take]
+        row, near = np.nonzero(_near_leaders(score, fanout, cosine))
         with np.errstate(over="ignore"):
-            child = left["shard"].to_numpy()[:, None] * np.int64(6364136223846793005)
+            child = left["shard"].to_numpy()[row] * np.int64(6364136223846793005)
             child = child + right["leader"].to_numpy()[near]
-        out = left.select(["node", "v"]).take(pa.array(np.repeat(np.arange(len(left)), take)))
-        return out.add_column(0, "shard", pa.array(child.ravel()))
+        out = left.select(["node", "v"]).take(pa.array(row))
+        return out.add_column(0, "shard", pa.array(child))
 
     fields = "shard bigint, node bigint, v array<double>"
     split = members.select("shard", "slice", "node", "v").groupBy("shard", "slice")
@@ -278,18 +311,17 @@ def _greedy_range(sims: np.ndarray, adjacency: np.ndarray, cosine: float, beam:
     return found & inside
 
 
-def range_links(cells: DataFrame, adjacency: DataFrame, params: RangeGraphParams) -> DataFrame:
+def range_links(cells: DataFrame, adjacency: DataFrame | None, params: RangeGraphParams) -> DataFrame:
     """``node, n_links, root``: links of every point that a shard finds first, and one link to join them.
 
     A pair of points that share several shards is counted in the first of them
     alone, so no pair leaves its task. ``root`` is the least node that the
-    point reaches inside the shard.
+    point reaches inside the shard. Without ``adjacency`` all pairs of a cell
+    are compared.
     """
-    cosine, beam = params.cosine, params.beam
+    cosine, beam, exact = params.cosine, params.beam, adjacency is None
 
-    def search(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("node")
-        nodes, v = rows["node"].to_numpy(), _matrix(rows)
+    def walk(rows: pa.Table, nodes: np.ndarray, sims: np.ndarray) -> np.ndarray:
         m = len(nodes)
         lists = rows["dsts"].combine_chunks()
         owner = np.repeat(np.arange(m), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
@@ -300,7 +332,18 @@ def range_links(cells: DataFrame, adjacency: DataFrame, params: RangeGraphParams
         width = int(np.bincount(owner, minlength=m).max()) if len(owner) else 1
         table = np.full((m, max(1, width)), -1, np.int64)
         table[owner, np.arange(len(owner)) - np.searchsorted(owner, owner)] = at
-        found = _greedy_range(v @ v.T, table, cosine, beam)
+        return _greedy_range(sims, table, cosine, beam)
+
+    def search(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("node")
+        nodes, v = rows["node"].to_numpy(), _matrix(rows)
+        m = len(nodes)
+        sims = v @ v.T
+        if exact:
+            found = sims >= cosine
+            np.fill_diagonal(found, False)
+        else:
+            found = walk(rows, nodes, sims)
         label = np.arange(m)
         while True:  # the least node in reach, over found links
             low = np.where(found, label[None, :], m).min(axis=1)
@@ -331,19 +374,40 @@ def range_links(cells: DataFrame, adjacency: DataFrame, params: RangeGraphParams
         )
 
     fields = "node bigint, n_links bigint, root bigint"
-    joined = cells.join(adjacency.withColumnRenamed("src", "node"), "node", "left")
-    return joined.groupBy("shard", "low", "high").applyInArrow(search, fields)
+    if not exact:
+        cells = cells.join(adjacency.withColumnRenamed("src", "node"), "node", "left")
+    return cells.groupBy("shard", "low", "high").applyInArrow(search, fields)
 
 
-def audit(classes: DataFrame, found: DataFrame, params: RangeGraphParams) -> float:
-    """Recall of the found links for ``audit_rows`` points in hash order, against all points."""
-    order = F.xxhash64(F.lit("audit"), "node")
-    sample = classes.select("node", "v").orderBy(order, "node").limit(params.audit_rows)
-    table = sample.toArrow()
-    if not len(table):
+def audit(classes: DataFrame, found: DataFrame, params: RangeGraphParams) -> float | None:
+    """Recall of the found links over points in hash order, each compared with all points.
+
+    Goes on until ``audit_rows`` of the points have a link or all points were
+    compared; None where ``audit_limit`` points did not show as many.
+    """
+    n = classes.count()
+    if not n:
         return 1.0
+    draw = F.pmod(F.xxhash64(F.lit("audit"), "node"), F.lit(1 << 30)) / F.lit(1 << 30)
+    width = classes.agg(F.max(F.size("v"))).first()[0]
+    most = max(1, min(8192, (32 << 20) // (8 * width)))
+    size, low, hits, true, linked = 4 * params.audit_rows, 0.0, 0, 0, 0
+    while linked < params.audit_rows and low < 1:
+        if low * n >= params.audit_limit:
+            return None
+        high = low + min(size, most) / n
+        sample = classes.select("node", "v").filter((draw >= low) & (draw < high))
+        row = _audited(classes, found, sample.toArrow(), params.cosine)
+        hits, true, linked = hits + row[0], true + row[1], linked + row[2]
+        size, low = 4 * size, high
+    return hits / true if true else 1.0
+
+
+def _audited(classes: DataFrame, found: DataFrame, table: pa.Table, cosine: float):
+    """Found links, all links and linked points of the points in ``table``."""
+    if not len(table):
+        return 0, 0, 0
     shared = classes.sparkSession.sparkContext.broadcast(table)
-    cosine = params.cosine
 
     def count(batches):
         table = shared.value
@@ -364,10 +428,11 @@ def audit(classes: DataFrame, found: DataFrame, params: RangeGraphParams) -> flo
 
     true = classes.select("node", "v", "weight").mapInArrow(count, "node bigint, _true bigint")
     true = true.groupBy("node").agg(F.sum("_true").alias("_true"))
-    row = true.join(found, "node", "left").agg(
-        F.sum(F.least(F.coalesce("n_links", F.lit(0)), "_true")), F.sum("_true")
+    return true.join(found, "node", "left").agg(
+        F.sum(F.least(F.coalesce("n_links", F.lit(0)), "_true")),
+        F.sum("_true"),
+        F.count(F.when(F.col("_true") > 0, 1)),
     ).first()
-    return float(row[0] / row[1]) if row[1] else 1.0
 
 
 def near_duplicate_points(
@@ -377,7 +442,8 @@ def near_duplicate_points(
 
     Points link where the cosine of their vectors, in double precision, is at
     least ``params.cosine``; every link is verified, and the share of all links
-    that is found is audited. Equal vectors are one point of the graph and count
+    that is found is audited. Where no fanout reaches ``params.recall``, or too
+    few links are seen to tell, all pairs that can link are compared. Equal vectors are one point of the graph and count
     by their number. ``component_id`` is the smallest ``vec_id`` in reach, its
     own included; ``kept`` marks that point. A vector that is null or zero, or
     has null or non-finite components, links with nothing; so do vectors of
@@ -386,13 +452,16 @@ def near_duplicate_points(
     is kept or not as its id says. An empty table gives an empty table.
     """
     classes = materialize(point_classes(points), "point-classes")
-    for fanout in range(params.fanout, params.max_fanout + 1):
+    for fanout in [*range(params.fanout, params.max_fanout + 1), None]:
         shards = materialize(overlapping_shards(classes, params, fanout), "shards")
         cells = _cells(shards, classes, params)
-        adjacency = build_adjacency(cells, params)
+        adjacency = None if fanout is None else build_adjacency(cells, params)
         parts = materialize(range_links(cells, adjacency, params), "shard-links")
         found = parts.groupBy("node").agg(F.sum("n_links").alias("n_links"))
-        if audit(classes, found, params) >= params.recall:
+        if fanout is None:
+            break
+        recall = audit(classes, found, params)
+        if recall is not None and recall >= params.recall:
             break
     components = connected_components(parts.select("node", "root"), "node", "root")
     labelled = classes.select("node", "weight", "first_id").join(components, "node", "left")

@@ -58,6 +58,20 @@ def test_near_duplicate_points(spark, shard_rows):
     assert near_duplicate_points(points.limit(0)).count() == 0
 
 
+def test_sparse_links_after_several_splits(spark):
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(1500, 32))
+    v[1440:] = v[:60] + 0.3 * rng.normal(size=(60, 32))
+    points = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id bigint, v array<double>")
+    params = RangeGraphParams(shard_rows=100, max_leaders=16, max_fanout=2)
+    found = {r.vec_id: r.n_links for r in near_duplicate_points(points, params).collect()}
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    close = (unit @ unit.T >= 0.95).sum(axis=1) - 1
+    assert close.sum() >= 60
+    assert all(found[i] <= close[i] for i in range(1500))
+    assert sum(found.values()) >= 0.97 * close.sum()
+
+
 @needs_data
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_equals_sql(spark, name):
