@@ -145,6 +145,11 @@ def _parse(buffer: bytearray):
         head = buffer.find(end, at)
         if head < 0:
             break
+        if head == at:
+            # A file that ends in a line break and a separator is cut at the first
+            # separator; the rest is a piece too, and got one that is not in the file.
+            at += len(end)
+            continue
         lines = bytes(buffer[at:head]).decode("utf-8", "replace").split("\r\n")
         if not lines[0].startswith("WARC/"):
             raise ValueError(f"no WARC record where one should start: {lines[0][:80]!r}")

@@ -151,6 +151,22 @@ def test_warc(spark):
     assert warc.read_archives(spark, path).count() == 0
 
 
+@pytest.mark.parametrize("html", ["<p>\r\n", "\r\n", "<p>\r\n\r\n\r\n", "<p>\r", "<p>\n"])
+def test_warc_line_break_at_the_end(spark, html):
+    pages = spark.createDataFrame([(1, "u", html)], "page_id bigint, url string, html string")
+    path = table_path(spark, "warc")
+    warc.write_archives(pages.coalesce(1), path)
+    assert [bytes(r.payload) for r in warc.read_archives(spark, path).collect()] == [html.encode()]
+    # Archives that are read in one task.
+    path = table_path(spark, "warc")
+    pages = pages.union(pages.withColumn("page_id", F.lit(2).cast("bigint"))).repartition(2, "page_id")
+    warc.write_archives(pages, path)
+    warc.write_archives(pages.coalesce(1), f"{path}-one")
+    for at in (path, f"{path}-one"):
+        rows = warc.read_archives(spark, at).coalesce(1).collect()
+        assert sorted((r.page_id, bytes(r.payload)) for r in rows) == [(i, html.encode()) for i in (1, 2)]
+
+
 def test_fertility(docs, empty):
     got = Counter()
     for r in fertility.quality_rules(docs, PIECE_BPE).collect():
