@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from nearfield.llm.common import WordTable, blobs, offsets_of, segment_sums, slices, text_rows
+from nearfield.runtime import materialize
 
 _SYMBOLS = b"#*$%&|<>"
 BASE_SCHEMA = (
@@ -19,7 +20,7 @@ BASE_SCHEMA = (
 )
 FERTILITY_SCHEMA = "n_tokens bigint, chars_per_token double, byte_share double, token_entropy double"
 
-# Fixed bands: (lowest, highest) characters per token, highest share of
+# Bands where a language has too few documents for its own: (lowest, highest) characters per token, highest share of
 # byte-fallback tokens, lowest token entropy. Entropy is a share of the entropy
 # that as many different tokens would have, up to ENTROPY_TOKENS of them.
 # Languages in Latin script share one band with room on both sides of running
@@ -32,6 +33,16 @@ BANDS = {
     None: (1.0, 12.0, 0.25, 0.45),
 }
 ENTROPY_TOKENS = 256
+#: A band of a language's own needs so many different measures.
+LEAST_DOCUMENTS = 100
+# Per measure: how many times the distance between its quartiles a band reaches
+# beyond them, and how far at least. Characters per token get more room, as
+# clean texts full of names and numbers lie far out.
+MARGINS = {
+    "chars_per_token": (8.0, 0.3),
+    "byte_share": (1.5, 0.05),
+    "token_entropy": (1.5, 0.05),
+}
 
 
 class _Pieces:
@@ -176,6 +187,35 @@ def base_failed():
     )
 
 
+def language_bands(measured: DataFrame) -> DataFrame:
+    """``_lang, _low, _high, _bytes, _entropy``: the band of every language with enough documents.
+
+    Quartiles of each measure, widened by MARGINS, over the documents that pass
+    the base rule. Equal measures, as copies have, count once. Measures are
+    rounded to thousandths, so that quartiles are exact and one state per
+    language stays small.
+    """
+    rows = measured.filter(~F.col("base_failed") & F.col("token_entropy").isNotNull())
+    rounded = [F.round(F.least(F.col(m), F.lit(100.0)), 3).alias(m) for m in MARGINS]
+    rows = rows.select(F.col("lang").alias("_lang"), "n_tokens", *rounded).distinct()
+    quartiles = [F.percentile(m, F.array(F.lit(0.25), F.lit(0.75))).alias(m) for m in MARGINS]
+    found = rows.groupBy("_lang").agg(F.count(F.lit(1)).alias("_n"), *quartiles)
+
+    def edge(name, upper):
+        times, least = MARGINS[name]
+        q1, q3 = F.col(name)[0], F.col(name)[1]
+        room = F.greatest(times * (q3 - q1), F.lit(least))
+        return q3 + room if upper else q1 - room
+
+    return found.filter(F.col("_n") >= LEAST_DOCUMENTS).select(
+        "_lang",
+        edge("chars_per_token", False).alias("_low"),
+        edge("chars_per_token", True).alias("_high"),
+        edge("byte_share", True).alias("_bytes"),
+        edge("token_entropy", False).alias("_entropy"),
+    )
+
+
 def in_band(bands: dict = BANDS, lang: str = "lang"):
     """Whether the measured fertility lies in the band of the row's language."""
 
@@ -194,15 +234,28 @@ def in_band(bands: dict = BANDS, lang: str = "lang"):
 
 
 def quality_rules(
-    docs: DataFrame, pieces: str, bands: dict = BANDS, keep: tuple[str, ...] = ()
+    docs: DataFrame, pieces: str, bands: dict | None = None, keep: tuple[str, ...] = ()
 ) -> DataFrame:
     """Measures and verdict of every document: ``base_failed`` and ``kept``.
 
     Returns doc_id, lang, further columns named in ``keep``, the measures, base_failed (fewer than 50 words, or
     more than half of them in repeated 3-word windows) and kept (neither
-    base_failed nor outside the band of the document's language). A document
-    without words is not kept. Rows are judged one by one, so repeated rows and
+    base_failed nor outside the band of the document's language). Bands are those
+    of ``language_bands`` over all documents, of BANDS for languages with few of
+    them, or those given. A document without words is not kept. Equal rows and
     null ids get the same verdict; an empty table gives an empty table.
     """
     measured = fertility(docs, pieces, "lang", *keep).withColumn("base_failed", base_failed())
-    return measured.withColumn("kept", ~F.col("base_failed") & in_band(bands))
+    if bands is not None:
+        return measured.withColumn("kept", ~F.col("base_failed") & in_band(bands))
+    measured = materialize(measured, "measured-texts")
+    names = measured.columns
+    own = materialize(language_bands(measured), "language-bands")
+    judged = measured.join(F.broadcast(own), F.col("lang").eqNullSafe(F.col("_lang")), "left")
+    inside = (
+        F.col("chars_per_token").between(F.col("_low"), F.col("_high"))
+        & (F.col("byte_share") <= F.col("_bytes"))
+        & (F.col("token_entropy") >= F.col("_entropy"))
+    )
+    verdict = F.when(F.col("_low").isNull(), in_band()).otherwise(F.coalesce(inside, F.lit(False)))
+    return judged.withColumn("kept", ~F.col("base_failed") & verdict).select(*names, "kept")

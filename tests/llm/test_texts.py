@@ -185,6 +185,21 @@ def test_fertility(docs, empty):
     assert fertility.quality_rules(empty, PIECE_BPE).count() == 0
 
 
+def test_fertility_bands_decide(spark):
+    rng = np.random.default_rng(3)
+    vocabulary = [a + b + c for a in ("pa", "tri", "mo", "len") for b in ("ra", "ti", "so") for c in ("ne", "d", "k")]
+    texts = [" ".join(rng.choice(vocabulary, rng.integers(150, 250))) for _ in range(200)]
+    junk = [" ".join(rng.choice(vocabulary[:12], 150)) for _ in range(5)]
+    rows = [(i, t, "en") for i, t in enumerate(texts + junk)] + [(900 + i, junk[0], "de") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    verdicts = {r.doc_id: r for r in fertility.quality_rules(docs, PIECE_BPE).collect()}
+    assert len(verdicts) == len(rows)
+    assert all(verdicts[i].kept for i in range(200))
+    assert not any(verdicts[i].base_failed or verdicts[i].kept for i in range(200, 205))
+    given = fertility.quality_rules(docs, PIECE_BPE, fertility.BANDS).collect()
+    assert all(verdicts[i].kept == next(r.kept for r in given if r.doc_id == i) for i in (900, 901, 902))
+
+
 def test_fertility_measures(spark):
     import sentencepiece
 
