@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, functions as F
 
 from nearfield.operators.carve import assign_to_leaders, digits, leaders_of_level
@@ -9,38 +11,59 @@ from nearfield.operators.knn import top_per, topk_join
 from nearfield.params import CarveParams
 from nearfield.runtime import materialize
 
+#: Queries that are compared with brute force to set the number of probes.
+SAMPLE = 256
+
 
 def approx_baseline(
     base: DataFrame,
     queries: DataFrame,
     k: int,
-    cells: int = 32,
-    probes: int = 4,
+    cells: int | None = None,
+    probes: int | None = None,
     seed: int = 17,
     metric: str = "l2",
+    recall: float = 0.9,
 ) -> DataFrame:
     """Top-k of every query among the base points of its ``probes`` nearest cells.
 
     ``cells`` hash-sampled points are the centres and every base point belongs
     to its nearest one. A hot cell is cut into blocks by the top-k join.
+    Without ``cells`` there are as many as the square root of the row count.
+    Without ``probes`` they are doubled until the neighbours of a sample of
+    queries, compared with brute force, are found to the share ``recall``.
     Result ``query_id, rank, vec_id, d``.
     """
     spark = base.sparkSession
+    n = base.count()
+    cells = cells or math.ceil(math.sqrt(n))
     params = CarveParams(leader_frac=1.0, max_leaders=max(2, cells), seed=seed, metric=metric)
     root = digits(F.lit(0))
-    groups = spark.range(1).select(root.alias("path"), F.lit(base.count()).alias("n"))
+    groups = spark.range(1).select(root.alias("path"), F.lit(n).alias("n"))
     members = base.withColumn("path", root)
     centres, size = leaders_of_level(members.select("path", "vec_id"), base, groups, params)
     owned = materialize(assign_to_leaders(members, centres, metric, size), "cells").select(
         "vec_id", F.col("leader").alias("cell")
     )
-    nearest = topk_join(
-        queries, centres.select("vec_id", "v"), probes, metric, base_bytes=size
-    )
-    probed = nearest.select("query_id", F.col("vec_id").alias("cell"))
-    found = topk_join(
-        probed.join(queries, "query_id"), owned.join(base, "vec_id"), k, metric, group="cell"
-    )
-    return top_per(found.drop("rank"), ["query_id"], ["d", "vec_id"], k).select(
-        "query_id", "rank", "vec_id", "d"
-    )
+    centres = centres.select("vec_id", "v")
+
+    def probe(queries: DataFrame, probes: int) -> DataFrame:
+        nearest = topk_join(queries, centres, probes, metric, base_bytes=size)
+        probed = nearest.select("query_id", F.col("vec_id").alias("cell"))
+        found = topk_join(
+            probed.join(queries, "query_id"), owned.join(base, "vec_id"), k, metric, group="cell"
+        )
+        return top_per(found.drop("rank"), ["query_id"], ["d", "vec_id"], k).select(
+            "query_id", "rank", "vec_id", "d"
+        )
+
+    if probes is None:
+        sample = queries.orderBy(F.xxhash64("query_id"), "query_id").limit(SAMPLE)
+        sample = materialize(sample, "probe-sample")
+        truth = materialize(topk_join(sample, base, k, metric).select("query_id", "vec_id"), "probe-truth")
+        wanted, probes = recall * truth.count(), 4
+        while probes < cells:
+            if probe(sample, probes).join(truth, ["query_id", "vec_id"]).count() >= wanted:
+                break
+            probes *= 2
+    return probe(queries, probes)

@@ -135,6 +135,16 @@ def test_cells_with_all_probes_are_exact(spark, cloud):
     assert 0 < recall_at_k(truth, few, 5).first()["recall"] <= 1.0
 
 
+def test_cells_reach_the_recall_by_default(spark):
+    from nearfield.operators.knn import ground_truth
+
+    v = np.random.default_rng(6).normal(size=(250, 32))
+    points = frame(spark, v.tolist())
+    queries = points.withColumnRenamed("vec_id", "query_id")
+    found = approx_baseline(points, queries, 5)
+    assert recall_at_k(ground_truth(points, queries, 5), found, 5).first()["recall"] >= 0.9
+
+
 def test_an_edge_listed_twice_is_followed_once(spark, paths):
     points = frame(spark, [[3.0], [2.0], [1.0], [0.0]])
     graph = graph_table(spark, {0: [1, 1], 1: [2, 2], 2: [3]})
