@@ -73,3 +73,95 @@ SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target,
          AS taken
 FROM m
 """
+
+_LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLE["op11_phrases"] = f"""
+WITH w AS (
+  SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws
+  FROM (SELECT coalesce(lang, 'und') AS lang,
+               unnest(regexp_split_to_array({_LOWER.format("text")}, '[.,;:!?\\x0A-\\x0D]')) AS piece
+        FROM documents)
+), f AS MATERIALIZED (
+  SELECT lang, size, phrase, count(*) AS f FROM (
+    SELECT lang, size, unnest(list_transform(range(1, len(ws) - size + 2),
+             lambda i: array_to_string(ws[i:i + size - 1], ' '))) AS phrase
+    FROM w, (SELECT unnest([1, 2, 3]) AS size))
+  GROUP BY ALL
+), totals AS (
+  SELECT lang, sum(f)::BIGINT AS n FROM f WHERE size = 1 GROUP BY lang
+), cand AS (
+  SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE size > 1 AND f >= 10
+), cuts AS (
+  SELECT c.lang, c.phrase, c.a, k, l.f AS l, r.f AS r,
+         (1000000::HUGEINT * c.a * c.a // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM cand) c
+  JOIN f l ON l.lang = c.lang AND l.size = k AND l.phrase = array_to_string(ws[1:k], ' ')
+  JOIN f r ON r.lang = c.lang AND r.size = c.size - k AND r.phrase = array_to_string(ws[k + 1:], ' ')
+), best AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inside AS (
+  SELECT lang, part, max(a) AS longer FROM (
+    SELECT lang, a, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) AS part
+    FROM cand WHERE size = 3) GROUP BY lang, part
+)
+SELECT * FROM (
+  SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, phrase) AS rank,
+         phrase, a, l, r, n, score
+  FROM best b LEFT JOIN inside i ON i.lang = b.lang AND i.part = b.phrase
+  JOIN totals t ON t.lang = b.lang
+  WHERE longer IS NULL OR 100 * longer < 50 * a)
+WHERE rank <= 2000
+"""
+
+
+def _field(value: str) -> str:
+    text = f"({value})::VARCHAR"
+    return f"coalesce(octet_length(encode({text})) || ':' || {text}, '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_field(f) for f in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+_RUNS = """list_transform(range(0, (len(nodes) + 7) // 8),
+    lambda i: sha256(array_to_string(nodes[8 * i + 1:8 * i + 8], '')))"""
+_SIBLINGS = """
+    array_to_string(nodes[(pos >> (3 * step)) // 8 * 8 + 1:pos >> (3 * step)], '') AS l,
+    array_to_string(nodes[(pos >> (3 * step)) + 2:(pos >> (3 * step)) // 8 * 8 + 8], '') AS r"""
+_CRC = """xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
+    lambda crc, byte: list_reduce(list_transform(range(8), lambda i: i::BIGINT), lambda x, i:
+      CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(crc, byte)),
+    4294967295::BIGINT), 4294967295::BIGINT)"""
+
+ORACLE["op13_merkle_manifest"] = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, lang, {_leaf("text")} AS leaf,
+         CASE WHEN {_CRC} % 3 = 0 THEN {_leaf(_LOWER.replace("coalesce({}, '')", "text"))} ELSE {_leaf("text")} END AS shown,
+         row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos
+  FROM documents
+), low AS (
+  SELECT lang, 0 AS step, list(leaf ORDER BY doc_id) AS nodes FROM d GROUP BY lang
+  UNION ALL SELECT lang, step + 1, {_RUNS} FROM low WHERE len(nodes) > 1
+), subs AS (
+  SELECT lang, nodes[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos
+  FROM low WHERE len(nodes) = 1
+), high AS (
+  SELECT 0 AS step, list(subroot ORDER BY pos) AS nodes FROM subs
+  UNION ALL SELECT step + 1, {_RUNS} FROM high WHERE len(nodes) > 1
+), steps AS (
+  SELECT d.doc_id, low.step, {_SIBLINGS} FROM d JOIN low ON low.lang IS NOT DISTINCT FROM d.lang
+  WHERE len(nodes) > 1
+  UNION ALL SELECT d.doc_id, 100 + high.step, {_SIBLINGS.replace("(pos >>", "(subs.pos >>").replace(":pos >>", ":subs.pos >>")}
+  FROM d JOIN subs ON subs.lang IS NOT DISTINCT FROM d.lang, high WHERE len(nodes) > 1
+), proofs AS (
+  SELECT doc_id, list({{'l': l, 'r': r}} ORDER BY step) AS proof FROM steps GROUP BY doc_id
+), folded AS (
+  SELECT d.doc_id, leaf, subroot, (SELECT nodes[1] FROM high WHERE len(nodes) = 1) AS root,
+         sha256(array_to_string(list_transform(proof, lambda s: s.l || s.r), '')) AS proof_sha256,
+         list_reduce(proof, lambda a, s: {{'l': sha256(s.l || a.l || s.r), 'r': ''}}, {{'l': shown, 'r': ''}}).l
+           AS folded_root
+  FROM d JOIN subs ON subs.lang IS NOT DISTINCT FROM d.lang JOIN proofs ON proofs.doc_id = d.doc_id
+)
+SELECT *, folded_root = root AS verified FROM folded
+"""

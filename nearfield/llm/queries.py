@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from nearfield.llm import (
-    fertility, importance, jaccard, maxent, mixing, packing, tokenids, toxicity, vectordups, warc,
+    bytepairs, fertility, importance, jaccard, manifest, maxent, mixing, packing, phrases, tokenids,
+    toxicity, vectordups, warc,
 )
 from nearfield.runtime import ship_package, table_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
+BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def query(fn):
@@ -99,3 +102,35 @@ def op9_packing(spark, sf_dir):
 @query
 def op10_jaccard_join(spark, sf_dir):
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_byte_pairs(spark, sf_dir):
+    coded = bytepairs.encode_texts(table(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN)
+    decoded = bytepairs.decode_ids(coded, BYTE_RANKS, public_tokenizers.PATTERN)
+    return decoded.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("data", 256).alias("decoded_sha256")
+    )
+
+
+@query
+def op13_merkle_manifest(spark, sf_dir):
+    fields = ("doc_id", "source", "lang", "n_chars")
+    upper, lower = string.ascii_uppercase, string.ascii_lowercase
+    tampered = F.when(remainder(3) == 0, F.translate("text", upper, lower)).otherwise(F.col("text"))
+    leaves = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("vec_id"), F.col("lang").alias("part"),
+        manifest.record_digest(*fields, "text").alias("leaf"),
+        manifest.record_digest(*fields, tampered).alias("shown"),
+    )
+    proofs = manifest.merkle_proofs(leaves, keep=("shown",))
+    proofs = proofs.withColumn("folded_root", manifest.fold_proof("shown"))
+    return proofs.select(
+        F.col("vec_id").alias("doc_id"), "leaf", "subroot", "root", manifest.proof_digest().alias("proof_sha256"),
+        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+@query
+def op11_phrases(spark, sf_dir):
+    return phrases.mine_phrases(table(spark, sf_dir, "documents"))
