@@ -25,9 +25,9 @@ from nearfield.operators.knn import top_per
 from nearfield.runtime import materialize
 
 #: Word sequences a task holds before it sends their counts.
-FLUSH = 3_000_000
+FLUSH = 1_000_000
 #: Bytes of text hashed at a time; a longer word makes a longer chunk.
-CHUNK = 1 << 18
+CHUNK = 1 << 17
 #: Bytes of texts that are split together; a longer text is alone.
 SLICE_BYTES = 2 << 20
 #: Bytes of text per group of fingerprints that are added up together.
@@ -97,13 +97,16 @@ class Words:
 
 def _cut(data: np.ndarray, at: int) -> int:
     """The end of the chunk that starts at ``at``: past a byte that belongs to no word."""
-    end, reach = min(at + CHUNK, len(data)), CHUNK
+    end, look = min(at + CHUNK, len(data)), 1 << 10
     while end < len(data):
-        tail = np.flatnonzero(_KIND[data[at:end]])
+        # Backwards from the end first; where one word fills the chunk, onwards from there.
+        low = max(at, end - look)
+        tail = np.flatnonzero(_KIND[data[low:end]])
         if len(tail):
-            return at + int(tail[-1]) + 1
-        reach *= 2
-        end = min(at + reach, len(data))
+            return low + int(tail[-1]) + 1
+        if low == at:
+            end = min(end + CHUNK, len(data))
+        look *= 2
     return end
 
 
@@ -115,19 +118,22 @@ def read_words(texts: list[bytes]) -> Words:
     while at < len(joined):
         end = _cut(joined, at)
         part = joined[at:end]
-        kind = _KIND[part]
-        inside = kind == 0
-        edges = np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8))
-        start, stop = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-        breaks = np.cumsum(kind == 2)
+        kind = np.take(_KIND, part)
+        inside = np.zeros(len(part) + 2, bool)
+        np.equal(kind, 0, out=inside[1:-1])
+        # Edges alternate: into a word, out of it.
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        start, stop = edges[0::2], edges[1::2]
+        ends = np.flatnonzero(kind == 2)
         _POWERS.upto(len(part) + 1)
-        prints = []
+        prints, prefix = [], np.zeros(len(part) + 1, np.uint64)
         for which in (0, 1):
-            terms = _TABLES[which][part] * _POWERS.up[which][: len(part)]
-            prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms)])
+            terms = np.take(_TABLES[which], part)
+            terms *= _POWERS.up[which][: len(part)]
+            np.cumsum(terms, out=prefix[1:])
             prints.append(_mixed((prefix[stop] - prefix[start]) * _POWERS.down[which][start]))
-        found.append((*prints, breaks[start] + pieces if len(start) else start, start + at, stop + at))
-        pieces += int(breaks[-1])
+        found.append((*prints, np.searchsorted(ends, start) + pieces, start + at, stop + at))
+        pieces += len(ends)
         at = end
     empty = np.zeros(0, np.int64)
     columns = [np.concatenate(c) for c in zip(*found)] if found else [empty.view(np.uint64)] * 2 + [empty] * 3
@@ -136,19 +142,18 @@ def read_words(texts: list[bytes]) -> Words:
     return Words([first, second], piece, text, start, end)
 
 
-def _windows(words: Words, seeds: list[np.ndarray], size: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """First words and both fingerprints of all sequences of ``size`` words inside pieces."""
+def _places(words: Words, size: int) -> np.ndarray:
+    """First words of all sequences of ``size`` words inside pieces."""
     count = len(words.piece) - size + 1
-    if count <= 0:
-        return np.zeros(0, np.int64), [np.zeros(0, np.uint64)] * 2
-    at = np.flatnonzero(words.piece[:count] == words.piece[size - 1 :])
-    prints = []
-    for which in (0, 1):
-        value = seeds[which][words.text[at]] + np.uint64(size)
-        for step in range(size):
-            value = value * _BASES[which] + words.prints[which][at + step]
-        prints.append(_mixed(value))
-    return at, prints
+    return np.flatnonzero(words.piece[: max(0, count)] == words.piece[size - 1 :][: max(0, count)])
+
+
+def _prints(words: Words, seeds: list[np.ndarray], at: np.ndarray, size: int, which: int) -> np.ndarray:
+    """One of the two fingerprints of the sequences of ``size`` words from ``at``; of a language for 0."""
+    value = seeds[which][words.text[at]] + np.uint64(size)
+    for step in range(size):
+        value = value * _BASES[which] + words.prints[which][at + step]
+    return _mixed(value)
 
 
 def _language_seeds(languages: list[str]) -> list[np.ndarray]:
@@ -275,22 +280,22 @@ def _unpack(blob: bytes):
 
 
 def count_sequences(
-    docs: DataFrame, size: int, min_count: int, known: np.ndarray | None = None, bits: int = 64
+    docs: DataFrame, size: int, min_count: int, range_bits: int, known: np.ndarray | None = None, bits: int = 64
 ) -> DataFrame:
     """Frequent sequences of ``size`` words: ``fp, mark, n, doc``.
 
+    With single words come the languages, as sequences without words that are
+    met once per word.
+
     ``known`` is the filter of the frequent sequences with one word less; only
     sequences whose first and last words pass it are sent. Counts are added up
-    in the task, packed by ranges of fingerprints, and added up per range; the
-    ranges grow in number with the texts, so each fits in a task. Sequences
+    in the task, packed by the upper ``range_bits`` bits of the fingerprint, and added
+    up per range (see ``range_bits_of``). Sequences
     whose fingerprints collide differ in ``mark``, a second fingerprint, and
     are counted apart.
     """
     spark = docs.sparkSession
     rows = _rows(docs)
-    # Ranges by the upper bits of the fingerprint, in proportion to the text.
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    range_bits = max(0, int(total // GROUP_BYTES).bit_length())
     shared = None if known is None else spark.sparkContext.broadcast(known)
 
     def count(batches):
@@ -311,19 +316,19 @@ def count_sequences(
             for part in _slices(batch):
                 words = read_words(part.column("_text").to_pylist())
                 seeds = _language_seeds(part.column("lang").to_pylist())
-                at, prints = _windows(words, seeds, size)
-                if passes is not None and len(at):
-                    before, shorter = _windows(words, seeds, size - 1)
+                at = _places(words, size)
+                if passes is not None:
+                    before = _places(words, size - 1)
                     good = np.zeros(len(words.piece) + 1, bool)
-                    good[before] = passes(_shrink(bits, shorter[0]))
-                    keep = good[at] & good[at + 1]
-                    at, prints = at[keep], [p[keep] for p in prints]
+                    good[before] = passes(_shrink(bits, _prints(words, seeds, before, size - 1, 0)))
+                    at = at[good[at] & good[at + 1]]
                 if not len(at):
                     continue
-                doc = part.column("doc").to_numpy()[words.text[at]]
-                one = np.ones(len(at), np.int64)
-                held.append(_grouped(_shrink(bits, prints[0]), prints[1], doc, one))
-                waiting += len(held[-1][0])
+                docs_of = part.column("doc").to_numpy().astype(np.uint32)[words.text]
+                for length in (0, 1) if size == 1 else (size,):
+                    fp, mark = (_prints(words, seeds, at, length, which) for which in (0, 1))
+                    held.append(_grouped(_shrink(bits, fp), mark, docs_of[at], np.ones(len(at), np.int64)))
+                    waiting += len(held[-1][0])
                 if waiting > FLUSH:
                     yield send()
                     waiting = 0
@@ -341,24 +346,13 @@ def count_sequences(
     return materialize(packed.groupBy("range").applyInArrow(add, COUNT_SCHEMA), f"phrases-{size}")
 
 
-def word_totals(docs: DataFrame) -> DataFrame:
-    """``lang, words``: all words of every language."""
-
-    def count(batches):
-        sums: dict[str, int] = {}
-        for batch in batches:
-            for part in _slices(batch):
-                words = read_words(part.column("_text").to_pylist())
-                counts = np.bincount(words.text, minlength=part.num_rows).tolist()
-                for name, n in zip(part.column("lang").to_pylist(), counts):
-                    sums[name] = sums.get(name, 0) + n
-        yield pa.record_batch([pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.int64())], names=["lang", "n"])
-
-    rows = _rows(docs).mapInArrow(count, "lang string, n bigint")
-    return rows.groupBy("lang").agg(F.sum("n").alias("words"))
+def range_bits_of(docs: DataFrame) -> int:
+    """How many bits name the ranges: their number grows with the texts, so each fits in a task."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(0, int(total // GROUP_BYTES).bit_length())
 
 
-_SPELLED = "fp bigint, mark bigint, lang string, size int, phrase string, lefts array<bigint>, rights array<bigint>, inner array<bigint>"
+_SPELLED = "fp bigint, mark bigint, lang string, size int, phrase string, lefts array<bigint>, rights array<bigint>, inner array<bigint>, whole array<bigint>"
 
 
 def spell(docs: DataFrame, frequent: DataFrame, sizes: range, bits: int = 64) -> DataFrame:
@@ -366,7 +360,8 @@ def spell(docs: DataFrame, frequent: DataFrame, sizes: range, bits: int = 64) ->
 
     Result ``fp, mark, lang, size, phrase``, the fingerprints of what is left
     and right of every cut (``lefts``, ``rights``) and of all shorter sequences
-    inside (``inner``), each as a pair ``fp, mark`` in a row. A document that
+    inside (``inner``), each as a pair ``fp, mark`` in a row; ``whole`` is the pair
+    of the language. A document that
     shares a pointer by chance is read too; only sequences of which both
     fingerprints agree are taken.
     """
@@ -387,12 +382,13 @@ def _spelled(part: pa.RecordBatch, sizes: range, bits: int):
     languages = part.column("lang").to_pylist()
     joined = b"\n".join(texts)
     words, seeds = read_words(texts), _language_seeds(languages)
-    every = {s: _windows(words, seeds, s) for s in range(1, sizes.stop)}
+    every = {s: _places(words, s) for s in range(sizes.stop)[1:]}
+    every[0] = every[1]
     prints = {}
-    for s, (at, (fp, mark)) in every.items():
+    for s, at in every.items():
         # Fingerprints by first word; a place without a sequence of that size is never asked for.
         table = np.zeros((len(words.piece), 2), np.uint64)
-        table[at, 0], table[at, 1] = _shrink(bits, fp), mark
+        table[at, 0], table[at, 1] = _shrink(bits, _prints(words, seeds, at, s, 0)), _prints(words, seeds, at, s, 1)
         prints[s] = table.view(np.int64)
     lists = part.column("_wanted")
     offsets, flat = lists.offsets.to_numpy(), lists.values
@@ -409,7 +405,7 @@ def _spelled(part: pa.RecordBatch, sizes: range, bits: int):
     questions = np.unique(keyed(asked_text, asked))
     out = []
     for s in sizes:
-        at = every[s][0]
+        at = every[s]
         own = keyed(words.text[at], prints[s][at])
         # Most sequences of a text are not asked for; the first fingerprint alone tells.
         likely = np.flatnonzero(np.isin(own["fp"], questions["fp"]))
@@ -424,11 +420,12 @@ def _spelled(part: pa.RecordBatch, sizes: range, bits: int):
                     sum((pick(k, i) for k in range(1, s)), []),
                     sum((pick(s - k, i + k) for k in range(1, s)), []),
                     sum((pick(n, j) for n in range(2, s) for j in range(i, i + s - n + 1)), []),
+                    pick(0, i),
                 )
             )
-    schema = ["fp", "mark", "lang", "size", "phrase", "lefts", "rights", "inner"]
+    schema = ["fp", "mark", "lang", "size", "phrase", "lefts", "rights", "inner", "whole"]
     longs = pa.list_(pa.int64())
-    types = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.string(), longs, longs, longs]
+    types = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.string(), *[longs] * 4]
     if out:
         yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), types)], names=schema)
 
@@ -464,9 +461,9 @@ def mine_phrases(
     """
     if max_words < 2:
         raise ValueError("max_words must be at least 2")
-    counted, known = [], None
+    counted, known, range_bits = [], None, range_bits_of(docs)
     for size in range(1, max_words + 1):
-        frequent = count_sequences(docs, size, min_count, known, bits)
+        frequent = count_sequences(docs, size, min_count, range_bits, known, bits)
         counted.append(frequent)
         if size < max_words:
             known = frequent_filter(frequent)
@@ -499,11 +496,12 @@ def mine_phrases(
         f"_longer is null or 100 * _longer < {inside_percent} * a"
     )
     scored = kept.join(best, (F.col("fp") == F.col("_fp")) & (F.col("mark") == F.col("_mark"))).select(
-        "lang", "phrase", "a", F.col("_best.l").alias("l"), F.col("_best.r").alias("r"),
+        "lang", "phrase", "a", "whole", F.col("_best.l").alias("l"), F.col("_best.r").alias("r"),
         F.col("_best.score").alias("score"), (-F.col("_best.score")).alias("_s"), (-F.col("a")).alias("_a"),
     )
     ranked = top_per(scored, ["lang"], ["_s", "_a", "phrase"], top)
-    # One row per language.
-    return ranked.join(F.broadcast(word_totals(docs)), "lang").select(
+    words = number.select(F.array("fp", "mark").alias("whole"), F.col("n").alias("words"))
+    # At most ``top`` rows per language are left.
+    return ranked.join(words, "whole").select(
         "lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", F.col("words").alias("n"), "score"
     )
