@@ -25,11 +25,11 @@ from nearfield.operators.knn import top_per
 from nearfield.runtime import materialize
 
 #: Word sequences a task holds before it sends their counts.
-FLUSH = 1_000_000
+FLUSH = 500_000
 #: Bytes of text hashed at a time; a longer word makes a longer chunk.
 CHUNK = 1 << 17
 #: Bytes of texts that are split together; a longer text is alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Bytes of text per group of fingerprints that are added up together.
 GROUP_BYTES = 8 << 20
 #: Bits of a filter for frequent fingerprints: so many per fingerprint, and at most.
