@@ -216,6 +216,25 @@ _search("s0", "refined_k6_deg8", 8, 24)
 _search("s1", "refined_k12", 16, 32)
 _search("s2", "hash_k12", 16, 32)
 
+# The second partition setting of the sweep: the same steps from leaders of its own.
+_STEPS = ("lead", "asg", "buckets", "home", "near", "extra", "leaf", "short", "scored", "cand_k12",
+          "refined_k12", "cand_r2", "hashed_r2")
+for _name in _STEPS:
+    _text = CTES[_name]
+    if _name == "lead":
+        _text = _text.replace(f"concat({CARVE.seed} +", f"concat({P.FINER.seed} +")
+        _text = _text.replace(_leader_count("count(*)", CARVE.leader_frac, CARVE.max_leaders),
+                              _leader_count("count(*)", P.FINER.leader_frac, P.FINER.max_leaders))
+    if _name == "leaf":
+        _text = "SELECT * FROM home"
+    for _other in _STEPS:
+        _text = re.sub(rf"\b(FROM|JOIN|,) {_other}\b", rf"\1 {_other}_finer", _text)
+    CTES[f"{_name}_finer"] = _text
+CTES["hashed_r2_finer"] = CTES["hashed_r2_finer"].replace("GROUP BY", "WHERE s.bit < 4 GROUP BY")
+CTES["hash_finer"] = _hash_graph("hashed_r2_finer")
+_search("s3", "refined_k12_finer", 16, 32)
+_search("s4", "hash_finer", 16, 32)
+
 
 CTES["exact_nn"] = f"""
     SELECT src, dst FROM (SELECT src, dst, row_number() OVER (
@@ -430,7 +449,9 @@ ORACLE = {
         f"""SELECT '{c.name}' AS name, '{c.mode}' AS mode,
             (SELECT round(recall, 6) FROM recall_s{i}) AS recall_at_10,
             (SELECT count(*) FROM {g} WHERE rank <= {c.max_degree}) AS edges"""
-        for i, (c, g) in enumerate(zip(P.SWEEP, ("refined_k6_deg8", "refined_k12", "hash_k12")))
+        for i, (c, g) in enumerate(
+            zip(P.SWEEP, ("refined_k6_deg8", "refined_k12", "hash_k12", "refined_k12_finer", "hash_finer"))
+        )
     ),
     "e6_rank_runs": """SELECT scale, name, row_number() OVER (PARTITION BY scale
         ORDER BY recall_at_10 DESC, qps DESC, build_sec, name)::INT AS position FROM runs""",
@@ -472,6 +493,7 @@ CTES["numbered"] = """
 CTES["wide"] = """
     SELECT src AS query_id, dst AS vec_id FROM (SELECT src, dst, row_number() OVER (
       PARTITION BY src ORDER BY d, dst) AS rank FROM pd) WHERE rank <= 30"""
+ORACLE["s11_sweep_summary"] = ORACLE["e5_parameter_sweep"]
 ORACLE["s3_read_fbin"] = ORACLE["s1_read_fvecs"]
 ORACLE["s4_read_ibin"] = ORACLE["s2_read_ivecs"]
 ORACLE["k1_exact_topk_blocked"] = ORACLE["k1_exact_topk_l2"]

@@ -728,6 +728,17 @@ def e5_parameter_sweep(spark, sf_dir):
     return swept.select("name", "mode", *six("recall_at_10"), "edges")
 
 
+@query
+def s11_sweep_summary(spark, sf_dir):
+    """A sweep written as the summary of its runs and read back, without the seconds."""
+    path = table_path(spark, "sweep-summary")
+    swept = X.parameter_sweep(
+        points(spark, sf_dir), queries_of(spark, sf_dir), P.SWEEP, P.CARVE, 1, P.PRUNE, P.SEARCH
+    )
+    IO.write_summary(swept, path)
+    return IO.read_summary(spark, path).select("name", "mode", *six("recall_at_10"), "edges")
+
+
 @stage
 def runs(spark, sf_dir) -> DataFrame:
     """One run per configuration and label, scored on the graph's own lists.

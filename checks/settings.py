@@ -20,10 +20,14 @@ SCAN_CAP = 20
 CELLS, PROBES = 16, 4
 ROW_LIMIT = 100
 SYNTHETIC_SEED = 42
+#: A second partition setting of one level, with other sizes and without overlap.
+FINER = CarveParams(cmax=64, leader_frac=0.04, fanout=1, max_leaders=1000, seed=23)
 SWEEP = [
     SweepConfig("refined_k6_deg8", leaf_k=6, max_degree=8, beam=24),
     SweepConfig("refined_k12_deg16", leaf_k=12, max_degree=16, beam=32),
     SweepConfig("hash_k12_deg16", leaf_k=12, max_degree=16, beam=32, mode="hash"),
+    SweepConfig("finer_refined", leaf_k=12, max_degree=16, beam=32, carve=FINER),
+    SweepConfig("finer_hash_bits4", leaf_k=12, max_degree=16, beam=32, mode="hash", carve=FINER, replicas=2, hash_bits=4),
 ]
 RUNS = [
     SweepConfig("refined_k4", leaf_k=4, max_degree=16),

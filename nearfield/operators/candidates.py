@@ -24,20 +24,28 @@ def leaf_heads(leaves: DataFrame, limit: int) -> DataFrame:
     return top_per(leaves, ["replica", "leaf_id"], ["vec_id"], limit).drop("rank")
 
 
-def shortlist(leaves: DataFrame, cap: int = 0) -> DataFrame:
+def widest(cap: int | list[int]) -> int:
+    """The largest of several caps; none (0) is the widest of all."""
+    if isinstance(cap, int):
+        return cap
+    return 0 if min(cap, default=0) <= 0 else max(cap)
+
+
+def shortlist(leaves: DataFrame, cap: int | list[int] = 0) -> DataFrame:
     """Co-members of every point as ``replica, vec_id, ids``, in listing order.
 
     The order is leaf number, then id; the point itself and repeats are left
     out; ``cap`` keeps the first so many. Under a cap only the first ``cap + 1``
     members of a leaf can be listed for anyone, so a leaf is represented by
     one bounded array, however many points it holds, and no pair of members
-    is ever emitted as a row.
+    is ever emitted as a row. A list of caps has one for every replica.
 
     Without a cap the list is quadratic in the leaf size by definition;
     ``score_shortlist`` with ``cap=0`` finds the best of all co-members without it.
     """
+    most = widest(cap)
     heads = (
-        leaf_heads(leaves, cap + 1 if cap > 0 else 0)
+        leaf_heads(leaves, most + 1 if most > 0 else 0)
         .groupBy("replica", "leaf_id")
         .agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
     )
@@ -48,9 +56,10 @@ def shortlist(leaves: DataFrame, cap: int = 0) -> DataFrame:
     ids = F.array_remove(
         F.array_distinct(F.flatten(F.transform("lists", lambda x: x["ids"]))), F.col("vec_id")
     )
-    return listed.select(
-        "replica", "vec_id", (F.slice(ids, 1, cap) if cap > 0 else ids).alias("ids")
-    )
+    if most > 0:
+        own = F.lit(cap) if isinstance(cap, int) else F.get(F.array(*map(F.lit, cap)), F.col("replica"))
+        ids = F.slice(ids, F.lit(1), own)
+    return listed.select("replica", "vec_id", ids.alias("ids"))
 
 
 def shortlist_rows(listed: DataFrame) -> DataFrame:
@@ -61,22 +70,30 @@ def shortlist_rows(listed: DataFrame) -> DataFrame:
 
 
 def score_shortlist(
-    points: DataFrame, leaves: DataFrame, k: int, cap: int = 0, metric: str = "l2"
+    points: DataFrame, leaves: DataFrame, k: int, cap: int | list[int] = 0, metric: str = "l2"
 ) -> DataFrame:
     """The ``k`` best-scored shortlist entries of every point, per replica.
 
+    ``cap`` may list one cap per replica, all of them positive.
+
     Result ``replica, src, dst, d, rank``. Scoring happens leaf by leaf: a
     leaf's members meet only the members that can be on a list, so vectors
     move once per membership and never once per pair.
     """
     key = leaf_key().alias("leaf")
     members = leaves.select("replica", "vec_id", key)
-    if cap > 0:
-        targets = leaf_heads(leaves, cap + 1).select("vec_id", key)
+    most = widest(cap)
+    if most > 0:
+        targets = leaf_heads(leaves, most + 1).select("vec_id", key)
         members = members.join(shortlist(leaves, cap), ["replica", "vec_id"])
     else:
         targets = members.select("vec_id", "leaf")
     queries = members.join(points, "vec_id").withColumnRenamed("vec_id", "query_id")
+    # Counted from ids and the dimension, without joining the vectors for it.
+    sizes = leaves.groupBy("replica", "leaf_id").agg(F.count(F.lit(1)).alias("n"))
+    met = F.least("n", F.lit(most + 1)) if most > 0 else F.col("n")
+    rows = sizes.agg(F.sum(met)).first()[0] or 0
+    dim = points.agg(F.max(F.size("v"))).first()[0] or 0
     found = topk_join(
         queries,
         targets.join(points, "vec_id"),
@@ -84,8 +101,9 @@ def score_shortlist(
         metric,
         group="leaf",
         exclude_self=True,
-        listed="ids" if cap > 0 else None,
+        listed="ids" if most > 0 else None,
         keep=("replica",),
+        base_bytes=rows * dim * 8,
     )
     # A pair met in two leaves has the same score twice and shares its dense rank.
     order = W.partitionBy("replica", "query_id").orderBy("d", "vec_id")

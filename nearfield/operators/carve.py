@@ -3,7 +3,8 @@
 A node of the partition is named by ``path``: eight hex digits for the replica,
 then eight for the child number on every level. A node's children share its
 path as a prefix and leaves sort by path in depth-first order. All replicas
-are carved by the same jobs.
+are carved by the same jobs, and so are replicas with settings of their own
+(``CarveRoots``), each a root of one forest.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from nearfield.operators.knn import footprint, top_per, topk_join
-from nearfield.params import CarveParams
+from nearfield.params import CarveParams, CarveRoots
 from nearfield.runtime import materialize, positions, write_table
 
 DIGITS = 8
@@ -37,20 +38,34 @@ def replica_of(path="path") -> Column:
     return F.conv(F.substring(path, 1, DIGITS), 16, 10).cast("int")
 
 
-def leader_count(n, params: CarveParams) -> Column:
-    """How many leaders a group of ``n`` points gets; the product is in FLOAT."""
+def setting_of(params: CarveParams | CarveRoots, name: str, path="path") -> Column:
+    """A setting of the root that ``path`` belongs to."""
+    if isinstance(params, CarveParams):
+        value = F.lit(getattr(params, name))
+        return value + replica_of(path) if name == "seed" else value
+    values = params.values(name)
+    if len(set(values)) == 1:
+        return F.lit(values[0])
+    return F.get(F.array(*map(F.lit, values)), replica_of(path))
+
+
+def leader_count(n, params: CarveParams | CarveRoots) -> Column:
+    """How many leaders a group of ``n`` points gets; the product is in FLOAT.
+
+    With ``CarveRoots`` a column ``path`` tells whose settings hold.
+    """
     n = F.col(n) if isinstance(n, str) else n
-    share = (n.cast("float") * F.lit(params.leader_frac).cast("float")).cast("bigint")
+    share = (n.cast("float") * setting_of(params, "leader_frac").cast("float")).cast("bigint")
     return F.least(
         F.greatest(F.lit(2).cast("bigint"), share),
-        F.lit(params.max_leaders).cast("bigint"),
+        setting_of(params, "max_leaders").cast("bigint"),
         n.cast("bigint"),
     )
 
 
-def sampling_hash(params: CarveParams) -> Column:
+def sampling_hash(params: CarveParams | CarveRoots) -> Column:
     """The pseudo-random order in which the points of a group become leaders."""
-    seed = (F.lit(params.seed) + replica_of()).cast("string")
+    seed = setting_of(params, "seed").cast("string")
     inner = F.expr(f"substring(path, {DIGITS + 1})")
     label = F.when(inner == "", F.lit("")).otherwise(F.concat(inner, F.lit(":")))
     return F.md5(F.concat(seed, F.lit(":"), label, F.col("vec_id").cast("string")))
@@ -72,8 +87,9 @@ def sample_leaders(
     if prefilter:
         share = F.conv(F.substring("_h", 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
         rows = rows.filter(share < (4 * wanted + 100) / F.col("n"))
+    most = params.max_leaders if isinstance(params, CarveParams) else max(params.values("max_leaders"))
     return (
-        top_per(rows, ["path"], ["_h", "vec_id"], params.max_leaders)
+        top_per(rows, ["path"], ["_h", "vec_id"], most)
         .filter(F.col("rank") <= wanted)
         .withColumn("child", (F.col("rank") - 1).cast("bigint"))
         .drop("rank", "_h", "n")
@@ -122,14 +138,14 @@ def bucket_sizes(assigned: DataFrame, groups: DataFrame, params: CarveParams) ->
         .withColumn(
             "fate",
             F.when(F.col("n") == F.col("parent_n"), "chunk")
-            .when(F.col("n") <= params.cmax, "leaf")
+            .when(F.col("n") <= setting_of(params, "cmax", "parent"), "leaf")
             .otherwise("split"),
         )
         .withColumn("path", F.concat("parent", digits("child")))
     )
 
 
-def chunk_split(members: DataFrame, cmax: int) -> DataFrame:
+def chunk_split(members: DataFrame, cmax: int | Column) -> DataFrame:
     """Cut groups into consecutive runs of ``cmax`` ids; each run is a child leaf."""
     numbered = positions(members.select("parent", "vec_id"), ["parent"], ["vec_id"])
     chunk = F.floor((F.col("pos") - 1) / cmax).cast("bigint")
@@ -149,35 +165,38 @@ class Forest:
     replicas: int
 
 
-def carve(points: DataFrame, params: CarveParams, replicas: int = 1) -> Forest:
+def carve(points: DataFrame, params: CarveParams | CarveRoots, replicas: int = 1) -> Forest:
     """Carve ``points`` into leaves of at most ``cmax`` points.
 
-    One round of jobs per level, for all oversized groups of all replicas.
+    One round of jobs per level, for all oversized groups of all roots.
     Only group counts come to the driver. Ids travel between the levels; the
-    vectors are joined to them where they are compared.
+    vectors are joined to them where they are compared. ``CarveRoots`` has the
+    replicas in it and is carved whole.
     """
     spark = points.sparkSession
+    params = CarveRoots.of(params, replicas)
+    replicas = len(params.roots)
     total = points.count()
-    roots = spark.range(replicas).select(digits("id").alias("path"))
     ids = points.select("vec_id")
     if total == 0:
         return Forest(
             spark.createDataFrame([], LEAF_SCHEMA), spark.createDataFrame([], NODE_SCHEMA), 0, replicas
         )
-
-    every = ids.withColumn("path", F.explode(F.expr(_root_paths(replicas)))).select("path", "vec_id")
-    if total <= params.cmax:
-        first = ids.agg(F.min("vec_id").alias("representative"))
-        nodes = roots.join(F.broadcast(first), F.lit(True)).select(
-            "path", F.lit("").alias("parent"), "representative",
-            F.lit(True).alias("is_leaf"), F.lit(False).alias("chunked"),
-        )
-        return Forest(every, nodes, 0, replicas)
+    small = [r for r, cmax in enumerate(params.values("cmax")) if total <= cmax]
+    large = [r for r in range(replicas) if r not in small]
+    whole = ids.withColumn("path", F.explode(_root_paths(small))).select("path", "vec_id")
+    first = ids.agg(F.min("vec_id").alias("representative"))
+    single = first.select(
+        F.explode(_root_paths(small)).alias("path"), F.lit("").alias("parent"), "representative",
+        F.lit(True).alias("is_leaf"), F.lit(False).alias("chunked"),
+    )
+    if not large:
+        return Forest(whole, single, 0, replicas)
 
     read = lambda schema, paths: spark.read.schema(schema).parquet(*paths)
-    groups = roots.withColumn("n", F.lit(total).cast("bigint"))
-    members = every
-    with_vectors = points.withColumn("path", F.explode(F.expr(_root_paths(replicas))))
+    groups = spark.range(1).select(F.explode(_root_paths(large)).alias("path"), F.lit(total).cast("bigint").alias("n"))
+    members = ids.withColumn("path", F.explode(_root_paths(large))).select("path", "vec_id")
+    with_vectors = points.withColumn("path", F.explode(_root_paths(large)))
     # One table per level and kind, read together at the end: the plan stays
     # the same size however deep the recursion goes.
     rows, buckets, runs, depth = [], [], [], 0
@@ -195,7 +214,7 @@ def carve(points: DataFrame, params: CarveParams, replicas: int = 1) -> Forest:
         rows.append(write_table(placed.select("path", "vec_id", "parent", "fate"), "rows"))
         here = read(ROW_SCHEMA, rows[-1:])
         if swallowed:
-            cut = chunk_split(here.filter(F.col("fate") == "chunk"), params.cmax)
+            cut = chunk_split(here.filter(F.col("fate") == "chunk"), setting_of(params, "cmax", "parent"))
             runs.append(write_table(cut, "runs"))
         if not again:
             break
@@ -214,11 +233,14 @@ def carve(points: DataFrame, params: CarveParams, replicas: int = 1) -> Forest:
         chunked = heads.select("*", F.lit(True).alias("is_leaf"), F.lit(True).alias("chunked"))
         leaves = leaves.unionByName(cut.select("path", "vec_id"))
         nodes = nodes.unionByName(materialize(chunked, "chunk_nodes"))
+    if small:
+        leaves, nodes = leaves.unionByName(whole), nodes.unionByName(single)
     return Forest(leaves, nodes, depth, replicas)
 
 
-def _root_paths(replicas: int) -> str:
-    return f"transform(sequence(0, {replicas - 1}), r -> lpad(lower(hex(r)), {DIGITS}, '0'))"
+def _root_paths(roots) -> Column:
+    """The paths of some roots, as a constant list."""
+    return F.array(*[F.lit(f"{r:0{DIGITS}x}") for r in roots]).cast("array<string>")
 
 
 def nearest_children(
@@ -271,7 +293,7 @@ def route_to_leaf(
     return every.filter("is_leaf").drop("is_leaf")
 
 
-def overlap(points: DataFrame, forest: Forest, params: CarveParams) -> DataFrame:
+def overlap(points: DataFrame, forest: Forest, params: CarveParams | CarveRoots) -> DataFrame:
     """Home leaves plus up to ``fanout - 1`` further leaves per point and replica.
 
     The further leaves are where the point is routed from its ``fanout``
@@ -279,13 +301,17 @@ def overlap(points: DataFrame, forest: Forest, params: CarveParams) -> DataFrame
     A root with fewer children than ``fanout`` adds at most one leaf less than
     it has children.
     """
-    if params.fanout <= 1 or forest.depth == 0:
+    params = CarveRoots.of(params, forest.replicas)
+    fanouts = params.values("fanout")
+    if max(fanouts) <= 1 or forest.depth == 0:
         return forest.leaves
     nodes = forest.nodes
     top = nodes.filter(F.length("path") == 2 * DIGITS)
     reps = top.join(points.withColumnRenamed("vec_id", "representative"), "representative")
-    start = points.withColumn("parent", F.explode(F.expr(_root_paths(forest.replicas))))
-    picks = nearest_children(start, reps, params.fanout, params.metric)
+    wide = [r for r, fanout in enumerate(fanouts) if fanout > 1]
+    start = points.withColumn("parent", F.explode(_root_paths(wide)))
+    picks = nearest_children(start, reps, max(fanouts), params.metric)
+    picks = picks.filter(F.col("rank") <= setting_of(params, "fanout"))
     routed = route_to_leaf(picks, points, nodes, forest.depth, params.metric)
     elsewhere = routed.join(forest.leaves, ["path", "vec_id"], "left_anti").withColumn(
         "replica", replica_of()
@@ -296,7 +322,7 @@ def overlap(points: DataFrame, forest: Forest, params: CarveParams) -> DataFrame
     extra = (
         elsewhere.withColumn("_pick", F.row_number().over(order))
         .join(F.broadcast(children), "replica")
-        .filter(F.col("_pick") <= F.least(F.lit(params.fanout), F.col("_children")) - 1)
+        .filter(F.col("_pick") <= F.least(setting_of(params, "fanout"), F.col("_children")) - 1)
     )
     return forest.leaves.unionByName(extra.select("path", "vec_id"))
 
@@ -317,8 +343,13 @@ class Partition:
     nodes: DataFrame
 
 
-def build_partition(points: DataFrame, params: CarveParams, replicas: int = 1) -> Partition:
-    """Carve, overlap and number the leaves. Empty input gives empty tables."""
+def build_partition(
+    points: DataFrame, params: CarveParams | CarveRoots, replicas: int = 1
+) -> Partition:
+    """Carve, overlap and number the leaves. Empty input gives empty tables.
+
+    With ``CarveRoots``, ``replica`` is the number of the root.
+    """
     forest = carve(points, params, max(1, replicas))
     rows = overlap(points, forest, params)
     leaves = rows.join(number_leaves(forest.nodes), "path")

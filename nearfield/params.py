@@ -38,6 +38,34 @@ class CarveParams:
             raise ValueError("max_leaders must be at least 2, or no group can be split")
 
 
+@dataclass(frozen=True)
+class CarveRoots:
+    """Several ways to carve one point set, each with its replicas, as numbered roots of one forest.
+
+    ``roots`` holds (settings, replica number) pairs; all settings share the metric.
+    """
+
+    roots: tuple[tuple[CarveParams, int], ...]
+
+    def __post_init__(self):
+        if len({settings.metric for settings, _ in self.roots}) != 1:
+            raise ValueError("carvings of one forest need one metric")
+
+    @property
+    def metric(self) -> str:
+        return self.roots[0][0].metric
+
+    def values(self, name: str) -> list:
+        """A setting of every root; ``seed`` has the replica number added."""
+        if name == "seed":
+            return [settings.seed + replica for settings, replica in self.roots]
+        return [getattr(settings, name) for settings, _ in self.roots]
+
+    @classmethod
+    def of(cls, params, replicas: int = 1) -> "CarveRoots":
+        return params if isinstance(params, cls) else cls(tuple((params, r) for r in range(replicas)))
+
+
 @dataclass(frozen=True)
 class CandidateParams:
     carve: CarveParams = field(default_factory=CarveParams)

@@ -6,17 +6,19 @@ A run is a row ``name, method, scale, build_sec, recall_at_10, qps, edges``
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import time
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from nearfield.operators.candidates import bidirect, score_shortlist, union_replicas
+from nearfield.functions.vectors import qps
+from nearfield.operators.candidates import bidirect, score_shortlist
 from nearfield.operators.carve import build_partition
 from nearfield.operators.evaluate import recall_at_k
 from nearfield.operators.knn import ground_truth, top_per
 from nearfield.operators.prune import hash_edges, keep_buckets, plane_set
 from nearfield.operators.search import search_graphs
-from nearfield.params import CarveParams, PruneParams, SearchParams
+from nearfield.params import CarveParams, CarveRoots, PruneParams, SearchParams
 from nearfield.runtime import materialize
 
 METRIC_NAMES = ("build_sec", "recall_at_10", "qps", "edges")
@@ -24,13 +26,47 @@ METRIC_NAMES = ("build_sec", "recall_at_10", "qps", "edges")
 
 @dataclass(frozen=True)
 class SweepConfig:
-    """One configuration of a sweep over graphs of the same partition."""
+    """One configuration of a sweep. What is None is that of the sweep."""
 
     name: str
     leaf_k: int = 12
     max_degree: int = 32
     beam: int = 128
     mode: str = "refined"
+    carve: CarveParams | None = None
+    replicas: int | None = None
+    hash_bits: int | None = None
+
+    def __post_init__(self):
+        if self.mode not in ("hash", "refined"):
+            raise ValueError(f"a sweep has modes hash and refined, got {self.mode!r}")
+
+
+def _grid(name, cmax, replicas, leader_frac, max_leaders, leaf_k, max_degree, hash_bits, beam) -> SweepConfig:
+    carve = CarveParams(cmax=cmax, leader_frac=leader_frac, max_leaders=max_leaders, fanout=1)
+    return SweepConfig(name, leaf_k, max_degree, beam, "hash", carve, replicas, hash_bits)
+
+
+#: The grid that hash-pruned graphs are tuned on, from fast to exact.
+TUNING_GRID = [
+    _grid("fast_a", 64, 1, 0.002, 32, 8, 24, 8, 96),
+    _grid("fast_b", 96, 1, 0.003, 48, 12, 32, 10, 128),
+    _grid("bal_a", 128, 1, 0.003, 64, 16, 40, 10, 128),
+    _grid("bal_b", 128, 2, 0.008, 96, 20, 48, 12, 160),
+    _grid("quality_a", 128, 2, 0.02, 1000, 12, 32, 12, 128),
+    _grid("quality_b", 256, 3, 0.004, 128, 32, 64, 10, 256),
+]
+
+
+@dataclass
+class SweepGraphs:
+    """All graphs of a sweep: ``graph_id, src, dst, d, rank``, and what they took.
+
+    ``work`` has ``graph_id, pairs``: scored pairs and pruned candidates of each.
+    """
+
+    edges: DataFrame
+    work: DataFrame
 
 
 def sweep_graphs(
@@ -40,33 +76,78 @@ def sweep_graphs(
     replicas: int = 1,
     prune: PruneParams = PruneParams(),
 ) -> DataFrame:
-    """The graphs of all configurations: ``graph_id, src, dst, d, rank``.
+    """The graphs of all configurations: ``graph_id, src, dst, d, rank``."""
+    return build_sweep(points, configs, carve, replicas, prune).edges
 
-    The points are partitioned once, and each shortlist length is scored once
-    at the largest ``leaf_k``: smaller ones are prefixes of it by rank.
+
+def build_sweep(
+    points: DataFrame,
+    configs: list[SweepConfig],
+    carve: CarveParams = CarveParams(),
+    replicas: int = 1,
+    prune: PruneParams = PruneParams(),
+) -> SweepGraphs:
+    """Build the graphs of all configurations by one set of jobs, the configuration part of the key.
+
+    Every different partition setting and replica is a root of one forest and
+    is carved once. Where configurations share a root and the length of the
+    shortlist, its leaves are scored once at the largest ``leaf_k``: smaller
+    ones are prefixes of it by rank. Edges of the hash mode are hashed at the
+    widest bit count, of which the lower bits serve the narrower ones.
     """
-    partition = build_partition(points, carve, replicas)
-    scored, graphs = {}, []
-    planes = plane_set(points, prune) if any(c.mode == "hash" for c in configs) else None
-    for number, config in enumerate(configs):
-        cap = max(1, 8 * config.max_degree)
-        if cap not in scored:
-            widest = max(c.leaf_k for c in configs if max(1, 8 * c.max_degree) == cap)
-            scored[cap] = materialize(
-                score_shortlist(points, partition.leaves, widest, cap, carve.metric), "scored"
-            )
-        kept = scored[cap].filter(F.col("rank") <= config.leaf_k).select("src", "dst", "d")
-        edges = union_replicas(bidirect(kept))
-        if config.mode == "hash":
-            hashed = hash_edges(edges, points, prune, planes)
-            graph = keep_buckets(hashed, ["src"], config.max_degree)
-        else:
-            graph = top_per(edges, ["src"], ["d", "dst"], config.max_degree)
-        graphs.append(graph.select(F.lit(number).alias("graph_id"), "src", "dst", "d", "rank"))
-    whole = graphs[0]
-    for graph in graphs[1:]:
-        whole = whole.unionByName(graph)
-    return whole
+    spark = points.sparkSession
+    settings = [(c.carve or carve, max(1, replicas if c.replicas is None else c.replicas)) for c in configs]
+    roots = list(dict.fromkeys((s, r) for s, count in settings for r in range(count)))
+    partition = build_partition(points, CarveRoots(tuple(roots)))
+
+    # A variant is a root scored for one shortlist length; roots with several have their leaf ids repeated.
+    caps = [max(1, 8 * c.max_degree) for c in configs]
+    uses = [
+        (g, roots.index((setting, r)), cap)
+        for g, ((setting, count), cap) in enumerate(zip(settings, caps)) for r in range(count)
+    ]
+    variants = list(dict.fromkeys((root, cap) for _, root, cap in uses))
+    named = spark.createDataFrame(
+        [(v, root) for v, (root, _) in enumerate(variants)], "variant int, replica int"
+    )
+    leaves = partition.leaves.join(F.broadcast(named), "replica").select(
+        F.col("variant").alias("replica"), "leaf_id", "vec_id"
+    )
+    deepest = max(c.leaf_k for c in configs)
+    scored = materialize(
+        score_shortlist(points, leaves, deepest, [cap for _, cap in variants], roots[0][0].metric), "scored"
+    )
+    per_graph = spark.createDataFrame(
+        [(g, variants.index((root, cap)), configs[g].leaf_k) for g, root, cap in uses],
+        "graph_id int, replica int, leaf_k int",
+    )
+    chosen = scored.join(F.broadcast(per_graph), "replica").filter(F.col("rank") <= F.col("leaf_k"))
+    both = bidirect(chosen.select("graph_id", "src", "dst", "d"))
+    edges = materialize(both.groupBy("graph_id", "src", "dst").agg(F.min("d").alias("d")), "sweep-candidates")
+
+    modes = spark.createDataFrame(
+        [
+            (g, c.mode, c.max_degree, (1 << (prune.hash_bits if c.hash_bits is None else c.hash_bits)) - 1)
+            for g, c in enumerate(configs)
+        ],
+        "graph_id int, mode string, max_degree int, mask bigint",
+    )
+    edges = edges.join(F.broadcast(modes), "graph_id").filter("max_degree > 0")
+    key, most = ["graph_id", "src"], max(c.max_degree for c in configs)
+    kept = ["graph_id", "src", "dst", "d", "rank"]
+    degrees = F.broadcast(modes.select("graph_id", "max_degree"))
+    hashed_configs = [c for c in configs if c.mode == "hash"]
+    graphs = top_per(edges.filter("mode = 'refined'"), key, ["d", "dst"], max(0, most))
+    graphs = graphs.filter("rank <= max_degree").select(*kept)
+    if hashed_configs:
+        bits = max(prune.hash_bits if c.hash_bits is None else c.hash_bits for c in hashed_configs)
+        planes = plane_set(points, replace(prune, hash_bits=bits))
+        hashed = hash_edges(edges.filter("mode = 'hash'"), points, prune, planes)
+        hashed = hashed.withColumn("hash", F.col("hash").bitwiseAND(F.col("mask")))
+        pruned = keep_buckets(hashed, key, most).join(degrees, "graph_id").filter("rank <= max_degree")
+        graphs = graphs.unionByName(pruned.select(*kept))
+    work = edges.groupBy("graph_id").agg(F.count(F.lit(1)).alias("pairs"))
+    return SweepGraphs(graphs, work)
 
 
 def parameter_sweep(
@@ -78,29 +159,49 @@ def parameter_sweep(
     prune: PruneParams = PruneParams(),
     search: SearchParams = SearchParams(),
     truth: DataFrame | None = None,
+    scale: str = "all",
 ) -> DataFrame:
-    """Recall and edges of every configuration: ``name, mode, recall_at_10, edges``.
+    """One run per configuration: ``name, method, mode, scale, build_sec, recall_at_10, qps, edges``.
 
-    All graphs are searched by the same jobs, with the graph as part of the key.
+    All graphs are built and searched by the same jobs, with the graph as part
+    of the key. Their wall clock is dealt out by work: building by the
+    candidate edges of a graph, searching by the expansions its beam allows.
+    The rows can be written as a summary, ranked, gated and compared.
     """
     spark = points.sparkSession
-    graphs = materialize(sweep_graphs(points, configs, carve, replicas, prune), "sweep")
+    start = time.monotonic()
+    built = build_sweep(points, configs, carve, replicas, prune)
+    graphs = materialize(built.edges, "sweep")
+    build_sec = time.monotonic() - start
+    beams = float(sum(max(0, c.beam) for c in configs)) or 1.0
     table = spark.createDataFrame(
-        [(i, c.name, c.mode, c.beam) for i, c in enumerate(configs)],
-        "graph_id int, name string, mode string, beam int",
+        [(i, c.name, c.mode, c.beam, max(0, c.beam) / beams) for i, c in enumerate(configs)],
+        "graph_id int, name string, mode string, beam int, share double",
     )
     asked = queries.join(F.broadcast(table.select("graph_id", "beam")), F.lit(True))
-    found = search_graphs(graphs, points, asked, search)
+    start = time.monotonic()
+    found = materialize(search_graphs(graphs, points, asked, search), "sweep-found")
+    search_sec = time.monotonic() - start
     if truth is None:
         truth = ground_truth(points, queries, search.topk, search.metric)
     per_graph = truth.join(F.broadcast(table.select("graph_id")), F.lit(True))
     recall = recall_at_k(per_graph, found, search.topk, by=("graph_id",))
     edges = graphs.groupBy("graph_id").agg(F.count(F.lit(1)).alias("edges"))
+    count = queries.agg(F.count(F.lit(1)).alias("_n"))
+    pairs = F.coalesce("pairs", F.lit(0))
+    # One row per configuration from here on.
+    total = built.work.agg(F.greatest(F.sum("pairs"), F.lit(1)).alias("_pairs"))
     return (
         table.join(recall, "graph_id")
         .join(edges, "graph_id", "left")
+        .join(built.work, "graph_id", "left")
+        .join(F.broadcast(count), F.lit(True))
+        .join(F.broadcast(total), F.lit(True))
         .select(
-            "name", "mode", F.col("recall").alias("recall_at_10"),
+            "name", F.col("mode").alias("method"), "mode", F.lit(scale).alias("scale"),
+            (F.lit(build_sec) * pairs / F.col("_pairs")).alias("build_sec"),
+            F.col("recall").alias("recall_at_10"),
+            qps("_n", F.lit(search_sec) * F.col("share")).alias("qps"),
             F.coalesce("edges", F.lit(0)).alias("edges"),
         )
     )

@@ -6,8 +6,11 @@ from nearfield.operators.knn import ground_truth
 from nearfield.operators.prune import refine_degree
 from nearfield.operators.candidates import build_candidates
 from nearfield.operators.search import beam_search
-from nearfield.params import BuildParams, CarveParams, PruneParams, SearchParams
+from nearfield.params import BuildParams, CarveParams, CarveRoots, PruneParams, SearchParams
 from nearfield.plans import experiments as X
+from nearfield.plans.build import build_graph
+from nearfield.runtime import table_path
+from nearfield.sources.results import read_summary, write_summary
 from tests.model import close, frame
 
 # Published rows of a parameter sweep: name, build seconds, recall, queries per second, edges.
@@ -89,3 +92,49 @@ def test_sweep_equals_single_builds(spark):
         found = beam_search(edges, points, queries, SearchParams(beam=config.beam, topk=5))
         assert close(recall_at_k(truth, found, 5).first()["recall"], swept[config.name]["recall_at_10"])
         assert edges.count() == swept[config.name]["edges"]
+
+
+def test_sweep_over_all_axes(spark):
+    """Settings of the partition, replicas, bits, lengths and modes, each graph as if built alone."""
+    rng = np.random.default_rng(5)
+    points = frame(spark, np.concatenate([rng.normal(size=(150, 5)), np.ones((30, 5))]))
+    deep = CarveParams(cmax=12, leader_frac=0.03, fanout=3, seed=3)
+    flat = CarveParams(cmax=500, fanout=2, seed=4)
+    configs = [
+        X.SweepConfig("deep", 4, 5, 9, "hash", deep, 2, 3), X.SweepConfig("flat", 6, 5, 9, "hash", flat, 1, 9),
+        X.SweepConfig("shorter", 6, 2, 9, "hash", deep, 1, 9), X.SweepConfig("shared", 3, 5, 9, "refined", deep, 2),
+        X.SweepConfig("plain", 5, 4, 9),
+    ]
+    carve, prune = CarveParams(cmax=40, leader_frac=0.1, max_leaders=7), PruneParams(hash_bits=4, seed=2)
+    built = X.build_sweep(points, configs, carve, 1, prune)
+    got = {}
+    for row in built.edges.collect():
+        got.setdefault(row["graph_id"], set()).add((row["src"], row["dst"], row["rank"], round(row["d"], 9)))
+    for number, c in enumerate(configs):
+        bits = prune.hash_bits if c.hash_bits is None else c.hash_bits
+        params = BuildParams(c.carve or carve, PruneParams(bits, c.max_degree, 2), c.replicas or 1, c.leaf_k)
+        alone = build_graph(points, c.mode, params).collect()
+        assert got[number] == {(r["src"], r["dst"], r["rank"], round(r["d"], 9)) for r in alone}, c.name
+    assert {r["graph_id"] for r in built.work.collect()} == set(range(5))
+
+
+def test_sweep_feeds_summary_ranking_and_gate(spark):
+    points = frame(spark, np.random.default_rng(8).normal(size=(300, 4)))
+    queries = points.filter("vec_id % 3 = 0").withColumnRenamed("vec_id", "query_id")
+    swept = X.parameter_sweep(points, queries, X.TUNING_GRID, search=SearchParams(topk=10), scale="300")
+    path = table_path(spark, "summary")
+    write_summary(swept, path)
+    rows = {r["name"]: r for r in read_summary(spark, path).collect()}
+    assert set(rows) == {c.name for c in X.TUNING_GRID}
+    assert all(r["build_sec"] > 0 and r["qps"] > 0 and 0 <= r["recall_at_10"] <= 1 for r in rows.values())
+    # The finest carving of such a small set is the least connected, the widest one the best.
+    assert rows["quality_b"]["recall_at_10"] >= 0.95
+    gated = X.recall_gate(swept).filter("passed").collect()
+    assert {r["name"] for r in gated} >= {"quality_b"} and len(X.rank_runs(swept).collect()) == 6
+
+
+def test_sweep_rejects_what_it_cannot_build():
+    with pytest.raises(ValueError):
+        X.SweepConfig("x", mode="exact")
+    with pytest.raises(ValueError):
+        CarveRoots(((CarveParams(), 0), (CarveParams(metric="ip"), 0)))
