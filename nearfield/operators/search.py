@@ -11,8 +11,6 @@ saves rounds and never changes the order of expansion.
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -23,6 +21,8 @@ from nearfield.params import SearchParams
 from nearfield.runtime import BROADCAST_BYTES, bucketed, materialize, setting
 
 KEYS = ["graph_id", "query_id"]
+#: Queries that a task searches in one step, and the most (query, point) marks it holds for them.
+_TOGETHER, _SEEN = 512, 64_000_000
 _STATE = (
     "graph_id int, query_id bigint, beam int, "
     "expanded array<struct<d:double,id:bigint>>, "
@@ -162,51 +162,180 @@ def _round(active, lists, vectors, asked, params):
 
 
 def _advance_rows(batches):
-    names = ["graph_id", "query_id", "beam", "expanded", "frontier", "lists", "scores", "done"]
-    pair = pa.struct([("d", pa.float64()), ("id", pa.int64())])
-    held = pa.struct([("node", pa.int64()), ("nbrs", pa.list_(pa.int64()))])
-    score = pa.struct([("id", pa.int64()), ("d", pa.float64())])
-    types = [pa.int32(), pa.int64(), pa.int32(), pa.list_(pair), pa.list_(pair), pa.list_(held),
-             pa.list_(score), pa.bool_()]
     for batch in batches:
-        rows = [advance(row) for row in batch.to_pylist()]
-        columns = [pa.array([row[n] for row in rows], t) for n, t in zip(names, types)]
-        yield pa.RecordBatch.from_arrays(columns, names=names)
-
-
-def advance(row: dict) -> dict:
-    """Expand nodes best first until one is reached whose list was not looked up."""
-    lists = {e["node"]: e["nbrs"] for e in row["lists"] + (row["new_lists"] or [])}
-    scores = {e["id"]: e["d"] for e in row["scores"] + (row["new_scores"] or [])}
-    expanded = [(e["d"], e["id"]) for e in row["expanded"]]
-    frontier = [(e["d"], e["id"]) for e in row["frontier"]]
-    scores.update({i: d for d, i in frontier})
-    found = {i for _, i in expanded + frontier}
-    heapq.heapify(frontier)
-    while frontier and len(expanded) < row["beam"] and frontier[0][1] in lists:
-        d, node = heapq.heappop(frontier)
-        expanded.append((d, node))
-        for other in lists.pop(node):
-            # A point without a score fell off the frontier and stays out of reach.
-            if other not in found and other in scores:
-                found.add(other)
-                heapq.heappush(frontier, (scores[other], other))
-    # What ranks below the remaining budget can never be expanded.
-    frontier = heapq.nsmallest(row["beam"] - len(expanded), frontier)
-    waiting = {i for _, i in frontier}
-    lists = {node: nbrs for node, nbrs in lists.items() if node in waiting}
-    useful = {i for nbrs in lists.values() for i in nbrs} - waiting - {i for _, i in expanded}
-    done = not frontier
-    return {
-        "graph_id": row["graph_id"],
-        "query_id": row["query_id"],
-        "beam": row["beam"],
-        "expanded": [{"d": d, "id": i} for d, i in expanded],
-        "frontier": [{"d": d, "id": i} for d, i in frontier],
-        "lists": [] if done else [{"node": n, "nbrs": x} for n, x in lists.items()],
-        "scores": [] if done else [{"id": i, "d": scores[i]} for i in useful if i in scores],
-        "done": done,
-    }
+        if batch.num_rows:
+            yield advance(batch)
+
+
+def _flat(column) -> tuple[np.ndarray, pa.Array]:
+    """Row numbers and values of all entries of a list column; null lists are empty."""
+    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(sizes)), sizes), column.flatten()
+
+
+def _pairs_of(column, first: str, second: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    rows, values = _flat(column)
+    return rows, *(values.field(n).to_numpy(zero_copy_only=False) for n in (first, second))
+
+
+def _listed(rows: np.ndarray, count: int, **fields) -> pa.Array:
+    """A list column of structs from entries in row order."""
+    offsets = np.searchsorted(rows, np.arange(count + 1)).astype(np.int32)
+    values = [v if isinstance(v, pa.Array) else pa.array(v) for v in fields.values()]
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(values, names=list(fields)))
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All positions of some ranges, one range after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def lockstep(rows, nodes, scores, budget, neighbours):
+    """Best-first search of many queries together, one expansion of each per step.
+
+    ``rows, nodes, scores`` are the frontiers to begin with, ``budget`` the
+    expansions left per query. ``neighbours(rows, nodes)`` tells for the chosen
+    node of every query whether its list is at hand, and gives the fresh nodes
+    as ``rows, nodes, scores`` in order of rows. A query stops where a list is missing, the
+    budget is spent or the frontier empty. Order is by (score, node).
+
+    Returns the expansions ``rows, nodes, scores`` in order of steps and what is
+    left of the frontiers, best first, no longer than the budget left.
+    """
+    count, budget = len(budget), np.asarray(budget, np.int64)
+    none, inf = np.int64(2**62), np.inf
+    fill, spent = np.zeros(count, np.int64), np.zeros(count, np.int64)
+    wide = 2 * int(budget.max(initial=0)) + 64
+    D, N = np.full((count, wide), inf), np.full((count, wide), none)
+
+    def compact(room):
+        """Sort all frontiers, drop what the budget cannot reach, and make room."""
+        nonlocal D, N, fill
+        by = np.argsort(N, axis=1, kind="stable")
+        D, N = np.take_along_axis(D, by, 1), np.take_along_axis(N, by, 1)
+        by = np.argsort(D, axis=1, kind="stable")
+        D, N = np.take_along_axis(D, by, 1), np.take_along_axis(N, by, 1)
+        held = np.minimum(np.isfinite(D).sum(axis=1), budget - spent)
+        beyond = np.arange(D.shape[1])[None, :] >= held[:, None]
+        D[beyond], N[beyond] = inf, none
+        fill = held
+        need = int(held.max(initial=0)) + room
+        if need > D.shape[1]:
+            more = need - D.shape[1]
+            D = np.pad(D, ((0, 0), (0, more)), constant_values=inf)
+            N = np.pad(N, ((0, 0), (0, more)), constant_values=none)
+
+    def insert(rows, nodes, scores):
+        if not len(rows):
+            return
+        sizes = np.bincount(rows, minlength=count)
+        if int((fill + sizes).max()) > D.shape[1]:
+            compact(int(sizes.max()))
+        at = fill[rows] + np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        D[rows, at], N[rows, at] = scores, nodes
+        fill[:] = fill + sizes
+
+    insert(rows, nodes, scores)
+    out, active = [], np.flatnonzero(budget > 0)
+    while len(active):
+        # Consumed places hold inf; only the filled part can be chosen.
+        reach = int(fill[active].max())
+        if not reach:
+            break
+        d, n = D[active, :reach], N[active, :reach]
+        best = d.min(axis=1)
+        alive = np.isfinite(best)
+        active, d, n, best = active[alive], d[alive], n[alive], best[alive]
+        if not len(active):
+            break
+        pick = np.where(d == best[:, None], n, none).argmin(axis=1)
+        node = n[np.arange(len(active)), pick]
+        held, *fresh = neighbours(active, node)
+        going = active[held]
+        D[going, pick[held]] = inf
+        N[going, pick[held]] = none
+        spent[going] += 1
+        out.append((going, node[held], best[held]))
+        insert(*fresh)
+        active = going[spent[going] < budget[going]]
+    compact(0)
+    left_rows, left_at = np.nonzero(np.isfinite(D))
+    done = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
+    return done, (left_rows, N[left_rows, left_at], D[left_rows, left_at])
+
+
+def advance(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Expand nodes best first until each query reaches one whose list was not looked up."""
+    count = batch.num_rows
+    column = lambda name: batch.column(name)
+    done_row, done_d, done_id = _pairs_of(column("expanded"), "d", "id")
+    front_row, front_d, front_id = _pairs_of(column("frontier"), "d", "id")
+    lists = [_flat(column(name)) for name in ("lists", "new_lists")]
+    list_row = np.concatenate([rows for rows, _ in lists])
+    list_node = np.concatenate([v.field("node").to_numpy(zero_copy_only=False) for _, v in lists])
+    held = [v.field("nbrs") for _, v in lists]
+    sizes = np.concatenate([h.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) for h in held]).astype(np.int64)
+    near = np.concatenate([h.flatten().to_numpy(zero_copy_only=False) for h in held])
+    scored = [_pairs_of(column(name), "id", "d") for name in ("scores", "new_scores")]
+    score_row = np.concatenate([s[0] for s in scored] + [front_row])
+    score_id = np.concatenate([s[1] for s in scored] + [front_id])
+    score_d = np.concatenate([s[2] for s in scored] + [front_d])
+
+    # A (query, node) pair is one number: nodes as positions among all ids of the batch, in id order.
+    ids = np.unique(np.concatenate([done_id, front_id, list_node, near, score_id]).astype(np.int64))
+    width = max(1, len(ids))
+    code = lambda values: np.searchsorted(ids, values)
+    list_key = list_row * width + code(list_node)
+    by = np.argsort(list_key, kind="stable")
+    list_key, starts, sizes = list_key[by], (np.cumsum(sizes) - sizes)[by], sizes[by]
+    near = code(near)
+    # A point without a score fell off the frontier and stays out of reach.
+    score_key, by = np.unique(score_row * width + code(score_id), return_index=True)
+    score_d = score_d[by]
+    found = np.zeros(len(score_key), bool)
+    done_key = done_row * width + code(done_id)
+    found[np.isin(score_key, np.concatenate([done_key, front_row * width + code(front_id)]))] = True
+
+    def neighbours(rows, nodes):
+        asked = rows * width + nodes
+        at = np.minimum(np.searchsorted(list_key, asked), max(0, len(list_key) - 1))
+        held = list_key[at] == asked if len(list_key) else np.zeros(len(asked), bool)
+        at, rows = at[held], rows[held]
+        keys = np.repeat(rows * width, sizes[at]) + near[_ranges(starts[at], sizes[at])]
+        keys = np.unique(keys)
+        at = np.searchsorted(score_key, keys)
+        known = at < len(score_key)
+        known[known] = (score_key[at[known]] == keys[known]) & ~found[at[known]]
+        at, keys = at[known], keys[known]
+        found[at] = True
+        return held, keys // width, keys % width, score_d[at]
+
+    budget = column("beam").to_numpy(zero_copy_only=False) - np.bincount(done_row, minlength=count)
+    (more_row, more_node, more_d), (row, node, d) = lockstep(front_row, code(front_id), front_d, budget, neighbours)
+
+    by = np.argsort(np.concatenate([done_row, more_row]), kind="stable")
+    all_row = np.concatenate([done_row, more_row])[by]
+    all_id, all_d = np.concatenate([done_id, ids[more_node]])[by], np.concatenate([done_d, more_d])[by]
+    # Lists of waiting nodes stay, with the scores of what they may add to the frontier.
+    waiting = row * width + node
+    kept = np.flatnonzero(np.isin(list_key, waiting))
+    lengths = sizes[kept]
+    flat = near[_ranges(starts[kept], lengths)]
+    useful = np.unique(np.repeat(list_key[kept] // width * width, lengths) + flat)
+    useful = np.setdiff1d(useful, np.concatenate([waiting, all_row * width + code(all_id)]))
+    useful = useful[np.isin(useful, score_key)]
+    nbrs = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(ids[flat]))
+    columns = [
+        column("graph_id"), column("query_id"), column("beam"),
+        _listed(all_row, count, d=all_d, id=all_id),
+        _listed(row, count, d=d, id=ids[node]),
+        _listed(list_key[kept] // width, count, node=ids[list_key[kept] % width], nbrs=nbrs),
+        _listed(useful // width, count, id=ids[useful % width], d=score_d[np.searchsorted(score_key, useful)]),
+        pa.array(np.bincount(row, minlength=count) == 0),
+    ]
+    names = ["graph_id", "query_id", "beam", "expanded", "frontier", "lists", "scores", "done"]
+    return pa.RecordBatch.from_arrays(columns, names=names)
 
 
 def _search_broadcast(edges, points, queries, params) -> DataFrame:
@@ -230,52 +359,57 @@ def _search_broadcast(edges, points, queries, params) -> DataFrame:
         graphs = {}
         for number in np.unique(tag):
             rows = tag == number
-            starts = np.searchsorted(src[rows], np.arange(len(ids) + 1))
-            graphs[int(number)] = (starts, dst[rows])
+            # Every neighbour once, however often an edge is listed.
+            pairs = np.unique(src[rows] * len(ids) + dst[rows])
+            starts = np.searchsorted(pairs, np.arange(len(ids) + 1) * len(ids))
+            graphs[int(number)] = (starts, pairs % len(ids))
         alone = (np.zeros(len(ids) + 1, dtype=np.int64), np.zeros(0, dtype=np.int64))
         start = int(np.searchsorted(ids, entry))
+        names = ["graph_id", "query_id", "rank", "vec_id", "d"]
+        together = max(1, min(_TOGETHER, _SEEN // max(1, len(ids))))
         for batch in batches:
-            out = []
             wanted = blocks.matrix(batch, "v")
-            heads = zip(*(batch.column(n).to_pylist() for n in ("graph_id", "query_id", "beam")))
-            for (number, query, beam), q in zip(heads, wanted):
-                starts, near = graphs.get(number, alone)
-                hits = _expand(base, ids, starts, near, q, start, beam, metric)
-                best = sorted(hits)[:topk]
-                out += [(number, query, i + 1, v, d) for i, (d, v) in enumerate(best)]
-            columns = list(zip(*out)) if out else [[]] * 5
-            types = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.float64()]
-            names = ["graph_id", "query_id", "rank", "vec_id", "d"]
-            arrays = [pa.array(c, t) for c, t in zip(columns, types)]
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+            number, query, beam = (blocks.numbers(batch, n) for n in ("graph_id", "query_id", "beam"))
+            for which in np.unique(number):
+                rows = np.flatnonzero(number == which)
+                starts, near = graphs.get(int(which), alone)
+                for at in range(0, len(rows), together):
+                    part = rows[at : at + together]
+                    row, rank, node, d = _expand(base, starts, near, wanted[part], start, beam[part], metric, topk)
+                    columns = [
+                        pa.array(number[part][row], pa.int32()), pa.array(query[part][row], pa.int64()),
+                        pa.array(rank, pa.int32()), pa.array(ids[node], pa.int64()), pa.array(d),
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
 
     asked = queries.filter("beam > 0").select("graph_id", "query_id", "beam", "v")
     width = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
     return asked.repartition(width, "query_id").mapInArrow(run, _RESULT)
 
 
-def _expand(base, ids, starts, near, q, start, beam, metric):
-    """Expanded nodes (score, id) of one query on a graph held in arrays."""
-    left = q[None, :]
-
-    def score(at):
-        zeros = np.zeros(len(at), dtype=np.int64)
-        return blocks.pair_scores(base, left, at, zeros, metric).tolist()
-
-    found = np.zeros(len(ids), dtype=bool)
-    found[start] = True
-    frontier = [(score(np.array([start]))[0], int(ids[start]), start)]
-    expanded = []
-    while frontier and len(expanded) < beam:
-        d, node, at = heapq.heappop(frontier)
-        expanded.append((d, node))
-        fresh = np.unique(near[starts[at] : starts[at + 1]])
-        fresh = fresh[~found[fresh]]
-        if len(fresh):
-            found[fresh] = True
-            for entry in zip(score(fresh), ids[fresh].tolist(), fresh.tolist()):
-                heapq.heappush(frontier, entry)
-    return expanded
+def _expand(base, starts, near, queries, start, beam, metric, topk):
+    """Top-k of some queries on a graph held in arrays: row, rank, node and score."""
+    count = len(queries)
+    everyone = np.arange(count)
+    seen = np.zeros((count, len(base)), dtype=bool)
+    seen[:, start] = True
+    first = blocks.pair_scores(base, queries, np.full(count, start), everyone, metric)
+
+    def neighbours(rows, nodes):
+        sizes = starts[nodes + 1] - starts[nodes]
+        flat, owner = near[_ranges(starts[nodes], sizes)], np.repeat(rows, sizes)
+        fresh = ~seen[owner, flat]
+        flat, owner = flat[fresh], owner[fresh]
+        seen[owner, flat] = True
+        return np.ones(len(rows), bool), owner, flat, blocks.pair_scores(base, queries, flat, owner, metric)
+
+    begin = (everyone, np.full(count, start), first)
+    (row, node, d), _ = lockstep(*begin, np.minimum(beam, len(base)), neighbours)
+    order = np.lexsort((node, d, row))
+    row, node, d = row[order], node[order], d[order]
+    rank = np.arange(len(row)) - np.searchsorted(row, row) + 1
+    best = rank <= topk
+    return row[best], rank[best], node[best], d[best]
 
 
 def _answers(rows: DataFrame, topk: int) -> DataFrame:
