@@ -253,15 +253,32 @@ CTES["runs"] = f"""
     JOIN (SELECT label, count(*)::DOUBLE AS n FROM emb GROUP BY label) n ON n.label = e.label
     GROUP BY g.name, g.method, g.leaf_k, e.label"""
 CTES["cell_centres"] = f"""
-    SELECT vec_id FROM emb ORDER BY md5(concat(17, ':', vec_id)), vec_id LIMIT {P.CELLS}"""
-CTES["cells"] = """
-    SELECT vec_id, cell FROM (SELECT p.src AS vec_id, p.dst AS cell, row_number() OVER (
+    SELECT vec_id FROM (SELECT vec_id, row_number() OVER (
+      ORDER BY md5(concat({P.CELL_SEED}, ':', vec_id)), vec_id) AS rn FROM emb)
+    WHERE rn <= (SELECT ceil(sqrt(count(*))) FROM emb)"""
+CTES["cell_rank"] = """
+    SELECT p.src AS query_id, p.dst AS cell, row_number() OVER (
       PARTITION BY p.src ORDER BY p.d, p.dst) AS rn
-    FROM pd p JOIN cell_centres c ON c.vec_id = p.dst) WHERE rn = 1"""
-CTES["probed"] = f"""
-    SELECT query_id, cell FROM (SELECT p.src AS query_id, p.dst AS cell, row_number() OVER (
-      PARTITION BY p.src ORDER BY p.d, p.dst) AS rn
-    FROM pd p JOIN cell_centres c ON c.vec_id = p.dst) WHERE rn <= {P.PROBES}"""
+    FROM pd p JOIN cell_centres c ON c.vec_id = p.dst"""
+CTES["cells"] = "SELECT query_id AS vec_id, cell FROM cell_rank WHERE rn = 1"
+CTES["cell_sample"] = f"""
+    SELECT vec_id FROM emb ORDER BY md5(concat('probe:', vec_id)), vec_id LIMIT {P.CELL_SAMPLE}"""
+CTES["cell_need"] = """
+    SELECT r.rn AS rank, count(*) AS n FROM truth t JOIN cell_sample s ON s.vec_id = t.query_id
+    JOIN cells c ON c.vec_id = t.vec_id
+    JOIN cell_rank r ON r.query_id = t.query_id AND r.cell = c.cell GROUP BY r.rn"""
+CTES["cell_probes"] = f"""
+    SELECT rank AS probes, met / total AS recall FROM (
+      SELECT rank, sum(n) OVER (ORDER BY rank)::DOUBLE AS met, sum(n) OVER ()::DOUBLE AS total FROM cell_need)
+    WHERE met >= {P.CELL_RECALL}::DOUBLE * total ORDER BY rank LIMIT 1"""
+CTES["probed"] = """
+    SELECT query_id, cell FROM cell_rank WHERE rn <= (SELECT probes FROM cell_probes)"""
+CTES["cell_found"] = f"""
+    SELECT query_id, vec_id, d, rank FROM (
+      SELECT q.query_id, c.vec_id, p.d, row_number() OVER (
+        PARTITION BY q.query_id ORDER BY p.d, c.vec_id) AS rank
+      FROM probed q JOIN cells c ON c.cell = q.cell
+      JOIN pd p ON p.src = q.query_id AND p.dst = c.vec_id) WHERE rank <= {K}"""
 
 # The same partition, candidates and graph under the inner-product score.
 _IP = ("asg", "buckets", "home", "near", "extra", "leaf", "short", "scored", "cand_k12", "refined_k12")
@@ -422,11 +439,20 @@ ORACLE = {
     "q1_beam_search": "SELECT query_id, rank::INT AS rank, vec_id, round(d, 6) AS d FROM found_hash",
     "q2_search_refined_graph": """SELECT query_id, rank::INT AS rank, vec_id, round(d, 6) AS d
         FROM found_refined""",
-    "q3_approx_baseline": f"""SELECT query_id, rank, vec_id, round(d, 6) AS d FROM (
-        SELECT q.query_id, c.vec_id, p.d, row_number() OVER (
-          PARTITION BY q.query_id ORDER BY p.d, c.vec_id) AS rank
-        FROM probed q JOIN cells c ON c.cell = q.cell
-        JOIN pd p ON p.src = q.query_id AND p.dst = c.vec_id) WHERE rank <= {K}""",
+    "q3_approx_baseline": "SELECT query_id, rank, vec_id, round(d, 6) AS d FROM cell_found",
+    "q3_cell_index": f"""SELECT (SELECT count(*) FROM cell_centres) AS cells, probes,
+        (SELECT count(*) FROM emb) AS points, round(recall, 6) AS recall, round((
+          SELECT avg(n) FROM (SELECT q.query_id, count(*) AS n FROM probed q
+            JOIN cell_sample s ON s.vec_id = q.query_id JOIN cells c ON c.cell = q.cell GROUP BY q.query_id))
+          / (SELECT count(*) FROM emb), 6) AS read,
+        round((SELECT count(*) FROM cell_found f JOIN truth t
+               ON t.query_id = f.query_id AND t.vec_id = f.vec_id)
+          / ((SELECT count(*) FROM emb) * {K}.0::DOUBLE), 6) AS recall_of_all FROM cell_probes""",
+    "e3_run_benchmark_cells": f"""SELECT 'cells' AS mode, round((
+          SELECT count(*) FROM cell_found f JOIN truth t
+          ON t.query_id = f.query_id AND t.vec_id = f.vec_id)
+        / ((SELECT count(*) FROM emb) * {K}.0::DOUBLE), 6) AS recall_at_10,
+        (SELECT count(*) FROM emb) AS edges""",
     "e1_recall_at_k": "SELECT round(recall, 6) AS recall FROM recall_hash",
     "e2_recall_micro": f"""SELECT round((
           SELECT count(*) FROM found_hash f JOIN wide w

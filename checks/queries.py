@@ -17,7 +17,7 @@ from nearfield.operators import knn as N
 from nearfield.operators import leafknn as L
 from nearfield.operators import prune as H
 from nearfield.operators import search as S
-from nearfield.operators.cells import approx_baseline
+from nearfield.operators.cells import approx_baseline, build_cell_index, open_cell_index, probe_cells
 from nearfield.plans import build as B
 from nearfield.plans import experiments as X
 from nearfield.runtime import materialize, ship_package, table_path
@@ -681,12 +681,22 @@ def q2_search_refined_graph(spark, sf_dir):
 
 @query
 def q3_approx_baseline(spark, sf_dir):
-    hits = approx_baseline(
-        points(spark, sf_dir), queries_of(spark, sf_dir), P.K, P.CELLS, P.PROBES
-    )
+    hits = approx_baseline(points(spark, sf_dir), queries_of(spark, sf_dir), P.K)
     return hits.select("query_id", "rank", "vec_id", *six("d"))
 
 
+@query
+def q3_cell_index(spark, sf_dir):
+    """What the stored index says of itself, and the recall of all queries by it."""
+    base, asked = points(spark, sf_dir), queries_of(spark, sf_dir)
+    path = table_path(spark, "index")
+    build_cell_index(base, asked, P.K, path)
+    index = open_cell_index(spark, path)
+    recall = E.recall_at_k(truth(spark, sf_dir), probe_cells(index, asked, P.K), P.K)
+    rows = index.about.join(F.broadcast(recall.select(F.col("recall").alias("recall_of_all"))), F.lit(True))
+    return rows.select("cells", "probes", "points", *six("recall", "read", "recall_of_all"))
+
+
 @query
 def e1_recall_at_k(spark, sf_dir):
     return E.recall_at_k(truth(spark, sf_dir), found(spark, sf_dir), P.K).select(*six("recall"))
@@ -715,6 +725,15 @@ def e3_run_benchmark(spark, sf_dir):
     return measured.select("mode", *six("recall_at_10"), "edges")
 
 
+@query
+def e3_run_benchmark_cells(spark, sf_dir):
+    """The benchmark entry over the approximate index, with its micro recall and entries."""
+    measured = B.run_benchmark(
+        points(spark, sf_dir), queries_of(spark, sf_dir), "cells", P.BUILD, P.SEARCH
+    )
+    return measured.select("mode", *six("recall_at_10"), "edges")
+
+
 @query
 def e4_build_profile(spark, sf_dir):
     return B.build_profile(points(spark, sf_dir), P.BUILD).counters

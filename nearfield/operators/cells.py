@@ -1,69 +1,153 @@
-"""An approximate index to compare the graphs with: probe the nearest cells only."""
+"""An approximate index to compare the graphs with: points stored by cell, probed where it is nearest.
+
+The index is a folder of three tables: ``centres``, ``members`` partitioned by
+cell, and ``about`` with one row that says how many cells a query must
+probe and what share of true neighbours that finds, measured when it was built.
+"""
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from nearfield.operators.carve import assign_to_leaders, digits, leaders_of_level
-from nearfield.operators.knn import top_per, topk_join
+from nearfield.operators.knn import footprint, top_per, topk_join
 from nearfield.params import CarveParams
-from nearfield.runtime import materialize
+from nearfield.runtime import materialize, table_path
 
 #: Queries that are compared with brute force to set the number of probes.
 SAMPLE = 256
+_ABOUT = "cells bigint, probes bigint, recall double, read double, points bigint, metric string"
+_VECTOR = "vec_id bigint, v array<{}>"
 
 
-def approx_baseline(
+@dataclass
+class CellIndex:
+    """A stored index: ``recall`` is what ``probes`` cells found of the sample's true
+    neighbours, ``read`` the share of the points in those cells; both null
+    where the probes were given."""
+
+    path: str
+    about: DataFrame
+    centres: DataFrame
+    members: DataFrame
+    probes: int
+    metric: str
+
+
+def probe_sample(queries: DataFrame) -> DataFrame:
+    """At most ``SAMPLE`` queries, in the order of a hash of their ids."""
+    order = F.md5(F.concat(F.lit("probe:"), F.col("query_id").cast("string")))
+    return queries.orderBy(order, "query_id").limit(SAMPLE)
+
+
+def build_cell_index(
     base: DataFrame,
     queries: DataFrame,
     k: int,
+    path: str | None = None,
     cells: int | None = None,
     probes: int | None = None,
     seed: int = 17,
     metric: str = "l2",
-    recall: float = 0.9,
-) -> DataFrame:
-    """Top-k of every query among the base points of its ``probes`` nearest cells.
+    recall: float = 0.92,
+) -> CellIndex:
+    """Store ``base`` by its nearest of ``cells`` hash-sampled points.
 
-    ``cells`` hash-sampled points are the centres and every base point belongs
-    to its nearest one. A hot cell is cut into blocks by the top-k join.
     Without ``cells`` there are as many as the square root of the row count.
-    Without ``probes`` they are doubled until the neighbours of a sample of
-    queries, compared with brute force, are found to the share ``recall``.
-    Result ``query_id, rank, vec_id, d``.
+    Without ``probes`` they are the fewest that find the share ``recall`` of the
+    ``k`` nearest neighbours of a sample of ``queries``, compared with brute
+    force once: the rank of every true neighbour's cell tells all at a time.
     """
     spark = base.sparkSession
+    path = path or table_path(spark, "cell-index")
     n = base.count()
-    cells = cells or math.ceil(math.sqrt(n))
-    params = CarveParams(leader_frac=1.0, max_leaders=max(2, cells), seed=seed, metric=metric)
+    cells = max(2, cells or math.ceil(math.sqrt(n)))
+    params = CarveParams(leader_frac=1.0, max_leaders=cells, seed=seed, metric=metric)
     root = digits(F.lit(0))
     groups = spark.range(1).select(root.alias("path"), F.lit(n).alias("n"))
     members = base.withColumn("path", root)
     centres, size = leaders_of_level(members.select("path", "vec_id"), base, groups, params)
-    owned = materialize(assign_to_leaders(members, centres, metric, size), "cells").select(
-        "vec_id", F.col("leader").alias("cell")
-    )
     centres = centres.select("vec_id", "v")
+    assigned = assign_to_leaders(members, centres.withColumns({"path": root, "child": F.lit(0).cast("bigint")}), metric, size)
+    owned = assigned.select("vec_id", F.col("leader").alias("cell"))
+    # A file per cell and some more for hot ones, not one per cell and task.
+    stored = owned.join(base, "vec_id").select("cell", "vec_id", "v")
+    stored.repartition("cell").write.partitionBy("cell").option("maxRecordsPerFile", 1_000_000).parquet(f"{path}/members")
+    centres.write.parquet(f"{path}/centres")
+    schema = f"cell bigint, {_schema_of(base)}"
+    stored = spark.read.schema(schema).parquet(f"{path}/members")
 
-    def probe(queries: DataFrame, probes: int) -> DataFrame:
-        nearest = topk_join(queries, centres, probes, metric, base_bytes=size)
-        probed = nearest.select("query_id", F.col("vec_id").alias("cell"))
-        found = topk_join(
-            probed.join(queries, "query_id"), owned.join(base, "vec_id"), k, metric, group="cell"
-        )
-        return top_per(found.drop("rank"), ["query_id"], ["d", "vec_id"], k).select(
-            "query_id", "rank", "vec_id", "d"
-        )
-
+    found = read = None
     if probes is None:
-        sample = queries.orderBy(F.xxhash64("query_id"), "query_id").limit(SAMPLE)
-        sample = materialize(sample, "probe-sample")
-        truth = materialize(topk_join(sample, base, k, metric).select("query_id", "vec_id"), "probe-truth")
-        wanted, probes = recall * truth.count(), 4
-        while probes < cells:
-            if probe(sample, probes).join(truth, ["query_id", "vec_id"]).count() >= wanted:
+        sample = materialize(probe_sample(queries), "probe-sample")
+        truth = topk_join(sample, base, k, metric).select("query_id", "vec_id")
+        ranks = topk_join(sample, centres, cells, metric, base_bytes=size).select(
+            "query_id", F.col("vec_id").alias("cell"), "rank"
+        )
+        needed = truth.join(stored.select("vec_id", "cell"), "vec_id").join(ranks, ["query_id", "cell"])
+        # One row per rank, at most one per cell.
+        counts = needed.groupBy("rank").agg(F.count(F.lit(1)).alias("n")).orderBy("rank").collect()
+        total, met, probes = sum(r["n"] for r in counts), 0, 1
+        for row in counts:
+            probes, met = row["rank"], met + row["n"]
+            if met >= recall * total:
                 break
-            probes *= 2
-    return probe(queries, probes)
+        found = met / total if total else 1.0
+        sizes = stored.groupBy("cell").agg(F.count(F.lit(1)).alias("_size"))
+        probed = ranks.filter(F.col("rank") <= probes).join(sizes, "cell", "left")
+        share = probed.groupBy("query_id").agg(F.sum("_size").alias("_read")).agg(F.avg("_read")).first()[0]
+        read = float(share or 0) / max(1, n)
+    about = spark.createDataFrame([(cells, probes, found, read, n, metric)], _ABOUT)
+    about.write.parquet(f"{path}/about")
+    return CellIndex(path, about, centres, stored, probes, metric)
+
+
+def _schema_of(base: DataFrame) -> str:
+    kind = base.schema["v"].dataType.elementType.simpleString()
+    return _VECTOR.format(kind)
+
+
+def open_cell_index(spark: SparkSession, path: str) -> CellIndex:
+    """The index that was stored under ``path``."""
+    about = spark.read.schema(_ABOUT).parquet(f"{path}/about")
+    centres = spark.read.parquet(f"{path}/centres")
+    members = spark.read.schema(f"cell bigint, {_schema_of(centres)}").parquet(f"{path}/members")
+    row = about.first()
+    return CellIndex(path, about, centres, members, row["probes"], row["metric"])
+
+
+def probe_cells(index: CellIndex, queries: DataFrame, k: int, probes: int | None = None) -> DataFrame:
+    """Top-k of every query among the points of its nearest cells: ``query_id, rank, vec_id, d``.
+
+    Cells that no query probes are not read. A hot cell is cut into blocks by the top-k join.
+    """
+    probes = index.probes if probes is None else probes
+    nearest = topk_join(queries, index.centres, probes, index.metric)
+    probed = nearest.select("query_id", F.col("vec_id").alias("cell"))
+    wanted = probed.select("cell").distinct()
+    rows, size = footprint(index.members)
+    members = index.members.join(wanted, "cell", "left_semi")
+    found = topk_join(
+        probed.join(queries, "query_id"), members, k, index.metric, group="cell", base_bytes=size
+    )
+    return top_per(found.drop("rank"), ["query_id"], ["d", "vec_id"], k).select(
+        "query_id", "rank", "vec_id", "d"
+    )
+
+
+def approx_baseline(
+    base: DataFrame,
+    queries: DataFrame,
+    k: int,
+    cells: int | None = None,
+    probes: int | None = None,
+    seed: int = 17,
+    metric: str = "l2",
+    recall: float = 0.92,
+) -> DataFrame:
+    """Build the index and probe it: ``query_id, rank, vec_id, d``; see ``build_cell_index``."""
+    index = build_cell_index(base, queries, k, None, cells, probes, seed, metric, recall)
+    return probe_cells(index, queries, k)
