@@ -22,7 +22,9 @@ class WordCoder:
     With such a vocabulary no token reaches over ASCII white space, so the ids
     of a text are those of its words in a row. New words are encoded together;
     the cache is emptied above ``limit`` words. Other vocabularies are encoded
-    text by text.
+    text by text. Added tokens of the file are matched before the case is
+    folded, so a text that may hold one in any case keeps its case, and whether
+    case and trailing marks can be taken apart is asked of the vocabulary.
     """
 
     def __init__(self, path: str, limit: int = 500_000):
@@ -34,6 +36,14 @@ class WordCoder:
         self.ends[[i for token, i in vocabulary.items() if token.endswith(_WORD_END)]] = True
         self.by_word = self.encode_text(b"a b") == self.encode_text(b"a") + self.encode_text(b"b")
         self.by_word = self.by_word and bool(self.ends.any())
+        letters = b" ".join(bytes([65 + i, 97 + (i + 1) % 26, 65 + (i + 7) % 26]) for i in range(26))
+        self.folds = self.encode_text(letters) == self.encode_text(letters.lower())
+        self.marks_apart = all(
+            self.encode_text(b"ab" + marks) == self.encode_text(b"ab") + self.encode_text(marks)
+            for m in _MARKS for marks in (bytes([m]), bytes([m, m]), bytes([m]) + b".")
+        )
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = [token.content.lower().encode() for token in added]
         self.limit = limit
         self.words: dict[bytes, bytes] = {}
 
@@ -47,16 +57,23 @@ class WordCoder:
             return [self.encode_text(text) for text in texts]
         if len(self.words) > self.limit:
             self.words.clear()
-        split = [(text.lower() if text.isascii() else text).split() for text in texts]
+        split = [self._folded(text).split() for text in texts]
         self._learn(set().union(*split).difference(self.words))
         return [b"".join(map(self.words.__getitem__, words)) for words in split]
 
+    def _folded(self, text: bytes) -> bytes:
+        """The text in small letters where that leaves its ids as they are."""
+        if not self.folds or not text.isascii():
+            return text
+        low = text.lower()
+        return text if any(token in low for token in self.added) else low
+
     def _learn(self, words: set[bytes]) -> None:
         known, parts, plain = self.words, {}, set()
         for word in words:
             # Letters and trailing marks are separate runs to the vocabulary's splitter.
-            key = word.lower() if word.isascii() else word
-            stem = key.rstrip(_MARKS)
+            key = self._folded(word)
+            stem = key.rstrip(_MARKS) if self.marks_apart else b""
             if stem.decode("utf-8", "replace").isalpha():
                 parts[word] = stem, key[len(stem) :]
                 if stem not in known:

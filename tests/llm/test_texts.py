@@ -85,6 +85,28 @@ def test_token_ids_round_trip(spark, docs, encoded):
     assert some.columns == ["doc_id", "start", "n_tokens"] and some.count() == 3
 
 
+def test_ids_of_added_tokens_in_any_case(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    from nearfield.llm.encoding import WordCoder
+
+    given = [b"<|ENDOFTEXT|>", b"a <|endoftext|> B", b"x<|EndOfText|>y Abc, DEF!!", b"<|STARTOFTEXT|>. <|startoftext|>x",
+             b"Plain TEXT, it's (odd)... x" * 3, "É <|ENDOFTEXT|> Ü".encode()]
+    # The same vocabulary without the step that folds the case.
+    file = json.load(open(WORD_BPE))
+    steps = file["normalizer"]["normalizers"]
+    file["normalizer"]["normalizers"] = [s for s in steps if s["type"] != "Lowercase"]
+    cased = str(tmp_path / "cased.json")
+    json.dump(file, open(cased, "w"))
+    for path in (WORD_BPE, cased):
+        library, coder = Tokenizer.from_file(path), WordCoder(path)
+        for order in (given, given[::-1]):
+            got = [np.frombuffer(ids, "<u4").tolist() for ids in coder.encode_all(order)]
+            assert got == [library.encode(t.decode(), add_special_tokens=False).ids for t in order]
+
+
 def test_token_ids_of_nothing(spark, empty):
     path = table_path(spark, "ids")
     tokenids.write_lists(tokenids.encode_ids(empty, WORD_BPE), path)
