@@ -1,8 +1,9 @@
 """The same results as SQL for DuckDB, written from the definitions.
 
 Common table expressions are kept in ``CTES`` by name with what they read;
-``sql`` puts together the ones a query needs. Partition tables hold for a
-carving of one level, which ``checks.settings`` keeps on the test tables.
+``sql`` puts together the ones a query needs. Most partition tables hold for a
+carving of one level, which ``checks.settings`` keeps on the test tables; the
+deep ones are unrolled level by level.
 """
 
 from __future__ import annotations
@@ -280,6 +281,96 @@ CTES["cell_found"] = f"""
       FROM probed q JOIN cells c ON c.cell = q.cell
       JOIN pd p ON p.src = q.query_id AND p.dst = c.vec_id) WHERE rank <= {K}"""
 
+LEVELS = 8  # deep carvings of the test tables end before
+
+
+def _deep(tag: str, emb: str, carve) -> None:
+    """A carving of several levels, its routing and statistics, every level a table of its own."""
+    CTES[f"pd_{tag}"] = f"SELECT a.vec_id AS src, b.vec_id AS dst, {_l2('a.v', 'b.v')} AS d FROM {emb} a, {emb} b"
+    CTES[f"in_{tag}_0"] = f"""
+        SELECT printf('%08x', r.replica) AS parent, r.replica, vec_id FROM {emb},
+          (SELECT unnest(range(2)) AS replica) r"""
+    for at in range(LEVELS):
+        name = lambda table: f"{table}_{tag}_{at}"
+        CTES[name("lead")] = f"""
+            SELECT parent, vec_id, rn - 1 AS child FROM (
+              SELECT parent, vec_id, count(*) OVER (PARTITION BY parent) AS n, row_number() OVER (
+                PARTITION BY parent ORDER BY md5(concat({carve.seed} + replica, ':', substr(parent, 9),
+                  CASE WHEN length(parent) > 8 THEN ':' ELSE '' END, vec_id)), vec_id) AS rn
+              FROM {name("in")})
+            WHERE rn <= {_leader_count('n', carve.leader_frac, carve.max_leaders)}"""
+        CTES[name("asg")] = f"""
+            SELECT replica, parent, vec_id, child, leader FROM (
+              SELECT m.replica, m.parent, m.vec_id, l.child, l.vec_id AS leader, row_number() OVER (
+                PARTITION BY m.parent, m.vec_id ORDER BY p.d, l.vec_id) AS rn
+              FROM {name("in")} m JOIN {name("lead")} l ON l.parent = m.parent
+              JOIN pd_{tag} p ON p.src = m.vec_id AND p.dst = l.vec_id) WHERE rn = 1"""
+        CTES[name("buckets")] = f"""
+            SELECT parent, child, representative, concat(parent, printf('%08x', child)) AS path,
+                   CASE WHEN n = sum(n) OVER (PARTITION BY parent) THEN 'chunk'
+                        WHEN n <= {carve.cmax} THEN 'leaf' ELSE 'split' END AS fate
+            FROM (SELECT parent, child, min(leader) AS representative, count(*) AS n
+                  FROM {name("asg")} GROUP BY parent, child)"""
+        CTES[name("rows")] = f"""
+            SELECT a.replica, a.parent, a.vec_id, b.path, b.fate FROM {name("asg")} a
+            JOIN {name("buckets")} b ON b.parent = a.parent AND b.child = a.child"""
+        CTES[name("runs")] = f"""
+            SELECT replica, parent, vec_id, concat(parent, printf('%08x', (row_number() OVER (
+              PARTITION BY parent ORDER BY vec_id) - 1) // {carve.cmax})) AS path
+            FROM {name("rows")} WHERE fate = 'chunk'"""
+        CTES[f"in_{tag}_{at + 1}"] = f"""
+            SELECT path AS parent, replica, vec_id FROM {name("rows")} WHERE fate = 'split'"""
+    every = lambda text: " UNION ALL ".join(text.format(f"{tag}_{at}") for at in range(LEVELS))
+    CTES[f"nodes_{tag}"] = every("""
+        SELECT path, parent, representative, fate = 'leaf' AS is_leaf, false AS chunked
+        FROM buckets_{0} WHERE fate <> 'chunk'
+        UNION ALL SELECT path, parent, min(vec_id), true, true FROM runs_{0} GROUP BY path, parent""")
+    CTES[f"home_{tag}"] = every("""
+        SELECT replica, path, vec_id FROM rows_{0} WHERE fate = 'leaf'
+        UNION ALL SELECT replica, path, vec_id FROM runs_{0}""")
+    CTES[f"at_{tag}_0"] = f"""
+        SELECT vec_id, rank, path, is_leaf FROM (
+          SELECT p.src AS vec_id, n.path, n.is_leaf, row_number() OVER (
+            PARTITION BY n.parent, p.src ORDER BY p.d, n.representative) AS rank
+          FROM pd_{tag} p JOIN nodes_{tag} n ON n.representative = p.dst AND length(n.parent) = 8)
+        WHERE rank <= 3"""
+    for at in range(LEVELS):
+        CTES[f"at_{tag}_{at + 1}"] = f"""
+            SELECT vec_id, rank, path, is_leaf FROM at_{tag}_{at} WHERE is_leaf
+            UNION ALL SELECT vec_id, rank, path, is_leaf FROM (
+              SELECT a.vec_id, a.rank, n.path, n.is_leaf, row_number() OVER (
+                PARTITION BY a.vec_id, a.path ORDER BY p.d, n.representative) AS rn
+              FROM at_{tag}_{at} a JOIN nodes_{tag} n ON n.parent = a.path
+              JOIN pd_{tag} p ON p.src = a.vec_id AND p.dst = n.representative
+              WHERE NOT a.is_leaf) WHERE rn = 1"""
+    CTES[f"routed_{tag}"] = f"""
+        SELECT vec_id, ('0x' || left(path, 8))::INT AS replica, rank, path FROM at_{tag}_{LEVELS}"""
+    CTES[f"leaf_{tag}"] = f"""
+        SELECT replica::INT AS replica, path, vec_id FROM home_{tag}
+        UNION ALL SELECT replica, path, vec_id FROM (
+          SELECT *, row_number() OVER (PARTITION BY replica, vec_id ORDER BY rank) AS k
+          FROM routed_{tag} r ANTI JOIN home_{tag} h ON h.path = r.path AND h.vec_id = r.vec_id)
+        WHERE k <= least({carve.fanout}, (SELECT count(*) FROM nodes_{tag} n
+          WHERE n.parent = printf('%08x', replica))) - 1"""
+    CTES[f"stats_{tag}"] = f"""
+        SELECT a.replica, leaf_count, assignment_total, min_leaf_size, max_leaf_size,
+               points_with_overlap, max_membership, coalesce(c.chunks, 0) AS fallback_chunk_splits
+        FROM (SELECT replica, count(*) AS leaf_count, sum(n)::BIGINT AS assignment_total,
+                     min(n) AS min_leaf_size, max(n) AS max_leaf_size
+              FROM (SELECT replica, path, count(*) AS n FROM leaf_{tag} GROUP BY ALL) GROUP BY replica) a
+        JOIN (SELECT replica, count_if(m > 1) AS points_with_overlap, max(m) AS max_membership
+              FROM (SELECT replica, vec_id, count(*) AS m FROM leaf_{tag} GROUP BY ALL) GROUP BY replica) b
+          ON a.replica = b.replica
+        LEFT JOIN (SELECT ('0x' || left(path, 8))::INT AS replica, count(*) AS chunks FROM nodes_{tag}
+                   WHERE chunked GROUP BY 1) c ON c.replica = a.replica"""
+
+
+CTES["crowded"] = """
+    SELECT e.vec_id, CASE WHEN e.vec_id % 3 = 0 THEN f.v ELSE e.v END AS v
+    FROM emb e JOIN emb f ON f.vec_id = 0"""
+_deep("deep", "emb", P.DEEP)
+_deep("crowded", "crowded", P.DEEP)
+
 # The same partition, candidates and graph under the inner-product score.
 _IP = ("asg", "buckets", "home", "near", "extra", "leaf", "short", "scored", "cand_k12", "refined_k12")
 for _name in _IP:
@@ -319,6 +410,7 @@ def sql(body: str) -> str:
 
 
 _RANKED = "SELECT src, dst, rank, round(d, 6) AS d FROM"
+_PER_REPLICA = "SELECT replica::INT AS replica, src, dst, rank, round(d, 6) AS d FROM"
 
 ORACLE = {
     "s1_read_fvecs": f"""SELECT vec_id, len(v)::INT AS dim, round({_dot('v', 'v')}, 6) AS norm,
@@ -387,21 +479,27 @@ ORACLE = {
         SELECT label, vec_id, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) // 7 AS chunk
         FROM emb) GROUP BY label, chunk""",
     "p7_leaf_numbers": "SELECT replica::INT AS replica, leaf_id, leader AS representative FROM buckets",
-    "p8_nearest_children": """SELECT vec_id, rn::INT AS rank, child FROM near
-        WHERE replica = 0 AND rn <= 3""",
+    "p8_nearest_children": """SELECT replica::INT AS replica, vec_id, rn::INT AS rank, child FROM near
+        WHERE rn <= 3""",
     "p9_route_at_leaf": "SELECT replica::INT AS replica, child, leader AS vec_id FROM buckets",
+    "p5_carve_deep": "SELECT path, parent, representative, is_leaf FROM nodes_deep",
+    "p5_carve_crowded": "SELECT path, parent, representative, is_leaf, chunked FROM nodes_crowded",
+    "p9_route_to_leaf": "SELECT vec_id, replica, rank::INT AS rank, path FROM routed_deep",
+    "p9_route_crowded": "SELECT vec_id, replica, rank::INT AS rank, path FROM routed_crowded",
+    "p13_build_partition_deep": "SELECT * FROM stats_deep",
+    "p13_build_partition_crowded": "SELECT * FROM stats_crowded",
     "p10_overlap": "SELECT replica::INT AS replica, leaf_id, vec_id FROM leaf",
     "p11_point_memberships": """SELECT replica::INT AS replica, vec_id,
         string_agg(leaf_id, ',' ORDER BY leaf_id) AS leaf_ids FROM leaf GROUP BY replica, vec_id""",
     "p12_partition_stats": "SELECT replica::INT AS replica, * EXCLUDE (replica) FROM stats",
     "p13_build_partition": """SELECT leaf_id, count(*) AS size, min(vec_id) AS first_id,
         sum(vec_id)::BIGINT AS id_sum FROM leaf WHERE replica = 0 GROUP BY leaf_id""",
-    "c1_shortlist": "SELECT src, rank, dst FROM short WHERE replica = 0",
-    "c2_cap_shortlist": "SELECT src, rank, dst FROM short WHERE replica = 0 AND rank <= 128",
-    "c3_score_shortlist": f"{_RANKED} scored WHERE replica = 0 AND rank <= 12",
-    "c3_score_uncapped_ip": f"{_RANKED} scored_ip WHERE replica = 0 AND rank <= 12",
-    "c4_bidirect": """SELECT src, dst, round(d, 6) AS d FROM scored WHERE replica = 0 AND rank <= 4
-        UNION ALL SELECT dst, src, round(d, 6) FROM scored WHERE replica = 0 AND rank <= 4""",
+    "c1_shortlist": "SELECT replica::INT AS replica, src, rank, dst FROM short",
+    "c2_cap_shortlist": "SELECT replica::INT AS replica, src, rank, dst FROM short WHERE rank <= 128",
+    "c3_score_shortlist": f"{_PER_REPLICA} scored WHERE rank <= 12",
+    "c3_score_uncapped_ip": f"{_PER_REPLICA} scored_ip WHERE rank <= 12",
+    "c4_bidirect": """SELECT replica::INT AS replica, src, dst, round(d, 6) AS d FROM scored WHERE rank <= 4
+        UNION ALL SELECT replica::INT, dst, src, round(d, 6) FROM scored WHERE rank <= 4""",
     "c5_union_replicas": "SELECT src, dst, round(d, 6) AS d FROM cand_r2",
     "c6_candidate_stats": """SELECT sum(leaf_count)::BIGINT AS num_leaves,
         sum(assignment_total)::BIGINT AS partition_assignment_total,
@@ -409,18 +507,18 @@ ORACLE = {
         max(max_membership) AS partition_max_membership, min(min_leaf_size) AS partition_min_leaf_size,
         max(max_leaf_size) AS partition_max_leaf_size, 0::BIGINT AS partition_fallback_chunk_splits,
         (SELECT 2 * count(*) FROM scored WHERE rank <= 12) AS candidate_edges FROM stats""",
-    "c7_leaf_knn_exact": """SELECT leaf_id, src, dst, round(d, 6) AS d FROM (
-        SELECT leaf_id, src, dst, d FROM leafnn WHERE rk <= 6
-        UNION ALL SELECT leaf_id, dst, src, d FROM leafnn WHERE rk <= 6)""",
-    "c8_leaf_knn_capped": f"""SELECT leaf_id, src, dst, round(d, 6) AS d FROM (
-        SELECT *, row_number() OVER (PARTITION BY leaf_id, src ORDER BY d, dst) AS rk FROM (
-          SELECT *, row_number() OVER (PARTITION BY leaf_id, src ORDER BY off) AS seen FROM (
-            SELECT a.leaf_id, a.vec_id AS src, b.vec_id AS dst, p.d,
+    "c7_leaf_knn_exact": """SELECT replica::INT AS replica, leaf_id, src, dst, round(d, 6) AS d FROM (
+        SELECT replica, leaf_id, src, dst, d FROM leafnn WHERE rk <= 6
+        UNION ALL SELECT replica, leaf_id, dst, src, d FROM leafnn WHERE rk <= 6)""",
+    "c8_leaf_knn_capped": f"""SELECT replica::INT AS replica, leaf_id, src, dst, round(d, 6) AS d FROM (
+        SELECT *, row_number() OVER (PARTITION BY replica, leaf_id, src ORDER BY d, dst) AS rk FROM (
+          SELECT *, row_number() OVER (PARTITION BY replica, leaf_id, src ORDER BY off) AS seen FROM (
+            SELECT a.replica, a.leaf_id, a.vec_id AS src, b.vec_id AS dst, p.d,
                    (b.pos - (a.pos * 2654435761 % 4294967296) % a.m + a.m) % a.m AS off
-            FROM numbered a JOIN numbered b ON a.leaf_id = b.leaf_id AND a.vec_id <> b.vec_id
-            JOIN pd p ON p.src = a.vec_id AND p.dst = b.vec_id)) WHERE seen <= {P.SCAN_CAP})
+            FROM numbered a JOIN numbered b ON a.replica = b.replica AND a.leaf_id = b.leaf_id
+              AND a.vec_id <> b.vec_id JOIN pd p ON p.src = a.vec_id AND p.dst = b.vec_id)) WHERE seen <= {P.SCAN_CAP})
         WHERE rk <= 4""",
-    "c9_leaf_knn_blocked": "SELECT leaf_id, src, dst FROM leafnn WHERE rk <= 6",
+    "c9_leaf_knn_blocked": "SELECT replica::INT AS replica, leaf_id, src, dst FROM leafnn WHERE rk <= 6",
     "g1_hash_prune": f"{_RANKED} hash_graph",
     "g2_prune_counters": "SELECT * REPLACE (self_skipped::BIGINT AS self_skipped) FROM counters",
     "g3_prune_totals": "SELECT * FROM totals",
@@ -508,14 +606,13 @@ ORACLE = {
         FROM runs WHERE scale IN ('1', '2', '3', '5', '6')""",
 }
 CTES["leafnn"] = """
-    SELECT a.leaf_id, a.vec_id AS src, b.vec_id AS dst, p.d, row_number() OVER (
-      PARTITION BY a.leaf_id, a.vec_id ORDER BY p.d, b.vec_id) AS rk
-    FROM leaf a JOIN leaf b ON a.leaf_id = b.leaf_id AND a.vec_id <> b.vec_id
-      AND a.replica = 0 AND b.replica = 0
+    SELECT a.replica, a.leaf_id, a.vec_id AS src, b.vec_id AS dst, p.d, row_number() OVER (
+      PARTITION BY a.replica, a.leaf_id, a.vec_id ORDER BY p.d, b.vec_id) AS rk
+    FROM leaf a JOIN leaf b ON a.replica = b.replica AND a.leaf_id = b.leaf_id AND a.vec_id <> b.vec_id
     JOIN pd p ON p.src = a.vec_id AND p.dst = b.vec_id"""
 CTES["numbered"] = """
-    SELECT leaf_id, vec_id, row_number() OVER (PARTITION BY leaf_id ORDER BY vec_id) - 1 AS pos,
-           count(*) OVER (PARTITION BY leaf_id) AS m FROM leaf WHERE replica = 0"""
+    SELECT replica, leaf_id, vec_id, row_number() OVER (PARTITION BY replica, leaf_id ORDER BY vec_id) - 1 AS pos,
+           count(*) OVER (PARTITION BY replica, leaf_id) AS m FROM leaf"""
 CTES["wide"] = """
     SELECT src AS query_id, dst AS vec_id FROM (SELECT src, dst, row_number() OVER (
       PARTITION BY src ORDER BY d, dst) AS rank FROM pd) WHERE rank <= 30"""

@@ -111,8 +111,21 @@ def deep_partition(spark, sf_dir):
     return R.build_partition(points(spark, sf_dir), P.DEEP, 2)
 
 
-def one_replica(spark, sf_dir) -> DataFrame:
-    return partition(spark, sf_dir).leaves.filter("replica = 0")
+def leaves_of(spark, sf_dir) -> DataFrame:
+    return partition(spark, sf_dir).leaves
+
+
+def crowded(spark, sf_dir) -> DataFrame:
+    """The points, every third one moved onto the first: groups that no leaders can split."""
+    first = points(spark, sf_dir).filter("vec_id = 0").select(F.lit(0).alias("at"), F.col("v").alias("a"))
+    moved = points(spark, sf_dir).withColumn("at", F.lit(0)).join(F.broadcast(first), "at")
+    v = F.when(F.col("vec_id") % 3 == 0, F.col("a")).otherwise(F.col("v"))
+    return moved.select("vec_id", v.alias("v"))
+
+
+@stage
+def crowded_partition(spark, sf_dir):
+    return R.build_partition(crowded(spark, sf_dir), P.DEEP, 2)
 
 
 @stage
@@ -440,6 +453,13 @@ def p5_carve_deep(spark, sf_dir):
     return nodes.select("path", "parent", "representative", "is_leaf")
 
 
+@query
+def p5_carve_crowded(spark, sf_dir):
+    """Carving where equal points force runs of ids."""
+    nodes = crowded_partition(spark, sf_dir).nodes
+    return nodes.select("path", "parent", "representative", "is_leaf", "chunked")
+
+
 @query
 def p6_chunk_split(spark, sf_dir):
     rows, _ = _label_groups(spark, sf_dir)
@@ -460,26 +480,38 @@ def p7_leaf_numbers(spark, sf_dir):
     return numbered.select("replica", "leaf_id", "representative")
 
 
+def root_picks(spark, sf_dir, base, nodes, count) -> DataFrame:
+    """The ``count`` nearest children of every root: ``vec_id, path, rank``."""
+    top = nodes.filter("length(path) = 16")
+    reps = top.join(base.withColumnRenamed("vec_id", "representative"), "representative")
+    start = base.withColumn("parent", F.explode(F.array(F.lit("00000000"), F.lit("00000001"))))
+    return R.nearest_children(start, reps, count)
+
+
 @query
 def p8_nearest_children(spark, sf_dir):
-    base = points(spark, sf_dir)
-    nodes = partition(spark, sf_dir).nodes.filter("parent = '00000000'")
-    reps = nodes.join(base.withColumnRenamed("vec_id", "representative"), "representative")
-    picks = R.nearest_children(base.withColumn("parent", F.lit("00000000")), reps, 3)
+    picks = root_picks(spark, sf_dir, points(spark, sf_dir), partition(spark, sf_dir).nodes, 3)
     return picks.select(
-        "vec_id", "rank", F.conv(F.substring("path", 9, 8), 16, 10).cast("bigint").alias("child")
+        R.replica_of().alias("replica"), "vec_id", "rank",
+        F.conv(F.substring("path", 9, 8), 16, 10).cast("bigint").alias("child"),
     )
 
 
+def _routed(spark, sf_dir, base, nodes) -> DataFrame:
+    depth = nodes.agg(F.max(F.length("path")) / 8 - 1).first()[0]
+    routed = R.route_to_leaf(root_picks(spark, sf_dir, base, nodes, 3), base, nodes, int(depth))
+    return routed.select("vec_id", R.replica_of().alias("replica"), "rank", "path")
+
+
 @query
 def p9_route_to_leaf(spark, sf_dir):
-    base = points(spark, sf_dir)
-    nodes = deep_partition(spark, sf_dir).nodes
-    depth = nodes.agg(F.max(F.length("path")) / 8 - 1).first()[0]
-    top = nodes.filter(F.length("path") == 16).select("path", F.col("parent").alias("root"))
-    start = base.join(F.broadcast(top), F.lit(True)).select("path", "vec_id", F.col("path").alias("child"))
-    routed = R.route_to_leaf(start, base, nodes, int(depth))
-    return routed.groupBy("child", "path").agg(F.count(F.lit(1)).alias("points"))
+    """Every point from its three nearest children of the root down to a leaf."""
+    return _routed(spark, sf_dir, points(spark, sf_dir), deep_partition(spark, sf_dir).nodes)
+
+
+@query
+def p9_route_crowded(spark, sf_dir):
+    return _routed(spark, sf_dir, crowded(spark, sf_dir), crowded_partition(spark, sf_dir).nodes)
 
 
 @query
@@ -523,36 +555,41 @@ def p13_build_partition_deep(spark, sf_dir):
     return R.partition_stats(deep_partition(spark, sf_dir))
 
 
+@query
+def p13_build_partition_crowded(spark, sf_dir):
+    return R.partition_stats(crowded_partition(spark, sf_dir))
+
+
 # --- candidates --------------------------------------------------------------
 
 
 @query
 def c1_shortlist(spark, sf_dir):
-    return C.shortlist_rows(C.shortlist(one_replica(spark, sf_dir))).select("src", "rank", "dst")
+    return C.shortlist_rows(C.shortlist(leaves_of(spark, sf_dir))).select("replica", "src", "rank", "dst")
 
 
 @query
 def c2_cap_shortlist(spark, sf_dir):
-    return C.shortlist_rows(C.shortlist(one_replica(spark, sf_dir), 128)).select("src", "rank", "dst")
+    return C.shortlist_rows(C.shortlist(leaves_of(spark, sf_dir), 128)).select("replica", "src", "rank", "dst")
 
 
 @query
 def c3_score_shortlist(spark, sf_dir):
-    scored = C.score_shortlist(points(spark, sf_dir), one_replica(spark, sf_dir), 12, 128)
-    return scored.select("src", "dst", "rank", *six("d"))
+    scored = C.score_shortlist(points(spark, sf_dir), leaves_of(spark, sf_dir), 12, 128)
+    return scored.select("replica", "src", "dst", "rank", *six("d"))
 
 
 @query
 def c3_score_uncapped_ip(spark, sf_dir):
-    scored = C.score_shortlist(points(spark, sf_dir), one_replica(spark, sf_dir), 12, 0, "ip")
-    return scored.select("src", "dst", "rank", *six("d"))
+    scored = C.score_shortlist(points(spark, sf_dir), leaves_of(spark, sf_dir), 12, 0, "ip")
+    return scored.select("replica", "src", "dst", "rank", *six("d"))
 
 
 @query
 def c4_bidirect(spark, sf_dir):
-    scored = C.score_shortlist(points(spark, sf_dir), one_replica(spark, sf_dir), 4, 128)
-    both = C.bidirect(scored.select("src", "dst", "d"))
-    return both.select("src", "dst", *six("d"))
+    scored = C.score_shortlist(points(spark, sf_dir), leaves_of(spark, sf_dir), 4, 128)
+    both = C.bidirect(scored.select("replica", "src", "dst", "d"))
+    return both.select("replica", "src", "dst", *six("d"))
 
 
 @query
@@ -568,20 +605,20 @@ def c6_candidate_stats(spark, sf_dir):
 
 @query
 def c7_leaf_knn_exact(spark, sf_dir):
-    edges = L.leaf_knn_exact(points(spark, sf_dir), one_replica(spark, sf_dir), 6, bidirected=True)
-    return edges.select("leaf_id", "src", "dst", *six("d"))
+    edges = L.leaf_knn_exact(points(spark, sf_dir), leaves_of(spark, sf_dir), 6, bidirected=True)
+    return edges.select("replica", "leaf_id", "src", "dst", *six("d"))
 
 
 @query
 def c8_leaf_knn_capped(spark, sf_dir):
-    edges = L.leaf_knn_capped(points(spark, sf_dir), one_replica(spark, sf_dir), 4, P.SCAN_CAP)
-    return edges.select("leaf_id", "src", "dst", *six("d"))
+    edges = L.leaf_knn_capped(points(spark, sf_dir), leaves_of(spark, sf_dir), 4, P.SCAN_CAP)
+    return edges.select("replica", "leaf_id", "src", "dst", *six("d"))
 
 
 @query
 def c9_leaf_knn_blocked(spark, sf_dir):
-    edges = L.leaf_knn_blocked(points(spark, sf_dir), one_replica(spark, sf_dir), 6)
-    return edges.select("leaf_id", "src", "dst")
+    edges = L.leaf_knn_blocked(points(spark, sf_dir), leaves_of(spark, sf_dir), 6)
+    return edges.select("replica", "leaf_id", "src", "dst")
 
 
 # --- graphs ------------------------------------------------------------------

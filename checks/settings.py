@@ -1,7 +1,7 @@
 """Parameters shared by the registered queries and their SQL.
 
 They keep the carving at one level on the test tables, where the partition can
-be written as plain SQL; ``DEEP`` recurses and is checked by its invariants.
+be written as plain SQL; ``DEEP`` recurses, and its SQL is unrolled by level.
 """
 
 from nearfield.params import BuildParams, CarveParams, PruneParams, SearchParams
