@@ -873,7 +873,8 @@ def e10_reconcile_runs(spark, sf_dir):
 SHUFFLED = (
     "k1_exact_topk_l2", "k1_exact_topk_ip", "k2_exact_knn_graph", "k3_ground_truth",
     "p3_assign_to_leaders", "p4_bucket_split", "c2_cap_shortlist", "c3_score_shortlist",
-    "c5_union_replicas", "q1_beam_search_short", "q3_approx_baseline",
+    "c5_union_replicas", "c8_leaf_knn_capped", "g4_refine_degree", "q1_beam_search_short",
+    "q3_approx_baseline",
 )
 for _name in SHUFFLED:
     shuffled(_name)

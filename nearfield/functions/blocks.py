@@ -7,6 +7,8 @@ import pyarrow as pa
 
 _TILE_CELLS = 2_000_000
 _PAIR_VALUES = 8_000_000
+#: Where fewer than one pair in so many is listed, pairs are scored one by one.
+_SPARSE = 8
 
 
 def column(data, name):
@@ -67,6 +69,8 @@ def nearest(left, left_ids, right, right_ids, k, metric, exclude_self=False, lis
         raise ValueError("a vector is too long for a finite score")
     order = np.argsort(right_ids, kind="stable")
     sorted_ids = right_ids[order]
+    if listed is not None and len(listed[1]) * _SPARSE < len(left) * len(right):
+        return _nearest_listed(left, left_ids, right, right_ids, k, metric, exclude_self, listed, order, sorted_ids)
     found = []
     tile = max(1, _TILE_CELLS // len(right))
     for start in range(0, len(left), tile):
@@ -101,3 +105,23 @@ def nearest(left, left_ids, right, right_ids, k, metric, exclude_self=False, lis
         top = (np.arange(len(r)) - first_of_row[r]) < k
         found.append((r[top] + start, c[top], exact[top]))
     return tuple(np.concatenate(parts) for parts in zip(*found))
+
+
+def _nearest_listed(left, left_ids, right, right_ids, k, metric, exclude_self, listed, order, sorted_ids):
+    offsets, wanted = listed
+    r = np.repeat(np.arange(len(left)), np.diff(offsets[: len(left) + 1]))
+    wanted = wanted[offsets[0] : offsets[len(left)]]
+    at = np.minimum(np.searchsorted(sorted_ids, wanted), len(sorted_ids) - 1)
+    hit = sorted_ids[at] == wanted
+    r, c = r[hit], order[at[hit]]
+    # A repeated id counts once.
+    pairs = np.unique(r * len(right) + c)
+    r, c = pairs // len(right), pairs % len(right)
+    if exclude_self:
+        other = left_ids[r] != right_ids[c]
+        r, c = r[other], c[other]
+    exact = pair_scores(left, right, r, c, metric)
+    by = np.lexsort((right_ids[c], exact, r))
+    r, c, exact = r[by], c[by], exact[by]
+    top = (np.arange(len(r)) - np.searchsorted(r, r)) < k
+    return r[top], c[top], exact[top]

@@ -104,6 +104,7 @@ def score_shortlist(
         listed="ids" if most > 0 else None,
         keep=("replica",),
         base_bytes=rows * dim * 8,
+        dim=dim,
     )
     # A pair met in two leaves has the same score twice and shares its dense rank.
     order = W.partitionBy("replica", "query_id").orderBy("d", "vec_id")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from nearfield.functions import blocks
 from nearfield.params import check_metric
-from nearfield.runtime import BLOCK_ROWS, BROADCAST_BYTES, materialize, setting
+from nearfield.runtime import BROADCAST_BYTES, block_rows, materialize, setting
 
 GROUP = "_group"
 SLICES = 64
@@ -59,6 +59,7 @@ def topk_join(
     carry: str | None = None,
     broadcast_bytes: int | None = None,
     base_bytes: int | None = None,
+    dim: int | None = None,
 ) -> DataFrame:
     """The ``k`` nearest ``base`` rows of every query row, by (score, id).
 
@@ -72,9 +73,10 @@ def topk_join(
 
     A side whose vectors were counted to fit in ``broadcastBytes`` is sent to
     all tasks and the other side is streamed with no shuffle. Otherwise both
-    sides are cut into blocks of about ``blockRows`` rows per group, so that a
-    hot group becomes many block pairs, and the blocks' top-k are merged.
-    ``base_bytes`` passes on a size that the caller has already counted.
+    sides are cut into blocks of about ``blockBytes`` per group, so that a
+    hot group becomes a grid of block pairs, and the blocks' top-k are merged.
+    ``base_bytes`` passes on a size that the caller has already counted, and
+    ``dim`` the dimension.
     """
     check_metric(metric)
     spark = queries.sparkSession
@@ -97,7 +99,8 @@ def topk_join(
 
     limit = setting(spark, BROADCAST_BYTES) if broadcast_bytes is None else broadcast_bytes
     if base_bytes is None:
-        _, base_bytes = footprint(base)
+        rows, base_bytes = footprint(base)
+        dim = base_bytes // (8 * rows) if rows else 0
     if base_bytes <= limit:
         small = spark.sparkContext.broadcast(base.toArrow())
         ranked = queries.mapInArrow(task.stream_queries(small), schema)
@@ -107,7 +110,9 @@ def topk_join(
             small = spark.sparkContext.broadcast(queries.toArrow())
             ranked = _merged(base.mapInArrow(task.stream_base(small), schema), g, k)
         else:
-            ranked = _blocked(queries, base, g, task, schema)
+            if dim is None:
+                dim = base.agg(F.max(F.size("v"))).first()[0] or 0
+            ranked = _blocked(queries, base, g, task, schema, block_rows(spark, dim))
     return ranked if group else ranked.drop(GROUP)
 
 
@@ -116,13 +121,13 @@ def _merged(parts: DataFrame, g: str, k: int) -> DataFrame:
     return top_per(parts, [g, "query_id"], ["d", "vec_id"], k)
 
 
-def _blocked(queries, base, g, task, schema) -> DataFrame:
+def _blocked(queries, base, g, task, schema, rows: int) -> DataFrame:
     """Both sides cut into bounded blocks per group; every block pair is one task group.
 
-    Only groups above ``blockRows`` are cut, so the table of cuts has at most
-    one row per ``blockRows`` input rows and is usually empty.
+    Only groups above ``rows`` are cut, so the table of cuts has at most
+    one row per ``rows`` input rows and is usually empty. Blocks of both sides
+    have the same size, which makes the fewest copies for a grid of its memory.
     """
-    rows = setting(queries.sparkSession, BLOCK_ROWS)
 
     def cuts(df, name):
         count = df.groupBy(g).agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(name))

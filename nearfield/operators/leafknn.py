@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from nearfield.functions.vectors import metric_score
 from nearfield.operators.candidates import bidirect, leaf_key
-from nearfield.operators.knn import top_per, topk_join
+from nearfield.operators.knn import topk_join
 from nearfield.runtime import positions
 
 EDGE = ["replica", "leaf_id", "src", "dst", "d"]
@@ -73,10 +72,14 @@ def leaf_knn_capped(
     )
     targets = at.select("replica", "leaf_id", "pos", F.col("vec_id").alias("dst"))
     pairs = scans.join(targets, ["replica", "leaf_id", "pos"]).filter(F.col("src") != F.col("dst"))
-    left = points.select(F.col("vec_id").alias("src"), F.col("v").alias("_a"))
-    right = points.select(F.col("vec_id").alias("dst"), F.col("v").alias("_b"))
-    scored = (
-        pairs.join(left, "src").join(right, "dst").withColumn("d", metric_score("_a", "_b"))
+    # A point's scan is a list of at most ``scan_cap`` ids, and is scored in its leaf: a vector
+    # moves once per membership, not once per pair.
+    lists = pairs.groupBy("replica", "leaf_id", "src").agg(F.collect_list("dst").alias("ids"))
+    members = leaves.join(points, "vec_id").withColumn("leaf", leaf_key())
+    scans = members.join(lists.withColumnRenamed("src", "vec_id"), ["replica", "leaf_id", "vec_id"])
+    found = topk_join(
+        scans.withColumnRenamed("vec_id", "query_id"), members, k, group="leaf", exclude_self=True,
+        listed="ids", keep=("replica", "leaf_id"),
     )
-    edges = top_per(scored, ["replica", "leaf_id", "src"], ["d", "dst"], k).select(*EDGE)
+    edges = found.withColumnsRenamed({"query_id": "src", "vec_id": "dst"}).select(*EDGE)
     return bidirect(edges) if bidirected else edges

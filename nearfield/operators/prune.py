@@ -6,27 +6,91 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from nearfield.functions import blocks
-from nearfield.functions.vectors import hyperplanes, metric_score, residual_hash, valid_edges
-from nearfield.operators.knn import top_per
+from nearfield.functions.vectors import hyperplanes, residual_hash, valid_edges
+from nearfield.operators.knn import footprint, top_per
 from nearfield.params import PruneParams
-from nearfield.runtime import materialize
+from nearfield.runtime import BROADCAST_BYTES, block_rows, materialize, setting
 
 COUNTERS = ["self_skipped", "kept", "replaced", "evicted", "dropped", "final_degree"]
 
 
 def score_edges(edges: DataFrame, points: DataFrame, metric: str = "l2") -> DataFrame:
-    """Add the score ``d`` of every edge."""
-    left = points.select(F.col("vec_id").alias("src"), F.col("v").alias("_a"))
-    right = points.select(F.col("vec_id").alias("dst"), F.col("v").alias("_b"))
-    return (
-        edges.join(left, "src")
-        .join(right, "dst")
-        .withColumn("d", metric_score("_a", "_b", metric))
-        .drop("_a", "_b")
-    )
+    """Add the score ``d`` of every edge; edges at ids without a vector are dropped.
+
+    Points that are counted to fit the broadcast limit are sent to all tasks
+    and the edges are scored where they lie. Beyond that every point belongs
+    to a block; a source sends its vector and the list of its targets once to each block
+    that owns some of them. A block meets its sources in parts of about its own
+    size, so a vector is copied at most as often as there are blocks, or edges at it, whichever is fewer.
+    """
+    spark = edges.sparkSession
+    n, size = footprint(points)
+    if size <= setting(spark, BROADCAST_BYTES):
+        return _scored_in_place(edges, points, metric)
+    rows = block_rows(spark, size // (8 * n))
+    owners = -(-n // rows)
+    owner = lambda name: F.pmod(F.xxhash64(name), F.lit(owners)).cast("int")
+    # A list holds at most about ``rows`` targets: longer ones are cut by their targets' hash.
+    pairs = edges.select("src", "dst").distinct().withColumn("owner", owner("dst"))
+    hot = pairs.groupBy("src", "owner").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("_cuts"))
+    hot = materialize(hot.filter("_cuts > 1"), "long-lists")
+    cut = F.lit(0)
+    if not hot.isEmpty():
+        pairs = pairs.join(hot, ["src", "owner"], "left")
+        cut = F.pmod(F.xxhash64(F.col("dst"), F.lit(1)), F.coalesce("_cuts", F.lit(1))).cast("int")
+    lists = pairs.withColumn("_cut", cut).groupBy("src", "owner", "_cut").agg(F.collect_list("dst").alias("ids"))
+    lists = materialize(lists, "target-lists")
+    per_owner = lists.groupBy("owner").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("_parts"))
+    # One row per block.
+    parts = F.broadcast(materialize(per_owner, "block-parts"))
+    asking = lists.join(points.withColumnRenamed("vec_id", "src"), "src").join(parts, "owner")
+    asking = asking.withColumn("part", F.pmod(F.xxhash64("src", "_cut"), F.col("_parts")).cast("int"))
+    # Fresh columns, since both sides come from the same table.
+    owned = points.select(F.col("vec_id").alias("vec_id"), F.col("v").alias("v"))
+    owned = owned.withColumn("owner", owner("vec_id")).join(parts, "owner")
+    owned = owned.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids = blocks.numbers(right, "vec_id")
+        lists = blocks.column(left, "ids")
+        sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+        wanted = lists.flatten().to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        order = np.argsort(ids, kind="stable")
+        at = np.searchsorted(ids[order], wanted)
+        known = at < len(ids)
+        known[known] = ids[order][at[known]] == wanted[known]
+        row, at = row[known], order[at[known]]
+        # ``pair_scores`` takes the first side's rows by position; scores are of (source, target).
+        d = blocks.pair_scores(blocks.matrix(left, "v"), blocks.matrix(right, "v"), row, at, metric) if len(row) else np.zeros(0)
+        return pa.table([blocks.column(left, "src").take(pa.array(row)), pa.array(ids[at]), pa.array(d)], names=["src", "dst", "d"])
+
+    left = asking.select("owner", "part", "src", "ids", "v").groupBy("owner", "part")
+    right = owned.select("owner", "part", "vec_id", "v").groupBy("owner", "part")
+    scored = left.cogroup(right).applyInArrow(score, "src bigint, dst bigint, d double")
+    return edges.join(scored, ["src", "dst"])
+
+
+def _scored_in_place(edges: DataFrame, points: DataFrame, metric: str) -> DataFrame:
+    shared = edges.sparkSession.sparkContext.broadcast(points.select("vec_id", "v").toArrow())
+    schema = T.StructType([*edges.schema.fields, T.StructField("d", T.DoubleType())])
+
+    def run(batches):
+        ids = blocks.numbers(shared.value, "vec_id")
+        order = np.argsort(ids, kind="stable")
+        ids, base = ids[order], blocks.matrix(shared.value, "v")[order]
+        for batch in batches:
+            ends = [blocks.numbers(batch, n) for n in ("src", "dst")]
+            at = [np.minimum(np.searchsorted(ids, e), max(0, len(ids) - 1)) for e in ends]
+            known = np.flatnonzero((ids[at[0]] == ends[0]) & (ids[at[1]] == ends[1])) if len(ids) else np.zeros(0, np.int64)
+            d = blocks.pair_scores(base, base, at[0][known], at[1][known], metric) if len(known) else np.zeros(0)
+            kept = batch.take(pa.array(known))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(d)], names=[*kept.schema.names, "d"])
+
+    return edges.mapInArrow(run, schema)
 
 
 def project(points: DataFrame, planes: list[list[float]]) -> DataFrame:

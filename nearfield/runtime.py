@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 # Session settings of this library, with their defaults.
 BROADCAST_BYTES = ("spark.nearfield.broadcastBytes", 32 * 1024 * 1024)
-BLOCK_ROWS = ("spark.nearfield.blockRows", 4096)
+BLOCK_BYTES = ("spark.nearfield.blockBytes", 32 * 1024 * 1024)
+#: Overrides ``blockBytes`` where it is set to a positive number.
+BLOCK_ROWS = ("spark.nearfield.blockRows", 0)
 SLICE_ROWS = ("spark.nearfield.sliceRows", 1_000_000)
 
 
@@ -20,6 +22,17 @@ def setting(spark: SparkSession, entry: tuple[str, int]) -> int:
     return int(spark.conf.get(name, str(default)))
 
 
+def block_rows(spark: SparkSession, dim: int) -> int:
+    """Rows of vectors with ``dim`` doubles that make a block.
+
+    A table of n rows is cut into n / block_rows blocks and each of its rows is
+    copied once per block of the other side: a million rows of 64 dimensions
+    against a million are 16 blocks a side, so 16 copies of every row.
+    """
+    rows = setting(spark, BLOCK_ROWS)
+    return rows if rows > 0 else max(1024, setting(spark, BLOCK_BYTES) // (8 * max(1, dim)))
+
+
 def session(app: str = "nearfield", master: str | None = None, **conf) -> SparkSession:
     """A session with the adaptive settings the plans count on, and this package on its executors."""
     builder = SparkSession.builder.appName(app)

@@ -120,3 +120,20 @@ def test_equal_vectors_have_equal_projections_in_any_batch(spark):
     edges = edges_of(spark, 0, [i for i in range(7, 200, 7)])
     codes = H.hash_edges(edges, points, params, H.plane_set(points, params)).collect()
     assert len(codes) == 28 and {r["hash"] for r in codes} == {2**12 - 1}
+
+
+@pytest.mark.parametrize("metric", ["l2", "ip"])
+def test_scores_of_edges(spark, paths, metric):
+    """Edges with repeats, one source with very many targets, self edges and ids without a vector."""
+    rng = np.random.default_rng(6)
+    vectors = rng.normal(size=(90, 3))
+    points = frame(spark, vectors)
+    edges = [(int(a), int(b), int(a + b)) for a, b in rng.integers(0, 90, (300, 2))]
+    edges += [(7, i, 1) for i in range(90)] + [(3, 400, 0), (400, 3, 0), edges[0]]
+    scored = H.score_edges(spark.createDataFrame(edges, "src bigint, dst bigint, tag int"), points, metric).collect()
+    want = sorted(e for e in edges if max(e[:2]) < 90)
+    assert sorted((r["src"], r["dst"], r["tag"]) for r in scored) == want
+    for r in scored:
+        a, b = vectors[r["src"]].astype(np.float32), vectors[r["dst"]].astype(np.float32)
+        a, b = a.astype(float), b.astype(float)
+        assert abs(r["d"] - (((a - b) ** 2).sum() if metric == "l2" else -(a * b).sum())) < 1e-5
