@@ -264,22 +264,43 @@ CTES["cell_rank"] = """
 CTES["cells"] = "SELECT query_id AS vec_id, cell FROM cell_rank WHERE rn = 1"
 CTES["cell_sample"] = f"""
     SELECT vec_id FROM emb ORDER BY md5(concat('probe:', vec_id)), vec_id LIMIT {P.CELL_SAMPLE}"""
-CTES["cell_need"] = """
-    SELECT r.rn AS rank, count(*) AS n FROM truth t JOIN cell_sample s ON s.vec_id = t.query_id
+CTES["cell_scale"] = "SELECT max(abs(x)) AS s FROM (SELECT unnest(v) AS x FROM emb)"
+CTES["cell_codes"] = """
+    SELECT vec_id, list_transform(v, lambda x: floor(x / s * 127 + 0.5::DOUBLE)::DOUBLE) AS c,
+           list_transform(v, lambda x: x / s * 127) AS q
+    FROM emb, (SELECT s FROM cell_scale)"""
+CTES["code_rank"] = f"""
+    SELECT a.vec_id AS query_id, b.vec_id, row_number() OVER (
+      PARTITION BY a.vec_id ORDER BY {_l2('a.q', 'b.c')}, b.vec_id) AS rn
+    FROM cell_codes a JOIN cell_codes b ON true"""
+CTES["cell_need"] = f"""
+    SELECT r.rn AS rank, ceil(o.rn / {K}.0::DOUBLE) AS need
+    FROM truth t JOIN cell_sample s ON s.vec_id = t.query_id
     JOIN cells c ON c.vec_id = t.vec_id
-    JOIN cell_rank r ON r.query_id = t.query_id AND r.cell = c.cell GROUP BY r.rn"""
+    JOIN code_rank o ON o.query_id = t.query_id AND o.vec_id = t.vec_id
+    JOIN cell_rank r ON r.query_id = t.query_id AND r.cell = c.cell"""
+CTES["cell_factor"] = f"""
+    SELECT coalesce(min(f), {P.CELL_FACTORS[-1]}) AS f FROM (SELECT unnest({list(P.CELL_FACTORS)}) AS f)
+    WHERE (SELECT count(*) FROM cell_need WHERE need <= f) >= 0.99::DOUBLE * (SELECT count(*) FROM cell_need)"""
 CTES["cell_probes"] = f"""
     SELECT rank AS probes, met / total AS recall FROM (
-      SELECT rank, sum(n) OVER (ORDER BY rank)::DOUBLE AS met, sum(n) OVER ()::DOUBLE AS total FROM cell_need)
+      SELECT rank, sum(n) OVER (ORDER BY rank)::DOUBLE AS met FROM (
+        SELECT rank, count(*) AS n FROM cell_need WHERE need <= (SELECT f FROM cell_factor) GROUP BY rank)),
+      (SELECT count(*)::DOUBLE AS total FROM cell_need)
     WHERE met >= {P.CELL_RECALL}::DOUBLE * total ORDER BY rank LIMIT 1"""
 CTES["probed"] = """
     SELECT query_id, cell FROM cell_rank WHERE rn <= (SELECT probes FROM cell_probes)"""
+CTES["cell_short"] = f"""
+    SELECT query_id, vec_id FROM (
+      SELECT q.query_id, c.vec_id, row_number() OVER (PARTITION BY q.query_id ORDER BY o.rn) AS k
+      FROM probed q JOIN cells c ON c.cell = q.cell
+      JOIN code_rank o ON o.query_id = q.query_id AND o.vec_id = c.vec_id)
+    WHERE k <= {K} * (SELECT f FROM cell_factor)"""
 CTES["cell_found"] = f"""
     SELECT query_id, vec_id, d, rank FROM (
-      SELECT q.query_id, c.vec_id, p.d, row_number() OVER (
-        PARTITION BY q.query_id ORDER BY p.d, c.vec_id) AS rank
-      FROM probed q JOIN cells c ON c.cell = q.cell
-      JOIN pd p ON p.src = q.query_id AND p.dst = c.vec_id) WHERE rank <= {K}"""
+      SELECT q.query_id, q.vec_id, p.d, row_number() OVER (
+        PARTITION BY q.query_id ORDER BY p.d, q.vec_id) AS rank
+      FROM cell_short q JOIN pd p ON p.src = q.query_id AND p.dst = q.vec_id) WHERE rank <= {K}"""
 
 LEVELS = 8  # deep carvings of the test tables end before
 
@@ -539,6 +560,8 @@ ORACLE = {
         FROM found_refined""",
     "q3_approx_baseline": "SELECT query_id, rank, vec_id, round(d, 6) AS d FROM cell_found",
     "q3_cell_index": f"""SELECT (SELECT count(*) FROM cell_centres) AS cells, probes,
+        (SELECT {K} * f FROM cell_factor)::BIGINT AS shortlist,
+        (SELECT {K} * f FROM cell_factor) / (SELECT count(*) FROM emb) AS compared,
         (SELECT count(*) FROM emb) AS points, round(recall, 6) AS recall, round((
           SELECT avg(n) FROM (SELECT q.query_id, count(*) AS n FROM probed q
             JOIN cell_sample s ON s.vec_id = q.query_id JOIN cells c ON c.cell = q.cell GROUP BY q.query_id))

@@ -731,7 +731,9 @@ def q3_cell_index(spark, sf_dir):
     index = open_cell_index(spark, path)
     recall = E.recall_at_k(truth(spark, sf_dir), probe_cells(index, asked, P.K), P.K)
     rows = index.about.join(F.broadcast(recall.select(F.col("recall").alias("recall_of_all"))), F.lit(True))
-    return rows.select("cells", "probes", "points", *six("recall", "read", "recall_of_all"))
+    return rows.select(
+        "cells", "probes", "shortlist", "points", *six("recall", "read", "compared", "recall_of_all")
+    )
 
 
 @query

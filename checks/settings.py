@@ -17,7 +17,7 @@ REPLICATED = BuildParams(carve=CARVE, prune=PRUNE, replicas=2, leaf_k=12)
 SEARCH = SearchParams(beam=48, topk=K, entry=0)
 SHORT_SEARCH = SearchParams(beam=6, topk=K, entry=0)
 SCAN_CAP = 20
-CELL_SEED, CELL_RECALL, CELL_SAMPLE = 17, 0.92, 256
+CELL_SEED, CELL_RECALL, CELL_SAMPLE, CELL_FACTORS = 17, 0.92, 256, (1, 2, 4, 8, 16, 32)
 ROW_LIMIT = 100
 SYNTHETIC_SEED = 42
 #: A second partition setting of one level, with other sizes and without overlap.

@@ -1,8 +1,11 @@
 """An approximate index to compare the graphs with: points stored by cell, probed where it is nearest.
 
 The index is a folder of three tables: ``centres``, ``members`` partitioned by
-cell, and ``about`` with one row that says how many cells a query must
-probe and what share of true neighbours that finds, measured when it was built.
+cell, and ``about`` with one row that says how many cells a query must probe,
+how many points it must compare there, and what share of true neighbours that
+finds, measured when it was built. A member has a code of one byte per
+component beside its vector: codes rank the points of the probed cells, and
+only a query's best by code are compared as vectors.
 """
 
 from __future__ import annotations
@@ -13,30 +16,50 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from nearfield.operators.carve import assign_to_leaders, digits, leaders_of_level
-from nearfield.operators.knn import footprint, top_per, topk_join
+from nearfield.operators.knn import top_per, topk_join
+from nearfield.operators.prune import score_edges
 from nearfield.params import CarveParams
 from nearfield.runtime import materialize, table_path
 
 #: Queries that are compared with brute force to set the number of probes.
 SAMPLE = 256
-_ABOUT = "cells bigint, probes bigint, recall double, read double, points bigint, metric string"
-_VECTOR = "vec_id bigint, v array<{}>"
+#: Steps of a code on each side of zero.
+STEPS = 127
+#: A shortlist is ``k`` times one of these: the first that holds the share ``KEPT`` of true neighbours.
+FACTORS, KEPT = (1, 2, 4, 8, 16, 32), 0.99
+_ABOUT = (
+    "cells bigint, probes bigint, shortlist bigint, recall double, read double, compared double, "
+    "points bigint, scale double, metric string"
+)
+_VECTOR = "vec_id bigint, code array<tinyint>, v array<{}>"
 
 
 @dataclass
 class CellIndex:
-    """A stored index: ``recall`` is what ``probes`` cells found of the sample's true
-    neighbours, ``read`` the share of the points in those cells; both null
-    where the probes were given."""
+    """A stored index. In ``about``, ``recall`` is what was found of the sample's true
+    neighbours, ``read`` the share of all points whose codes lie in the probed cells, ``compared``
+    the share compared as vectors; recall and read are null where the probes were given."""
 
     path: str
     about: DataFrame
     centres: DataFrame
     members: DataFrame
     probes: int
+    shortlist: int
+    scale: float
     metric: str
 
 
+def code_of(v, scale: float):
+    """The components of a vector as whole steps of ``scale / STEPS``."""
+    return F.transform(v, lambda x: F.floor(x.cast("double") / F.lit(scale) * STEPS + F.lit(0.5)).cast("tinyint"))
+
+
+def in_steps(queries: DataFrame, scale: float) -> DataFrame:
+    """Queries in the unit of the codes, so that both rank as the vectors would."""
+    return queries.withColumn("v", F.transform("v", lambda x: x.cast("double") / F.lit(scale) * STEPS))
+
+
 def probe_sample(queries: DataFrame) -> DataFrame:
     """At most ``SAMPLE`` queries, in the order of a hash of their ids."""
     order = F.md5(F.concat(F.lit("probe:"), F.col("query_id").cast("string")))
@@ -57,9 +80,10 @@ def build_cell_index(
     """Store ``base`` by its nearest of ``cells`` hash-sampled points.
 
     Without ``cells`` there are as many as the square root of the row count.
-    Without ``probes`` they are the fewest that find the share ``recall`` of the
-    ``k`` nearest neighbours of a sample of ``queries``, compared with brute
-    force once: the rank of every true neighbour's cell tells all at a time.
+    The shortlist is the least that holds nearly all of the ``k`` nearest
+    neighbours of a sample of ``queries`` by code. Without ``probes`` they are
+    the fewest that find the share ``recall`` of them, compared with brute force
+    once: the rank of every true neighbour's code and cell tells all at a time.
     """
     spark = base.sparkSession
     path = path or table_path(spark, "cell-index")
@@ -74,35 +98,48 @@ def build_cell_index(
     assigned = assign_to_leaders(members, centres.withColumns({"path": root, "child": F.lit(0).cast("bigint")}), metric, size)
     owned = assigned.select("vec_id", F.col("leader").alias("cell"))
     # A file per cell and some more for hot ones, not one per cell and task.
-    stored = owned.join(base, "vec_id").select("cell", "vec_id", "v")
+    largest = base.agg(F.max(F.array_max(F.transform("v", lambda x: F.abs(x.cast("double")))))).first()[0]
+    scale = float(largest or 1.0)
+    stored = owned.join(base, "vec_id").select("cell", "vec_id", code_of("v", scale).alias("code"), "v")
     stored.repartition("cell").write.partitionBy("cell").option("maxRecordsPerFile", 1_000_000).parquet(f"{path}/members")
     centres.write.parquet(f"{path}/centres")
     schema = f"cell bigint, {_schema_of(base)}"
     stored = spark.read.schema(schema).parquet(f"{path}/members")
 
+    sample = materialize(probe_sample(queries), "probe-sample")
+    truth = topk_join(sample, base, k, metric).select("query_id", "vec_id")
+    codes = stored.select("vec_id", F.col("code").alias("v"))
+    by_code = topk_join(in_steps(sample, scale), codes, k * FACTORS[-1], metric)
+    ranks = topk_join(sample, centres, cells, metric, base_bytes=size).select(
+        "query_id", F.col("vec_id").alias("cell"), F.col("rank").alias("cell_rank")
+    )
+    met = truth.join(by_code.select("query_id", "vec_id", F.col("rank").alias("code_rank")), ["query_id", "vec_id"], "left")
+    met = met.join(stored.select("vec_id", "cell"), "vec_id").join(ranks, ["query_id", "cell"])
+    # The smallest factor per neighbour; at most a row per cell and factor comes to the driver.
+    needed = F.ceil(F.col("code_rank") / k)
+    factor = F.coalesce(*[F.when(needed <= f, F.lit(f)) for f in FACTORS], F.lit(0))
+    counts = met.groupBy("cell_rank", factor.alias("factor")).agg(F.count(F.lit(1)).alias("n")).orderBy("cell_rank").collect()
+    total = sum(r["n"] for r in counts)
+    held = lambda f: sum(r["n"] for r in counts if 0 < r["factor"] <= f)
+    chosen = next((f for f in FACTORS if held(f) >= KEPT * total), FACTORS[-1])
     found = read = None
     if probes is None:
-        sample = materialize(probe_sample(queries), "probe-sample")
-        truth = topk_join(sample, base, k, metric).select("query_id", "vec_id")
-        ranks = topk_join(sample, centres, cells, metric, base_bytes=size).select(
-            "query_id", F.col("vec_id").alias("cell"), "rank"
-        )
-        needed = truth.join(stored.select("vec_id", "cell"), "vec_id").join(ranks, ["query_id", "cell"])
-        # One row per rank, at most one per cell.
-        counts = needed.groupBy("rank").agg(F.count(F.lit(1)).alias("n")).orderBy("rank").collect()
-        total, met, probes = sum(r["n"] for r in counts), 0, 1
+        sums, probes = 0, 1
         for row in counts:
-            probes, met = row["rank"], met + row["n"]
-            if met >= recall * total:
-                break
-        found = met / total if total else 1.0
+            if 0 < row["factor"] <= chosen:
+                if sums >= recall * total and row["cell_rank"] > probes:
+                    break
+                probes, sums = row["cell_rank"], sums + row["n"]
+        found = sums / total if total else 1.0
         sizes = stored.groupBy("cell").agg(F.count(F.lit(1)).alias("_size"))
-        probed = ranks.filter(F.col("rank") <= probes).join(sizes, "cell", "left")
+        probed = ranks.filter(F.col("cell_rank") <= probes).join(sizes, "cell", "left")
         share = probed.groupBy("query_id").agg(F.sum("_size").alias("_read")).agg(F.avg("_read")).first()[0]
         read = float(share or 0) / max(1, n)
-    about = spark.createDataFrame([(cells, probes, found, read, n, metric)], _ABOUT)
+    compared = min(1.0, chosen * k / max(1, n))
+    row = (cells, probes, chosen * k, found, read, compared, n, scale, metric)
+    about = spark.createDataFrame([row], _ABOUT)
     about.write.parquet(f"{path}/about")
-    return CellIndex(path, about, centres, stored, probes, metric)
+    return CellIndex(path, about, centres, stored, probes, chosen * k, scale, metric)
 
 
 def _schema_of(base: DataFrame) -> str:
@@ -116,26 +153,33 @@ def open_cell_index(spark: SparkSession, path: str) -> CellIndex:
     centres = spark.read.parquet(f"{path}/centres")
     members = spark.read.schema(f"cell bigint, {_schema_of(centres)}").parquet(f"{path}/members")
     row = about.first()
-    return CellIndex(path, about, centres, members, row["probes"], row["metric"])
+    return CellIndex(
+        path, about, centres, members, row["probes"], row["shortlist"], row["scale"], row["metric"]
+    )
 
 
 def probe_cells(index: CellIndex, queries: DataFrame, k: int, probes: int | None = None) -> DataFrame:
     """Top-k of every query among the points of its nearest cells: ``query_id, rank, vec_id, d``.
 
-    Cells that no query probes are not read. A hot cell is cut into blocks by the top-k join.
+    The first pass reads ids and codes alone, of cells that some query probes, and keeps
+    ``shortlist`` points per query; the second scores those by their vectors. A hot
+    cell is cut into blocks by the top-k join.
     """
-    probes = index.probes if probes is None else probes
+    probes, keep = index.probes if probes is None else probes, max(k, index.shortlist)
     nearest = topk_join(queries, index.centres, probes, index.metric)
     probed = nearest.select("query_id", F.col("vec_id").alias("cell"))
-    wanted = probed.select("cell").distinct()
-    rows, size = footprint(index.members)
-    members = index.members.join(wanted, "cell", "left_semi")
-    found = topk_join(
-        probed.join(queries, "query_id"), members, k, index.metric, group="cell", base_bytes=size
-    )
-    return top_per(found.drop("rank"), ["query_id"], ["d", "vec_id"], k).select(
-        "query_id", "rank", "vec_id", "d"
+    codes = index.members.select("cell", "vec_id", F.col("code").alias("v"))
+    codes = codes.join(probed.select("cell").distinct(), "cell", "left_semi")
+    asked = probed.join(in_steps(queries, index.scale), "query_id")
+    likely = topk_join(asked, codes, keep, index.metric, group="cell").drop("rank")
+    likely = top_per(likely, ["query_id"], ["d", "vec_id"], keep)
+    pairs = likely.select(F.col("query_id").alias("src"), F.col("vec_id").alias("dst"))
+    scored = score_edges(
+        pairs, index.members.select("vec_id", "v"), index.metric,
+        sources=queries.select(F.col("query_id").alias("vec_id"), "v"),
     )
+    best = top_per(scored, ["src"], ["d", "dst"], k)
+    return best.select(F.col("src").alias("query_id"), "rank", F.col("dst").alias("vec_id"), "d")
 
 
 def approx_baseline(

@@ -17,9 +17,13 @@ from nearfield.runtime import BROADCAST_BYTES, block_rows, materialize, setting
 COUNTERS = ["self_skipped", "kept", "replaced", "evicted", "dropped", "final_degree"]
 
 
-def score_edges(edges: DataFrame, points: DataFrame, metric: str = "l2") -> DataFrame:
+def score_edges(
+    edges: DataFrame, points: DataFrame, metric: str = "l2", sources: DataFrame | None = None
+) -> DataFrame:
     """Add the score ``d`` of every edge; edges at ids without a vector are dropped.
 
+    ``src`` is the ``vec_id`` of a point, or of a row of ``sources`` where those are given.
+
     Points that are counted to fit the broadcast limit are sent to all tasks
     and the edges are scored where they lie. Beyond that every point belongs
     to a block; a source sends its vector and the list of its targets once to each block
@@ -28,8 +32,10 @@ def score_edges(edges: DataFrame, points: DataFrame, metric: str = "l2") -> Data
     """
     spark = edges.sparkSession
     n, size = footprint(points)
-    if size <= setting(spark, BROADCAST_BYTES):
-        return _scored_in_place(edges, points, metric)
+    other = 0 if sources is None else footprint(sources)[1]
+    sources = points if sources is None else sources
+    if size + other <= setting(spark, BROADCAST_BYTES):
+        return _scored_in_place(edges, points, metric, None if sources is points else sources)
     rows = block_rows(spark, size // (8 * n))
     owners = -(-n // rows)
     owner = lambda name: F.pmod(F.xxhash64(name), F.lit(owners)).cast("int")
@@ -46,7 +52,7 @@ def score_edges(edges: DataFrame, points: DataFrame, metric: str = "l2") -> Data
     per_owner = lists.groupBy("owner").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("_parts"))
     # One row per block.
     parts = F.broadcast(materialize(per_owner, "block-parts"))
-    asking = lists.join(points.withColumnRenamed("vec_id", "src"), "src").join(parts, "owner")
+    asking = lists.join(sources.select(F.col("vec_id").alias("src"), "v"), "src").join(parts, "owner")
     asking = asking.withColumn("part", F.pmod(F.xxhash64("src", "_cut"), F.col("_parts")).cast("int"))
     # Fresh columns, since both sides come from the same table.
     owned = points.select(F.col("vec_id").alias("vec_id"), F.col("v").alias("v"))
@@ -74,19 +80,28 @@ def score_edges(edges: DataFrame, points: DataFrame, metric: str = "l2") -> Data
     return edges.join(scored, ["src", "dst"])
 
 
-def _scored_in_place(edges: DataFrame, points: DataFrame, metric: str) -> DataFrame:
-    shared = edges.sparkSession.sparkContext.broadcast(points.select("vec_id", "v").toArrow())
+def _scored_in_place(edges: DataFrame, points: DataFrame, metric: str, sources: DataFrame | None) -> DataFrame:
+    tables = [sources, points] if sources is not None else [points]
+    shared = edges.sparkSession.sparkContext.broadcast([t.select("vec_id", "v").toArrow() for t in tables])
     schema = T.StructType([*edges.schema.fields, T.StructField("d", T.DoubleType())])
 
     def run(batches):
-        ids = blocks.numbers(shared.value, "vec_id")
-        order = np.argsort(ids, kind="stable")
-        ids, base = ids[order], blocks.matrix(shared.value, "v")[order]
+        sides = []
+        for table in shared.value:
+            ids = blocks.numbers(table, "vec_id")
+            order = np.argsort(ids, kind="stable")
+            sides.append((ids[order], blocks.matrix(table, "v")[order]))
+        (left_ids, left), (right_ids, right) = sides[0], sides[-1]
+
+        def place(ids, wanted):
+            at = np.minimum(np.searchsorted(ids, wanted), max(0, len(ids) - 1))
+            return at, (ids[at] == wanted) if len(ids) else np.zeros(len(wanted), bool)
+
         for batch in batches:
-            ends = [blocks.numbers(batch, n) for n in ("src", "dst")]
-            at = [np.minimum(np.searchsorted(ids, e), max(0, len(ids) - 1)) for e in ends]
-            known = np.flatnonzero((ids[at[0]] == ends[0]) & (ids[at[1]] == ends[1])) if len(ids) else np.zeros(0, np.int64)
-            d = blocks.pair_scores(base, base, at[0][known], at[1][known], metric) if len(known) else np.zeros(0)
+            a, has_a = place(left_ids, blocks.numbers(batch, "src"))
+            b, has_b = place(right_ids, blocks.numbers(batch, "dst"))
+            known = np.flatnonzero(has_a & has_b)
+            d = blocks.pair_scores(left, right, a[known], b[known], metric) if len(known) else np.zeros(0)
             kept = batch.take(pa.array(known))
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(d)], names=[*kept.schema.names, "d"])
 
