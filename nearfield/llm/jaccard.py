@@ -84,6 +84,16 @@ def _node(shingles: np.ndarray) -> np.int64:
         return _mix(shingles, 0x94D049BB133111EB).sum(dtype=np.uint64).view(np.int64)
 
 
+def _sketch(shingles: np.ndarray) -> bytes:
+    """Parities of the set's members per hash slot, with two to four slots for each member.
+
+    The sketches of two sets differ in no more bits than the sets in members.
+    """
+    width = max(64, 1 << (2 * len(shingles) - 1).bit_length()) if len(shingles) else 64
+    slots = (shingles & np.uint64(width - 1)).astype(np.int64)
+    return np.packbits(np.bincount(slots, minlength=width) & 1, bitorder="little").tobytes()
+
+
 def _each(batches):
     for batch in batches:
         yield from slices(batch)
@@ -126,13 +136,14 @@ def shingle_counts(docs: DataFrame, params: JaccardParams) -> np.ndarray:
 
 
 def text_profiles(docs: DataFrame, counts: np.ndarray, params: JaccardParams) -> DataFrame:
-    """``doc_id, n_shingles, node, text_id, bytes, prefix`` of every text.
+    """``doc_id, n_shingles, node, text_id, bytes, sketch, prefix`` of every text.
 
     ``node`` stands for the set of shingles; equal sets have equal nodes, and
     different ones do not, up to the chance of equal 64-bit hashes. ``prefix``
     has the rarest shingles of the set, as many as two linked texts must share
     one of: all but the ceil(percent * n / 100) - 1 most frequent. ``text_id``
-    is the hash of the text, ``bytes`` what text and set take inside a task.
+    is the hash of the text, ``bytes`` what text and set take inside a task,
+    ``sketch`` bounds the overlap of two sets from above (``likely_links``).
     """
     shared = docs.sparkSession.sparkContext.broadcast(counts)
     shift, words, percent = np.uint64(64 - params.sketch_bits), params.words, params.percent
@@ -140,13 +151,14 @@ def text_profiles(docs: DataFrame, counts: np.ndarray, params: JaccardParams) ->
     def profile(batches):
         shingler = Shingler(words)
         for part in _each(batches):
-            sizes, nodes, prefixes, room = [], [], [], []
+            sizes, nodes, prefixes, room, sketches = [], [], [], [], []
             texts = blobs(part)
             for text, found in zip(texts, shingler(texts)):
                 n = len(found)
                 room.append(8 * n + len(text))
                 sizes.append(n)
                 nodes.append(_node(found))
+                sketches.append(_sketch(found))
                 order = np.argsort(shared.value[(found >> shift).astype(np.int64)], kind="stable")
                 length = n - (percent * n + 99) // 100 + 1 if n else 0
                 prefixes.append(found[order[:length]].view(np.int64))
@@ -159,12 +171,16 @@ def text_profiles(docs: DataFrame, counts: np.ndarray, params: JaccardParams) ->
                     pa.array(nodes, pa.int64()),
                     part.column("text_id"),
                     pa.array(room, pa.int64()),
+                    pa.array(sketches, pa.binary()),
                     pa.ListArray.from_arrays(offsets, np.concatenate(prefixes)),
                 ],
-                names=["doc_id", "n_shingles", "node", "text_id", "bytes", "prefix"],
+                names=["doc_id", "n_shingles", "node", "text_id", "bytes", "sketch", "prefix"],
             )
 
-    schema = "doc_id bigint, n_shingles bigint, node bigint, text_id bigint, bytes bigint, prefix array<bigint>"
+    schema = (
+        "doc_id bigint, n_shingles bigint, node bigint, text_id bigint, bytes bigint, sketch binary, "
+        "prefix array<bigint>"
+    )
     return text_rows(docs).withColumn("text_id", F.xxhash64("_text")).mapInArrow(profile, schema)
 
 
@@ -237,6 +253,93 @@ def _of_fitting_size(regions: DataFrame, profiles: DataFrame, params: JaccardPar
     return kept.unionByName(pivots.select("pivot", "node", "bytes")).distinct()
 
 
+LINKS = "src bigint, dst bigint"
+
+
+def _link_table(links: list[tuple[int, int]]) -> pa.Table:
+    a, b = zip(*links) if links else ((), ())
+    return pa.table({"src": pa.array(a, pa.int64()), "dst": pa.array(b, pa.int64())})
+
+
+def hot_regions(regions: DataFrame, params: JaccardParams) -> DataFrame:
+    """``pivot, _rows`` of regions that one task may not hold, and how many of its sets one may."""
+    weights = regions.groupBy("pivot").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum("bytes").alias("_sum"), F.max("bytes").alias("_most")
+    )
+    large = (F.col("_n") > params.region_rows) | (F.col("_sum") > params.region_bytes)
+    rows = F.least(
+        F.lit(params.region_rows), F.greatest(F.lit(1), F.floor(F.lit(params.region_bytes) / F.col("_most")))
+    )
+    return materialize(weights.filter(large).select("pivot", rows.cast("bigint").alias("_rows")), "hot-regions")
+
+
+class _Sketches:
+    """Sketches of one region inside a task, of one width per group of rows."""
+
+    def __init__(self, size: np.ndarray, sketches: list[bytes], percent: int):
+        self.size, self.percent = size, percent
+        lengths = np.array([len(s) for s in sketches])
+        self.rows = {int(n): np.flatnonzero(lengths == n) for n in np.unique(lengths)}
+        self.bits = {
+            n: np.frombuffer(b"".join(sketches[i] for i in rows), np.uint64).reshape(len(rows), -1)
+            for n, rows in self.rows.items()
+        }
+
+    def partners(self):
+        """Each row with the rows, of its own width or the next, that may link with it."""
+        for n, rows in self.rows.items():
+            others, bits = rows, self.bits[n]
+            if 2 * n in self.rows:
+                left, right = np.split(self.bits[2 * n], 2, axis=1)
+                others, bits = np.concatenate([rows, self.rows[2 * n]]), np.concatenate([bits, left ^ right])
+            for i, row in enumerate(rows[: len(others) - 1]):
+                rest = others[i + 1 :]
+                differing = np.bitwise_count(bits[i + 1 :] ^ bits[i]).sum(axis=1, dtype=np.int64)
+                both = self.size[row] + self.size[rest]
+                inside = (both - differing) // 2
+                yield row, rest[100 * inside >= self.percent * (both - inside)]
+
+
+def likely_links(regions: DataFrame, profiles: DataFrame, params: JaccardParams) -> DataFrame:
+    """``src, dst``: enough pairs inside regions to join all sets that may be linked.
+
+    Two sets differ in at least as many members as their sketches in bits, the
+    wider one folded to the width of the other, which bounds what they share;
+    no linked pair is lost. Linked sets have sizes, and so widths, within a
+    factor of two.
+    """
+    sketches = profiles.groupBy("node").agg(F.min(F.struct("n_shingles", "sketch")).alias("_own"))
+    placed = regions.select("pivot", "node").join(sketches, "node").select("pivot", "node", "_own.*")
+    percent = params.percent
+
+    def run(region: pa.Table) -> pa.Table:
+        nodes = region["node"].to_numpy()
+        label, links = np.arange(len(nodes)), []
+        for row, others in _Sketches(region["n_shingles"].to_numpy(), region["sketch"].to_pylist(), percent).partners():
+            for other in others[label[others] != label[row]]:
+                a, b = label[row], label[other]
+                if a != b:
+                    links.append((nodes[row], nodes[other]))
+                    label[label == max(a, b)] = min(a, b)
+        return _link_table(links)
+
+    return placed.groupBy("pivot").applyInArrow(run, LINKS)
+
+
+def likely_regions(regions: DataFrame, profiles: DataFrame, params: JaccardParams) -> DataFrame:
+    """``pivot, node, bytes``: sets that may be linked beside the least one their likely links reach.
+
+    A set of some regions that fit one task is then in one region, or in none.
+    Regions that do not fit stay as they are.
+    """
+    hot = hot_regions(regions, params)
+    likely = likely_links(regions.join(hot, "pivot", "left_anti"), profiles, params)
+    groups = connected_components(likely).select(F.col("component").alias("pivot"), "node")
+    sizes = regions.groupBy("node").agg(F.max("bytes").alias("bytes"))
+    groups = groups.join(sizes, "node").select("pivot", "node", "bytes")
+    return groups.unionByName(regions.join(hot, "pivot", "left_semi")).distinct()
+
+
 def region_texts(docs: DataFrame, profiles: DataFrame, nodes: DataFrame, params: JaccardParams) -> DataFrame:
     """``node, text``: one text for each of the sets named in ``nodes``.
 
@@ -306,14 +409,6 @@ class _Cell:
             return
 
 
-def _links_of(cell: _Cell) -> pa.Table:
-    a, b = zip(*cell.links) if cell.links else ((), ())
-    return pa.table({"src": pa.array(a, pa.int64()), "dst": pa.array(b, pa.int64())})
-
-
-LINKS = "src bigint, dst bigint"
-
-
 def _join_small(members: DataFrame, params: JaccardParams) -> DataFrame:
     """Links inside regions that fit one task."""
 
@@ -322,7 +417,7 @@ def _join_small(members: DataFrame, params: JaccardParams) -> DataFrame:
         cell = _Cell(region["node"].to_numpy(), region["text"].to_pylist(), params)
         everyone = np.arange(len(cell.nodes))
         cell.join(everyone, everyone)
-        return _links_of(cell)
+        return _link_table(cell.links)
 
     return members.groupBy("pivot").applyInArrow(run, LINKS)
 
@@ -393,7 +488,7 @@ def _join_large(members: DataFrame, texts: DataFrame, params: JaccardParams) ->
         cell = _Cell(cell_rows["node"].to_numpy(), cell_rows["text"].to_pylist(), params)
         host = cell_rows["host"].to_numpy(zero_copy_only=False).astype(bool)
         cell.join(np.flatnonzero(host), np.arange(len(host)))
-        return _links_of(cell)
+        return _link_table(cell.links)
 
     cells = rows.select("pivot", "ring", "slice", "node", "host", "text")
     return direct.unionByName(cells.groupBy("pivot", "ring", "slice").applyInArrow(run, LINKS))
@@ -401,17 +496,8 @@ def _join_large(members: DataFrame, texts: DataFrame, params: JaccardParams) ->
 
 def region_links(regions: DataFrame, texts: DataFrame, params: JaccardParams) -> DataFrame:
     """``src, dst``: links enough to join all linked sets of every region."""
-    weights = regions.groupBy("pivot").agg(
-        F.count(F.lit(1)).alias("_n"), F.sum("bytes").alias("_sum"), F.max("bytes").alias("_most")
-    )
+    hot = hot_regions(regions, params)
     regions = regions.select("pivot", "node")
-    large = (F.col("_n") > params.region_rows) | (F.col("_sum") > params.region_bytes)
-    rows = F.least(
-        F.lit(params.region_rows), F.greatest(F.lit(1), F.floor(F.lit(params.region_bytes) / F.col("_most")))
-    )
-    hot = materialize(
-        weights.filter(large).select("pivot", rows.cast("bigint").alias("_rows")), "hot-regions"
-    )
     if hot.isEmpty():
         return materialize(_join_small(regions.join(texts, "node"), params), "region-links")
     texts = materialize(texts, "region-texts")
@@ -427,8 +513,10 @@ def near_duplicates(docs: DataFrame, params: JaccardParams = JaccardParams()) ->
     ``component_id`` is the smallest ``doc_id`` reachable by links, the
     document's own included. Sets of shingles that are equal are one point of
     the metric space. Rare shingles name pivots; each set joins the regions of
-    its pivots; inside a region, distances to the pivot and the triangle
-    inequality choose what is compared, and a hot region is cut into rings.
+    its pivots, and only those whose sketches allow a link stay, in one region
+    with all that they may reach; inside a region, distances to the pivot and
+    the triangle inequality choose what is compared, and a hot region is cut
+    into rings.
 
     A text that is null, empty or without words has no shingles and is alone.
     Rows with a null ``doc_id`` link like others but name no component (its id
@@ -439,6 +527,7 @@ def near_duplicates(docs: DataFrame, params: JaccardParams = JaccardParams()) ->
     profiles = materialize(text_profiles(docs, counts, params), "profiles")
     full = profiles.filter("n_shingles > 0")
     regions = materialize(voronoi_regions(full, params), "fitting-regions")
+    regions = materialize(likely_regions(regions, full, params), "likely-regions")
     texts = region_texts(docs, full, regions.select("node").distinct(), params)
     links = region_links(regions, texts, params)
     components = connected_components(links)
