@@ -12,6 +12,8 @@ is the row position over all of them.
 from __future__ import annotations
 
 import os
+import re
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -35,6 +37,8 @@ INT_KINDS = ("ivecs", "ibin")
 KINDS = FLOAT_KINDS + INT_KINDS
 PARTITION_BYTES = 64 * 1024 * 1024
 BATCH_BYTES = 8 * 1024 * 1024
+#: Fixed first bytes of an HDF5 file.
+HDF5_SIGNATURE = b"\x89HDF\r\n\x1a\n"
 
 
 def kind_of(path: str) -> str:
@@ -73,32 +77,40 @@ class Layout:
     rows: int
     header: int
     prefix: int
+    #: Rows whose bytes are there; fewer than ``rows`` where a counted file lost its tail.
+    held: int
 
     @property
     def record(self) -> int:
         return self.prefix + 4 * self.dim
 
 
-def layout_of(kind: str, head: bytes, size: int) -> Layout:
-    """Read a file's layout from its first bytes and check it against its length."""
+def _too_short(kind: str, rows: int, dim: int, size: int) -> ValueError:
+    return ValueError(f"a {kind} file of {size} bytes is too short for {rows} rows of {dim} values")
+
+
+def layout_of(kind: str, head: bytes, size: int, whole: bool = True) -> Layout:
+    """Read a file's layout from its first bytes; ``whole`` checks it against its length."""
     if kind in ("fbin", "ibin"):
         if len(head) < 8:
             raise ValueError(f"a {kind} file needs 8 bytes of header, found {len(head)}")
         rows, dim = (int(x) for x in np.frombuffer(head[:8], "<u4"))
         if dim == 0:
             raise ValueError(f"a {kind} file states a dimension below 1")
-        if size < 8 + rows * 4 * dim:
-            raise ValueError(f"a {kind} file of {size} bytes is too short for {rows} rows of {dim} values")
-        return Layout(kind, dim, rows, 8, 0)
+        held = min(rows, (size - 8) // (4 * dim))
+        if whole and held < rows:
+            raise _too_short(kind, rows, dim, size)
+        return Layout(kind, dim, rows, 8, 0, held)
     if size == 0:
-        return Layout(kind, 0, 0, 0, 4)
+        return Layout(kind, 0, 0, 0, 4, 0)
     if len(head) < 4:
         raise ValueError(f"a {kind} file needs 4 bytes of dimension, found {len(head)}")
     dim = int(np.frombuffer(head[:4], "<i4")[0])
     if dim <= 0:
         raise ValueError(f"a {kind} file states a dimension below 1")
     rows, rest = divmod(size, 4 + 4 * dim)
-    return Layout(kind, dim, rows + (1 if rest else 0), 0, 4)
+    rows += 1 if rest else 0
+    return Layout(kind, dim, rows, 0, 4, rows)
 
 
 @dataclass
@@ -138,8 +150,10 @@ class VecFileReader(DataSourceReader):
         last = self.max_rows if self.max_rows > 0 else None
         if self.stop is not None:
             last = self.stop if last is None else min(last, self.stop)
-        for name, layout in self._layouts(last):
+        for name, size, layout in self._layouts(last):
             rows = layout.rows if last is None else min(layout.rows, last - at)
+            if layout.held < rows:
+                raise _too_short(layout.kind, layout.rows, layout.dim, size)
             step = max(1, PARTITION_BYTES // max(1, layout.record))
             for first in range(0, rows, step):
                 count = min(step, rows - first)
@@ -157,18 +171,18 @@ class VecFileReader(DataSourceReader):
         def look(entry):
             system, name, size = entry
             with system.open_input_file(name) as file:
-                return name, layout_of(self.kind or kind_of(name), file.read(8), size)
+                return name, size, layout_of(self.kind or kind_of(name), file.read(8), size, whole=False)
 
         files, rows = _files(self.path), 0
         with ThreadPoolExecutor(32) as pool:
             for start in range(0, len(files), 256):
                 if last is not None and rows >= last:
                     return
-                for name, layout in pool.map(look, files[start : start + 256]):
+                for name, size, layout in pool.map(look, files[start : start + 256]):
                     if last is not None and rows >= last:
                         return
                     rows += layout.rows
-                    yield name, layout
+                    yield name, size, layout
 
     def read(self, part: RowRange):
         if part.count == 0:
@@ -204,16 +218,24 @@ def _qualified(root: str, name: str) -> str:
 
 @dataclass
 class PartFile(WriterCommitMessage):
-    path: str
+    #: Partition, and where its rows wait for the commit; empty without rows.
+    part: int
+    staged: str
 
 
 class VecFileWriter(DataSourceArrowWriter):
-    """Writes one file per partition; the rows keep the partition's order."""
+    """Writes one file per partition; the rows keep the partition's order.
+
+    Tasks write files that readers skip. The commit of the whole job names
+    them, after the files that are there (append) or in their place
+    (overwrite); a job that fails leaves the folder as it was.
+    """
 
     def __init__(self, path, kind, overwrite):
         if kind not in KINDS:
             raise ValueError(f"option kind must be one of {KINDS}")
-        self.path, self.kind = path, kind
+        self.path, self.kind, self.overwrite = path, kind, overwrite
+        self.job = uuid.uuid4().hex
 
     def write(self, batches):
         from pyspark import TaskContext
@@ -221,13 +243,14 @@ class VecFileWriter(DataSourceArrowWriter):
         context = TaskContext.get()
         system, folder = _open(self.path)
         system.create_dir(folder, recursive=True)
-        name = f"part-{context.partitionId():06d}.{self.kind}"
+        part = context.partitionId()
         dtype = "<f4" if self.kind in FLOAT_KINDS else "<i4"
+        counted = self.kind in ("fbin", "ibin")
         rows, dim = 0, 0
-        # A retry of the task writes its own file; only a committed one is renamed.
-        temporary = f"{folder}/_{name}.{context.taskAttemptId()}"
-        with system.open_output_stream(temporary) as out:
-            chunks = []
+        # A retry of the task writes its own file; only the committed one is named.
+        staged = f"{folder}/_{self.job}-{part}-{context.taskAttemptId()}"
+        payload = f"{staged}-payload" if counted else staged
+        with system.open_output_stream(payload) as out:
             for batch in batches:
                 vectors = batch.column(batch.schema.get_field_index("v"))
                 if len(vectors) == 0:
@@ -235,30 +258,48 @@ class VecFileWriter(DataSourceArrowWriter):
                 lengths = vectors.value_lengths().to_numpy(zero_copy_only=False)
                 dim = dim or int(lengths[0])
                 if (lengths != dim).any():
-                    raise ValueError(f"vectors of {name} are not all of dimension {dim}")
+                    raise ValueError(f"vectors of partition {part} are not all of dimension {dim}")
                 values = vectors.flatten().to_numpy(zero_copy_only=False).astype(dtype)
                 values = values.reshape(len(vectors), dim)
                 rows += len(vectors)
-                if self.kind in ("fbin", "ibin"):
-                    chunks.append(values.tobytes())
-                else:
+                if not counted:
                     lead = np.full((len(vectors), 1), dim, dtype="<i4")
-                    out.write(np.hstack([lead, values.view("<i4")]).tobytes())
-            if self.kind in ("fbin", "ibin") and rows:
+                    values = np.hstack([lead, values.view("<i4")])
+                out.write(values.tobytes())
+        if rows == 0:
+            return PartFile(part, "")
+        if counted:
+            # The count is known at the end and stands at the start.
+            with system.open_input_stream(payload) as body, system.open_output_stream(staged) as out:
                 out.write(np.array([rows, dim], dtype="<u4").tobytes())
-                for chunk in chunks:
+                while chunk := body.read(BATCH_BYTES):
                     out.write(chunk)
-        if rows == 0:
-            system.delete_file(temporary)
-            return PartFile("")
-        system.move(temporary, f"{folder}/{name}")
-        return PartFile(name)
+        return PartFile(part, staged)
 
     def commit(self, messages):
-        pass
+        parts = sorted((m.part, m.staged) for m in messages if m is not None and m.staged)
+        system, folder = _open(self.path)
+        system.create_dir(folder, recursive=True)
+        old = [name for _, name, _ in _files(self.path)]
+        if self.overwrite:
+            for name in old:
+                system.delete_file(name)
+            old = []
+        numbers = [re.match(r"part-(\d+)\.", os.path.basename(name)) for name in old]
+        start = max((int(n[1]) + 1 for n in numbers if n), default=0)
+        for number, (_, staged) in enumerate(parts, start):
+            system.move(staged, f"{folder}/part-{number:06d}.{self.kind}")
+        self._clear(system, folder)
 
     def abort(self, messages):
-        pass
+        system, folder = _open(self.path)
+        self._clear(system, folder)
+
+    def _clear(self, system, folder):
+        """Remove what this job's tasks left behind."""
+        for info in system.get_file_info(pafs.FileSelector(folder, allow_not_found=True)):
+            if info.base_name.startswith(f"_{self.job}-"):
+                system.delete_file(info.path)
 
 
 class VecFileSource(DataSource):
@@ -285,6 +326,16 @@ class VecFileSource(DataSource):
         return VecFileWriter(self.options["path"], self.options.get("kind"), overwrite)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` on the default file system of the cluster where it names none."""
+    if "://" in path or path.startswith("file:"):
+        return path
+    context = spark.sparkContext
+    found = context._jvm.org.apache.hadoop.fs.Path(path)
+    full = found.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(found).toString()
+    return path if full.startswith("file:") else full
+
+
 def read_vectors(
     spark: SparkSession, path: str, kind: str | None = None, max_rows: int = 0
 ) -> DataFrame:
@@ -294,7 +345,7 @@ def read_vectors(
     reader = spark.read.format("vecfile").option("max_rows", max_rows)
     if kind:
         reader = reader.option("kind", kind)
-    return reader.load(path)
+    return reader.load(qualified(spark, path))
 
 
 def read_fvecs(spark, path, max_rows=0) -> DataFrame:
@@ -313,11 +364,12 @@ def read_ibin(spark, path, max_rows=0) -> DataFrame:
     return read_vectors(spark, path, "ibin", max_rows)
 
 
-def write_vectors(points: DataFrame, path: str, kind: str) -> None:
+def write_vectors(points: DataFrame, path: str, kind: str, mode: str = "append") -> None:
     """Write points in id order as a directory that ``read_vectors`` reads back.
 
     Range partitions keep the order over the files, so ids that run from 0
-    come back as the row positions.
+    come back as the row positions. Mode ``append`` puts the rows after those
+    in the folder, ``overwrite`` in their place once all of them are written.
     """
     points.sparkSession.dataSource.register(VecFileSource)
     (
@@ -326,8 +378,8 @@ def write_vectors(points: DataFrame, path: str, kind: str) -> None:
         .sortWithinPartitions("vec_id")
         .write.format("vecfile")
         .option("kind", kind)
-        .mode("append")
-        .save(path)
+        .mode(mode)
+        .save(qualified(points.sparkSession, path))
     )
 
 
@@ -342,14 +394,15 @@ def vector_file_inventory(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Vector files under the folders: path, size, first 32 bytes, and what they say.
 
     Result ``path, size, kind, head_hex, rows, dim, consistent``; a file whose
-    length does not fit its header is listed as not consistent.
+    length does not fit its header is listed as not consistent. HDF5 files are
+    listed by their signature, without rows and dimension.
     """
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .load(paths)
         .select("path", "length")
-        .filter(F.lower(F.col("path")).rlike(r"\.(fbin|ibin|fvecs|ivecs)$"))
+        .filter(F.lower(F.col("path")).rlike(r"\.(fbin|ibin|fvecs|ivecs|hdf5)$"))
     )
     schema = (
         "path string, size bigint, kind string, head_hex string, "
@@ -363,6 +416,10 @@ def vector_file_inventory(spark: SparkSession, paths: list[str]) -> DataFrame:
                 system, name = _open(path)
                 with system.open_input_file(name) as file:
                     head = file.read(32)
+                if path.lower().endswith(".hdf5"):
+                    known = head.startswith(HDF5_SIGNATURE)
+                    found.append((path, size, "hdf5", head.hex(), None, None, known))
+                    continue
                 kind = kind_of(path)
                 try:
                     layout = layout_of(kind, head, size)

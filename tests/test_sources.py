@@ -1,3 +1,4 @@
+import os
 import struct
 
 import pytest
@@ -118,6 +119,53 @@ def test_write_and_read_back(spark, tmp_path, kind):
     assert all(r["dim"] == 3 and r["consistent"] and r["kind"] == kind for r in found)
 
 
+def test_append_follows_and_overwrite_replaces(spark, tmp_path):
+    path = str(tmp_path / "twice")
+    first, second = [[i, 0] for i in range(30)], [[i, 1] for i in range(20)]
+    VF.write_vectors(frame(spark, first), path, "fbin")
+    VF.write_vectors(frame(spark, second), path, "fbin")
+    assert rows(VF.read_vectors(spark, path)) == first + second
+    VF.write_vectors(frame(spark, second), path, "fvecs", mode="overwrite")
+    assert rows(VF.read_vectors(spark, path)) == second
+    assert all(name.endswith(".fvecs") for name in os.listdir(path) if name[0] != ".")
+
+
+@pytest.mark.parametrize("mode", ["append", "overwrite"])
+def test_a_failed_write_leaves_the_folder_as_it_was(spark, tmp_path, mode):
+    path = str(tmp_path / "kept")
+    kept = [[i, i] for i in range(10)]
+    VF.write_vectors(frame(spark, kept), path, "ibin")
+    before = sorted(os.listdir(path))
+    with pytest.raises(Exception, match="not all of dimension"):
+        VF.write_vectors(frame(spark, [[1, 2]] * 50 + [[1]]).coalesce(1), path, "ibin", mode=mode)
+    assert sorted(os.listdir(path)) == before and rows(VF.read_vectors(spark, path)) == kept
+
+
+def test_counted_file_above_the_copy_buffer(spark, tmp_path):
+    path = str(tmp_path / "long")
+    wide = F.transform(F.sequence(F.lit(0), F.lit(1023)), lambda x: (x + F.col("id")).cast("float"))
+    VF.write_vectors(spark.range(3000).select(F.col("id").alias("vec_id"), wide.alias("v")), path, "fbin")
+    found = VF.read_vectors(spark, path)
+    assert found.count() == 3000
+    assert found.filter((F.col("v")[0] != F.col("vec_id")) | (F.col("v")[1023] != F.col("vec_id") + 1023)).count() == 0
+
+
+def test_rows_before_a_missing_tail(spark, tmp_path):
+    torn = save(tmp_path / "torn.fbin", packed("f", [[1, 2], [3, 4], [5, 6]])[:-1])
+    assert rows(VF.read_fbin(spark, torn, max_rows=2)) == [[1, 2], [3, 4]]
+    with pytest.raises(Exception, match="too short for 3 rows"):
+        VF.read_fbin(spark, torn, max_rows=3).collect()
+
+
+def test_inventory_lists_hdf5(spark, tmp_path):
+    save(tmp_path / "a.hdf5", b"\x89HDF\r\n\x1a\n" + b"\0" * 40)
+    save(tmp_path / "b.hdf5", b"text")
+    found = {r["path"].rsplit("/", 1)[1]: r for r in VF.vector_file_inventory(spark, [str(tmp_path)]).collect()}
+    assert {n: (r["kind"], r["rows"], r["consistent"]) for n, r in found.items()} == {
+        "a.hdf5": ("hdf5", None, True), "b.hdf5": ("hdf5", None, False)
+    }
+
+
 def test_inventory_flags_a_wrong_length(spark, tmp_path):
     save(tmp_path / "good.fbin", packed("f", [[1, 2]]))
     save(tmp_path / "short.fbin", struct.pack("<II", 20000, 3072))
