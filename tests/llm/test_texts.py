@@ -268,6 +268,30 @@ def test_jaccard_join(spark, texts, empty, region_rows):
     assert jaccard.near_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize("percent", [60, 80, 100])
+def test_sketches_lose_no_link(percent):
+    rng = np.random.default_rng(5)
+    sets = []
+    for n in (1, 2, 5, 31, 32, 33, 64, 200, 257, 1000):
+        base = rng.integers(0, 2**63, n, dtype=np.uint64)
+        for changed in (0, 1, n // 20, n // 10, n // 5, n // 2):
+            fresh = rng.integers(0, 2**63, changed + n // 16, dtype=np.uint64)
+            sets.append(np.unique(np.concatenate([base[changed:], fresh])))
+    sets = [s for s in sets if len(s)]
+    sketches = jaccard._Sketches(
+        np.array([len(s) for s in sets]), [jaccard._sketch(s) for s in sets], percent
+    )
+    likely = {frozenset((int(a), int(b))) for a, others in sketches.partners() for b in others}
+    linked = set()
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            inside = len(np.intersect1d(a, b))
+            if 100 * inside >= percent * (len(a) + len(b) - inside):
+                linked.add(frozenset((i, j)))
+    assert linked and linked <= likely
+    assert len(likely) < len(sets) * len(sets) / 8
+
+
 def test_jaccard_join_repeated_and_null_ids(docs):
     found = jaccard.near_duplicates(docs).collect()
     assert len(found) == docs.count()
