@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window as W, functions as F
 
 from nearfield.operators.carve import Partition, build_partition, partition_stats
 from nearfield.operators.knn import top_per, topk_join
@@ -140,17 +140,29 @@ class Candidates:
 
 def build_candidates(points: DataFrame, params: CandidateParams) -> Candidates:
     """Partition all replicas, score their shortlists, reverse and unite the edges."""
-    metric = params.carve.metric
     partition = build_partition(points, params.carve, params.replica_count)
+    return score_partition(points, partition, params)
+
+
+def score_partition(
+    points: DataFrame, partition: Partition, params: CandidateParams, observed: Observation | None = None
+) -> Candidates:
+    """The candidates of a partition; ``observed`` gets ``scored``, the rows written, on the way."""
+    metric = params.carve.metric
     scored = score_shortlist(points, partition.leaves, params.leaf_k, params.cap, metric)
+    if observed is not None:
+        scored = scored.observe(observed, F.count(F.lit(1)).alias("scored"))
     scored = materialize(scored, "scored")
     edges = scored.select("src", "dst", "d")
     edges = bidirect(edges) if params.bidirected else edges
     return Candidates(union_replicas(edges), scored, partition, params.bidirected)
 
 
-def candidate_stats(candidates: Candidates) -> DataFrame:
-    """Partition counters over all replicas and the edge count before removing repeats."""
+def candidate_stats(candidates: Candidates, scored: int | None = None) -> DataFrame:
+    """Partition counters over all replicas and the edge count before removing repeats.
+
+    ``scored`` is the number of scored rows where that was counted already.
+    """
     partition = partition_stats(candidates.partition).agg(
         F.sum("leaf_count").alias("num_leaves"),
         F.sum("assignment_total").alias("partition_assignment_total"),
@@ -161,5 +173,7 @@ def candidate_stats(candidates: Candidates) -> DataFrame:
         F.sum("fallback_chunk_splits").alias("partition_fallback_chunk_splits"),
     )
     factor = 2 if candidates.bidirected else 1
+    if scored is not None:
+        return partition.withColumn("candidate_edges", F.lit(scored * factor).cast("bigint"))
     count = candidates.scored.agg((F.count(F.lit(1)) * factor).alias("candidate_edges"))
     return partition.join(F.broadcast(count), F.lit(True))

@@ -6,13 +6,13 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from nearfield.functions import blocks
 from nearfield.functions.vectors import hyperplanes, residual_hash, valid_edges
 from nearfield.operators.knn import footprint, top_per
 from nearfield.params import PruneParams
-from nearfield.runtime import BROADCAST_BYTES, block_rows, materialize, setting
+from nearfield.runtime import BROADCAST_BYTES, SLICE_ROWS, block_rows, materialize, setting
 
 COUNTERS = ["self_skipped", "kept", "replaced", "evicted", "dropped", "final_degree"]
 
@@ -196,17 +196,26 @@ def prune_counters(
     A candidate is *kept* if it enters the bucket table when it is met,
     *replaced* counts those that took over their bucket, *evicted* those that
     pushed out the farthest bucket of a full table, *dropped* the rest.
-
-    Sources are range-partitioned by (source, target), so a source of any size
-    is scanned in pieces by several tasks, each a stream. The table at the
-    start of a piece is the pruned result of everything before it, which is
-    merged from the pieces' own pruned results.
     """
     if "d" not in candidates.columns:
         candidates = score_edges(candidates, points)
-    hashed = hash_edges(candidates, points, params, planes).select("src", "dst", "d", "hash")
+    return count_scans(hash_edges(candidates, points, params, planes), params.max_degree)
+
+
+def count_scans(hashed: DataFrame, max_degree: int) -> DataFrame:
+    """``prune_counters`` of candidates that have their ``d`` and ``hash``.
+
+    Sources are range-partitioned by (source, target), so a source of any size
+    is scanned in pieces of about ``sliceRows`` candidates at most, by several
+    tasks. The table at the start of a piece is the pruned result of everything
+    before it, which is merged from the pieces' own pruned results.
+    """
+    spark = hashed.sparkSession
+    hashed = materialize(hashed.select("src", "dst", "d", "hash"), "hashed")
+    cuts = -(-hashed.count() // setting(spark, SLICE_ROWS))
+    cuts = max(cuts, int(spark.conf.get("spark.sql.shuffle.partitions")))
     pieces = materialize(
-        hashed.repartitionByRange("src", "dst").withColumn("piece", F.spark_partition_id()),
+        hashed.repartitionByRange(cuts, "src", "dst").withColumn("piece", F.spark_partition_id()),
         "pieces",
     )
     spans = (
@@ -216,26 +225,61 @@ def prune_counters(
     )
     # At most one source crosses each boundary of two pieces, which bounds ``spans``.
     inside = pieces.filter("src <> dst").join(F.broadcast(spans), "src", "left_semi")
-    summaries = _piece_summaries(inside, params.max_degree)
-    openings = _opening_tables(summaries, params.max_degree)
-    stream = pieces.withColumn("opening", F.lit(False)).unionByName(
-        openings.withColumn("opening", F.lit(True))
-    )
-    counted = (
-        stream.repartition("piece", "src")
-        .sortWithinPartitions("piece", "src", F.desc("opening"), "dst")
-        .select("piece", "src", "dst", "d", "hash", "opening")
-        .mapInArrow(_fold(params.max_degree), _COUNTED)
+    openings = _opening_tables(_piece_summaries(inside, max_degree), max_degree)
+    openings = openings.groupBy("piece", "src").agg(F.collect_list(F.struct("d", "dst", "hash")).alias("_table"))
+    scans = pieces.groupBy("piece", "src").agg(
+        F.count_if(F.col("src") == F.col("dst")).alias("self_skipped"),
+        F.sort_array(F.collect_list(F.when(F.col("src") != F.col("dst"), F.struct("dst", "d", "hash")))).alias("_scan"),
     )
-    sums = [F.sum(c).alias(c) for c in COUNTERS[:-1]]
+    folded = scans.join(openings, ["piece", "src"], "left").withColumn("_end", _fold(max_degree))
+    sums = [F.sum(f"_end.{c}").alias(c) for c in COUNTERS[1:-1]]
     return (
-        counted.groupBy("src")
-        .agg(*sums)
+        folded.groupBy("src")
+        .agg(F.sum("self_skipped").alias("self_skipped"), *sums)
         .withColumn("final_degree", F.expr("kept - replaced - evicted"))
     )
 
 
-_COUNTED = "src bigint, self_skipped bigint, kept bigint, replaced bigint, evicted bigint, dropped bigint"
+def _fold(max_degree: int) -> Column:
+    """Column ``_scan`` followed through a bucket table of at most ``max_degree`` entries.
+
+    The table starts as ``_table`` (null: empty); the result has it and the counters.
+    """
+    table = "array<struct<d:double,dst:bigint,hash:bigint>>"
+    zero = F.lit(0).cast("bigint")
+    start = F.struct(
+        F.coalesce(F.col("_table").cast(table), F.array().cast(table)).alias("table"),
+        *[zero.alias(c) for c in COUNTERS[1:-1]],
+    )
+
+    def bind(value: Column, use) -> Column:
+        """``use`` of a value that is computed once."""
+        return F.transform(F.array(value), use)[0]
+
+    def step(state: Column, x: Column) -> Column:
+        held = F.filter(state["table"], lambda t: t["hash"] == x["hash"])
+        full = F.size(state["table"]) >= max_degree
+
+        def settle(met: Column) -> Column:
+            """``met`` has the entry that must be beaten, and whether it is in the same bucket."""
+            beaten, same = met["entry"], met["same"]
+            nearer = F.struct(x["d"], x["dst"]) < F.struct(beaten["d"], beaten["dst"])
+            enters = F.when(beaten.isNull(), ~full).otherwise(nearer)
+            rest = F.filter(state["table"], lambda t: ~t["hash"].eqNullSafe(beaten["hash"]))
+            entry = F.struct(x["d"].alias("d"), x["dst"].alias("dst"), x["hash"].alias("hash"))
+            return F.struct(
+                F.when(enters, F.array_append(rest, entry)).otherwise(state["table"]).alias("table"),
+                (state["kept"] + enters.cast("bigint")).alias("kept"),
+                (state["replaced"] + (enters & same).cast("bigint")).alias("replaced"),
+                (state["evicted"] + (enters & ~same & full).cast("bigint")).alias("evicted"),
+                (state["dropped"] + (~enters).cast("bigint")).alias("dropped"),
+            )
+
+        same = F.size(held) > 0
+        beaten = F.when(same, F.get(held, F.lit(0))).when(full, F.array_max(state["table"]))
+        return bind(F.struct(beaten.alias("entry"), same.alias("same")), settle)
+
+    return F.aggregate("_scan", start, step)
 
 
 def _piece_summaries(inside: DataFrame, max_degree: int) -> DataFrame:
@@ -271,60 +315,6 @@ def _opening_tables(summaries: DataFrame, max_degree: int) -> DataFrame:
     return summaries.groupBy("src").applyInArrow(run, schema)
 
 
-def _fold(max_degree: int):
-    names = ["src"] + COUNTERS[:-1]
-
-    def run(batches):
-        at, counts, table = None, [0] * 5, {}
-        out = []
-
-        def flush():
-            if at is not None:
-                out.append((at[1], *counts))
-
-        for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                piece, src, dst, d, code, opening = row
-                if (piece, src) != at:
-                    flush()
-                    at, counts, table = (piece, src), [0] * 5, {}
-                if opening:
-                    table[code] = (d, dst)
-                elif src == dst:
-                    counts[0] += 1
-                elif code in table:
-                    better = (d, dst) < table[code]
-                    if better:
-                        table[code] = (d, dst)
-                    counts[1] += better
-                    counts[2] += better
-                    counts[4] += not better
-                elif len(table) < max_degree:
-                    table[code] = (d, dst)
-                    counts[1] += 1
-                else:
-                    worst = max(table, key=table.get, default=None)
-                    if worst is not None and (d, dst) < table[worst]:
-                        del table[worst]
-                        table[code] = (d, dst)
-                        counts[1] += 1
-                        counts[3] += 1
-                    else:
-                        counts[4] += 1
-            if len(out) > 4096:
-                yield _counter_batch(out, names)
-                out.clear()
-        flush()
-        if out:
-            yield _counter_batch(out, names)
-
-    return run
-
-
-def _counter_batch(rows, names):
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=names)
-
-
 def prune_totals(counters: DataFrame) -> DataFrame:
     """Counters summed over all sources."""
     return counters.agg(
