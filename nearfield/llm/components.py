@@ -4,15 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from nearfield.runtime import hot_key_join, materialize
+from nearfield.runtime import SLICE_ROWS, hot_key_join, materialize, setting
+
+#: Rows that are worth a task of their own.
+TASK_ROWS = 50_000
 
 
 def _state(edges: DataFrame):
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def _with_least(pairs: DataFrame) -> DataFrame:
-    """``pairs`` with the least ``v`` of each ``u``; hubs are summed first and joined in slices."""
+def _spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df`` hashed by ``keys`` to as many tasks as ``rows`` are worth; large tables are left to Spark."""
+    if rows > setting(df.sparkSession, SLICE_ROWS):
+        return df
+    return df.repartition(-(-rows // TASK_ROWS), *keys)
+
+
+def _with_least(pairs: DataFrame, rows: int) -> DataFrame:
+    """``pairs``, about ``rows`` of them, with the least ``v`` of each ``u``.
+
+    Hubs are summed first and joined in slices. Where no more rows than a slice
+    has are left, as in late rounds, there is no hub to look for.
+    """
+    if rows <= setting(pairs.sparkSession, SLICE_ROWS):
+        pairs = _spread(pairs, rows, "u")
+        return pairs.join(pairs.groupBy("u").agg(F.min("v").alias("m")), "u")
     least = pairs.groupBy("u").agg(F.min("v").alias("m"))
     return hot_key_join(pairs, least, ["u"], "v")
 
@@ -32,15 +49,16 @@ def connected_components(links: DataFrame, src: str = "src", dst: str = "dst") -
     state = _state(edges)
     while state[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_least(both).filter("v > u").select(
+        rows = 2 * state[0]
+        large = _with_least(both, rows).filter("v > u").select(
             F.col("v").alias("u"), F.least("u", "m").alias("v")
         )
-        large = materialize(large.distinct(), "large-star")
-        stars = _with_least(large)
+        large = materialize(_spread(large, rows, "u", "v").distinct(), "large-star")
+        stars = _with_least(large, rows)
         small = stars.select("u", F.col("m").alias("v")).unionByName(
             stars.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         )
-        edges = materialize(small.distinct(), "small-star")
+        edges = materialize(_spread(small, rows, "u", "v").distinct(), "small-star")
         before, state = state, _state(edges)
         if state == before:
             break

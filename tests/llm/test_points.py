@@ -17,7 +17,7 @@ SF = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
 
 
-def test_components(spark):
+def test_components(spark, paths):
     links = [(i, i + 1) for i in range(30)] + [(40, 41), (41, 40), (50, 50), (None, 3), (60, 61), (61, 59)]
     rows = connected_components(spark.createDataFrame(links, "src bigint, dst bigint")).collect()
     want = {i: 0 for i in range(31)} | {40: 40, 41: 40, 59: 59, 60: 59, 61: 59}
